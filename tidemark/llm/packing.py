@@ -19,21 +19,20 @@ Extra columns are ignored. A very long text gives as many pieces as it needs.
 from __future__ import annotations
 
 import os
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_blocks, texts_of
 
 #: Pieces that one pool of the heuristic sees, and words that a worker remembers, at most.
-POOL, CACHE_WORDS = 2048, 300_000
+POOL, CACHE_WORDS = 768, 1_000_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
@@ -46,35 +45,55 @@ class WordTokenizer:
     """
 
     #: Normalisation is the identity but for case and white space, and case is letter by letter.
-    odd = regex.compile(r"[^\t\n\r\x20-\x7e¡-įı-ɏ]|<\|")
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    plain = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
+    #: The file's own pre-tokens within those characters.
+    words = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿā-ɏªµº]+|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿā-ɏªµº0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        probe = "It's the WORLD'S 12 ÉÀ ß..--''  x\n\ty'll_a"
-        self.fast = self._encode_fast([probe]) == self._encode_library([probe])
+        probe = "It's the WORLD'S 12 ÉÀ ß..--''  x\n\ty'll_a ¾ª×÷"
+        self.fast = bool(self.ends.any()) and self._encode_fast([probe]) == self._encode_library([probe])
 
     def _encode_library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes the words as one text of space-separated words, and cuts its ids where words end."""
+        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        upto = np.flatnonzero(self.ends[ids]) + 1
+        if len(upto) != len(words):
+            self.known.update(zip(words, self._encode_library(words), strict=True))
+            return
+        raw, at = ids.tobytes(), 0
+        for word, to in zip(words, (4 * upto).tolist(), strict=True):
+            self.known[word] = raw[at:to]
+            at = to
+
     def _encode_fast(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(unicodedata.normalize("NFC", t).lower()) for t in texts]
+        split = [self.words.findall(t.lower()) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        fresh = [w for w in set().union(*split) if w not in known] if split else []
-        known.update(zip(fresh, self._encode_library(fresh), strict=True))
-        return [b"".join([known[w] for w in words]) for words in split]
+        get = self.known.get
+        out = [list(map(get, words)) for words in split]
+        lacking = [i for i, ids in enumerate(out) if None in ids]
+        if lacking:
+            self._learn(list({w for i in lacking for w, x in zip(split[i], out[i], strict=True) if x is None}))
+            for i in lacking:
+                out[i] = list(map(get, split[i]))
+        return [b"".join(ids) for ids in out]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.fast:
             return self._encode_library(texts)
         out: list[bytes] = [b""] * len(texts)
-        hard = [i for i, t in enumerate(texts) if self.odd.search(t)]
+        hard = [i for i, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
         easy = sorted(set(range(len(texts))).difference(hard))
         for some, how in ((easy, self._encode_fast), (hard, self._encode_library)):
             for i, ids in zip(some, how([texts[i] for i in some]), strict=True):
