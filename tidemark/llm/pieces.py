@@ -19,6 +19,7 @@ import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tidemark.llm.common import text_blocks, texts_of
 
 MARK = "▁"
 #: Words that a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -126,9 +127,9 @@ class AgendaEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Per text its ids with begin and end, as little-endian unsigned 32-bit integers."""
         split = [self.splitter.findall(self.normalise(t)) for t in texts]
-        self.learn(set().union(*split) if split else ())
-        begin, end, words = np.asarray([self.begin], "<u4").tobytes(), np.asarray([self.end], "<u4").tobytes(), self.words
-        return [begin + b"".join([words[w] for w in parts]) + end for parts in split]
+        self.learn(set(chain.from_iterable(split)))
+        begin, end, get = np.asarray([self.begin], "<u4").tobytes(), np.asarray([self.end], "<u4").tobytes(), self.words.__getitem__
+        return [begin + b"".join(map(get, parts)) + end for parts in split]
 
     def decode_batch(self, encoded: list[bytes]) -> list[str]:
         return [self.library.decode(np.frombuffer(x, "<u4").tolist()) for x in encoded]
