@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pieces
+from tidemark.llm import language, packing, pieces, pii, quality
 from tidemark.llm.common import table
 
 
@@ -18,10 +19,37 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) == 0)
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.Model:
+    return language.fit(table(spark, sf_dir, "documents").where(fold(3) != 1))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op8_pieces": op8_pieces}
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op4_pseudonyms": op4_pseudonyms,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
+    "op8_pieces": op8_pieces,
+}
 
 ORACLES: dict[str, str] = {}
