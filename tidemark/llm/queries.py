@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, pieces, pii, quality
+from tidemark.llm import language, linerules, packing, pieces, pii, quality, urlfilters
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -44,12 +48,19 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilters.judge(urlfilters.page_captures(pages), urlfilters.page_entries(pages))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
+    "op3_lines": op3_lines,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
+    "op10_urls": op10_urls,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_lines": linerules.oracle(), "op10_urls": urlfilters.ORACLE}
