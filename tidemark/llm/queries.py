@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, linerules, packing, pieces, pii, quality, urlfilters
+from tidemark.llm import language, linerules, packing, pieces, pii, quality, urlfilters, vectors
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return urlfilters.judge(urlfilters.page_captures(pages), urlfilters.page_entries(pages))
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
+    "op9_vectors": op9_vectors,
     "op10_urls": op10_urls,
 }
 
