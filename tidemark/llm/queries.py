@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, linerules, packing, pieces, pii, quality, urlfilters, vectors
+from tidemark.llm import brown, language, linerules, packing, pieces, pii, quality, urlfilters, vectors
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) == 0)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_pack": op1_pack,
     "op3_lines": op3_lines,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_brown": op5_brown,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_pieces": op8_pieces,
