@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import brown, language, linerules, packing, pieces, pii, quality, urlfilters, vectors
+from tidemark.llm import brown, jaccard, language, linerules, packing, pieces, pii, quality, urlfilters, vectors
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.judge(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pack": op1_pack,
+    "op2_jaccard": op2_jaccard,
     "op3_lines": op3_lines,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_brown": op5_brown,
