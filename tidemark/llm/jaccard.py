@@ -36,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved, text_blocks
@@ -52,6 +52,8 @@ TINY, SMALL, SPREAD = 5, 66, 1 << 12
 SIGMAS = 5.0
 #: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
 BLOCK = 2048
+#: Partners of a set that one part verifies.
+MEMBERS = 256
 #: Bits of the filter that picks the documents whose sets are needed again, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -353,10 +355,13 @@ def _near_in_size(a: str, b: str) -> str:
     return f"100L * least({a}, {b}) >= {PER_CENT}L * greatest({a}, {b})"
 
 
-def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes of the documents wanted (doc_id, node); a filter of fixed size spares parsing most of the others."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    marked = wanted.select(spot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+def _spot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+
+
+def _spotted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the documents wanted (doc_id) and few others; a filter of fixed size keeps most of the rest out of shuffles."""
+    marked = wanted.select(_spot().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     filter_ = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marked.toLocalIterator():  # FILTER_BITS bits in all
         raw = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -366,21 +371,56 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy() - 1
-            for block in text_blocks([batch.filter(pa.array((sent.value[s >> 3] >> (s & 7)) & 1 == 1))]):
-                sets = shingle_sets(block.column(1))
-                hashes = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(sets.digests().view(np.int64)), hashes], names=["doc_id", "node", "hashes"])
+            yield batch.filter(pa.array((sent.value[s >> 3] >> (s & 7)) & 1 == 1)).select([0, 1])
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _spot().alias("s")).mapInArrow(run, "doc_id long, text string")
+
+
+def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, hashes of the documents wanted (doc_id, node)."""
 
-    found = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", spot.alias("s")).mapInArrow(run, "doc_id long, node long, hashes array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            sets = shingle_sets(block.column(1))
+            hashes = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets.digests().view(np.int64)), hashes], names=["doc_id", "node", "hashes"])
+
+    found = _spotted(docs, wanted).mapInArrow(run, "doc_id long, node long, hashes array<long>")
     return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, linked of pairs of nodes, from their whole sets."""
-    one, two = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
-    both = pairs.join(two, "b").join(one, "a")
-    met = both.select("a", "b", F.size("of_a").alias("n"), F.size("of_b").alias("m"), F.size(F.array_intersect("of_a", "of_b")).alias("i"))
-    return met.select("a", "b", F.expr(f"100L * i >= {PER_CENT}L * (n + m - i)").alias("linked"))
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes (a, b) that are linked, from their documents' whole texts.
+
+    Texts travel, as they are smaller than sets of hashes and compress. A part holds one set a
+    and up to about MEMBERS partners, so that a set with many partners is spread.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    placed = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    roles = placed.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("role")).union(placed.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct())
+    asked = roles.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
+    found = _spotted(docs, asked.select("doc_id").distinct()).join(asked, "doc_id").select("a", "part", "role", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, one = None, np.empty(0, np.uint64)
+        for block in text_blocks(batches, "text"):
+            s = shingle_sets(block.column(4))
+            a, part, role, node = (block.column(i).to_numpy() for i in range(4))
+            right = s.digests().view(np.int64) == node  # another row may have the same doc_id
+            out: list[tuple[int, int]] = []
+            for i in np.flatnonzero(right).tolist():
+                own = s.hashes[s.first[i] : s.first[i + 1]]
+                if role[i] == 0:
+                    key, one = (a[i], part[i]), own
+                elif key == (a[i], part[i]) and len(own):
+                    at = np.searchsorted(one, own)
+                    met = int((one[np.minimum(at, len(one) - 1)] == own).sum())
+                    if 100 * met >= PER_CENT * (len(one) + len(own) - met):
+                        out.append((a[i], node[i]))
+            got = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return found.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
 def _cross_pairs(shares: DataFrame) -> DataFrame:
@@ -476,10 +516,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs = saved(groups.where("kind = 0").select("key", "nodes", "sizes").dropDuplicates(["key"]))
     star = runs.select(F.col("nodes")[0].alias("a"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.sizes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
     pairs = saved(star.select("a", "b").union(of_weak.where("weak AND leader != node").select("leader", "node")).distinct())
-    wanted = runs.select(F.explode("nodes").alias("node")).union(of_weak.select("node")).union(short.where("slack < 0").select("node")).distinct()
-    sets = saved(_needed_sets(docs, wanted.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")))
-    first = saved(_verified(pairs, sets))
-    stars = saved(components(spark, first.where("linked").select("a", "b")))
+    first = saved(_verified(docs, nodes, pairs))
+    stars = saved(components(spark, first))
 
     member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
     placed = member.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -489,9 +527,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).select("p.a", "p.b")
     often = of_weak.join(stars, "node", "left").select("key", "node", "n", "weak", F.coalesce("component", "node").alias("component"))
     more = saved(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    second = saved(_verified(more, sets).where("linked").select("a", "b"))
+    second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-    for found in _compared_with_all(docs, sets.join(short.where("slack < 0"), "node", "left_semi")):
+    few = short.where("slack < 0").join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
+    for found in _compared_with_all(docs, saved(_needed_sets(docs, few))):
         links = links.union(found)
 
     reps = nodes.select("node", "rep")
