@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import analytics, commerce, content
 
-def _modules():
-    return []
+MODULES = (commerce, analytics, content)
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in _modules() for k, s in m.ORACLES.items()}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
