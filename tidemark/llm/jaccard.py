@@ -247,7 +247,7 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 #: What a task gathers before it gives its signatures out.
-GATHER = 2_500_000
+GATHER = 1_000_000
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
