@@ -235,15 +235,60 @@ def _of_band(sets: Sets, here: np.ndarray, b: Band, at_home: bool, mixed: np.nda
         out.append((mix((sums[run] - mixed[source[some]]) ^ salt[run]), texts[owner[runs[run]]], np.ones(len(run), np.int8), np.full(len(run), at_home)))
 
 
+def bit_maps(sets: Sets) -> list[bytes]:
+    """Of each set a bit for every shingle, at its hash modulo the map's length, the power of two from 2 to 4 bits a shingle (64 at least)."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * sets.sizes, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(first[:-1], sets.sizes) + (sets.hashes & (np.repeat(bits, sets.sizes) - 1).astype(np.uint64)).astype(np.int64)
+    marks = np.zeros(int(first[-1]), np.uint8)
+    marks[at] = 1
+    packed = np.packbits(marks, bitorder="little").tobytes()
+    edges = (first // 8).tolist()
+    return [packed[i:j] if n else None for i, j, n in zip(edges, edges[1:], sets.sizes.tolist(), strict=False)]
+
+
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set; null if it is empty), n_shingles."""
+    """doc_id, node (hash of the set; null if it is empty), n_shingles, bits (see bit_maps())."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             s = shingle_sets(block.column(1))
-            yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(s.digests().view(np.int64), mask=s.sizes == 0), pa.array(s.sizes.astype(np.int64))], names=["doc_id", "node", "n_shingles"])
+            out = [block.column(0).cast(pa.int64()), pa.array(s.digests().view(np.int64), mask=s.sizes == 0), pa.array(s.sizes.astype(np.int64)), pa.array(bit_maps(s), pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "node", "n_shingles", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, bits binary")
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bit maps (a row each) at a shorter width in bytes: a hash modulo the shorter length is marked if any of its longer places is."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_shingles long")
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bit maps don't rule out.
+
+    Every place marked in one map only stands for at least one shingle that the other set
+    lacks, so the bound on the intersection is certain: no linked pair is lost.
+    """
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            one, two = (batch.column(i).to_pylist() for i in (4, 5))
+            lengths = np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)]).reshape(-1, 2)
+            keep = np.zeros(len(n), bool)
+            for la, lb in np.unique(lengths, axis=0).tolist():
+                rows = np.flatnonzero((lengths[:, 0] == la) & (lengths[:, 1] == lb))
+                x = _folded(np.frombuffer(b"".join(one[i] for i in rows), np.uint8).reshape(len(rows), la), min(la, lb))
+                y = _folded(np.frombuffer(b"".join(two[i] for i in rows), np.uint8).reshape(len(rows), lb), min(la, lb))
+                only_x, only_y = (np.bitwise_count(d).sum(axis=1, dtype=np.int64) for d in (x & ~y, y & ~x))
+                most = np.minimum(n[rows] - only_x, m[rows] - only_y)
+                keep[rows] = (100 + PER_CENT) * most >= PER_CENT * (n[rows] + m[rows])
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 #: What a task gathers before it gives its signatures out.
@@ -501,7 +546,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = saved(documents(docs))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, math.ceil(0.65 * total / BUCKET))
-    nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
     groups = saved(_groups(_bucketed(docs.where("text IS NOT NULL"), buckets)))
 
     shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("sizes")[0].cast("long").alias("n"), "weight", "own")
@@ -516,7 +561,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     runs = saved(groups.where("kind = 0").select("key", "nodes", "sizes").dropDuplicates(["key"]))
     star = runs.select(F.col("nodes")[0].alias("a"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.sizes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
     pairs = saved(star.select("a", "b").union(of_weak.where("weak AND leader != node").select("leader", "node")).distinct())
-    first = saved(_verified(docs, nodes, pairs))
+    first = saved(_verified(docs, nodes, saved(_plausible(pairs, nodes))))
     stars = saved(components(spark, first))
 
     member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
@@ -526,7 +571,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.component != x.component AND {_near_in_size('x.n', 'y.n')}), y -> named_struct('a', x.node, 'b', y.node))))")).alias("p")
     ).select("p.a", "p.b")
     often = of_weak.join(stars, "node", "left").select("key", "node", "n", "weak", F.coalesce("component", "node").alias("component"))
-    more = saved(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     few = short.where("slack < 0").join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
