@@ -45,13 +45,15 @@ from tidemark.llm.words import block_words, mix
 
 SHINGLE, PER_CENT = 5, 75
 #: Ratio of the sizes at home in a band; sets that share a signature before it counts as frequent; signatures a bucket holds, about.
-RATIO, FREQUENT, BUCKET = 1.8, 64, 1_200_000
+RATIO, FREQUENT, BUCKET = 1.8, 64, 500_000
 #: Sets of so few shingles have one segment with its neighbourhood; up to the second, as many segments as make shared ones rare.
 TINY, SMALL, SPREAD = 5, 66, 1 << 12
 #: Standard deviations below which a set's non-empty subsets may fall.
 SIGMAS = 5.0
 #: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
 BLOCK = 2048
+#: Text bytes that one numpy pass works on.
+PIECE = 900_000
 #: Partners of a set that one part verifies.
 MEMBERS = 256
 #: Bits of the filter that picks the documents whose sets are needed again, whatever the input.
@@ -251,7 +253,7 @@ def documents(docs: DataFrame) -> DataFrame:
     """doc_id, node (hash of the set; null if it is empty), n_shingles, bits (see bit_maps())."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(1))
             out = [block.column(0).cast(pa.int64()), pa.array(s.digests().view(np.int64), mask=s.sizes == 0), pa.array(s.sizes.astype(np.int64)), pa.array(bit_maps(s), pa.binary())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "node", "n_shingles", "bits"])
@@ -292,7 +294,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: What a task gathers before it gives its signatures out.
-GATHER = 1_000_000
+GATHER = 500_000
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -312,15 +314,19 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             told = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            by_told = np.argsort(told, kind="stable")
+            told_edges = np.searchsorted(told[by_told], np.arange(buckets + 1))
             for b in range(buckets):
                 mine = order[edges[b] : edges[b + 1]]
-                tell = np.flatnonzero(told == b)
+                tell = by_told[told_edges[b] : told_edges[b + 1]]
+                if not len(mine) and not len(tell):
+                    continue
                 kinds, back = np.unique(owners[mine], return_inverse=True)
                 marks = weights[mine] * 2 + own[mine]
                 packed = [values[mine], back.astype(np.int32), marks.astype(np.uint8), node[kinds], size[kinds].astype(np.int32), node[tell], slack[tell].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=PACKED)
 
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(0))
             node = s.digests().view(np.int64)
             new = [i for i, (x, n) in enumerate(zip(node.tolist(), s.sizes.tolist(), strict=True)) if n and x not in seen and not seen.add(x)]  # equal sets once
@@ -425,7 +431,7 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, hashes of the documents wanted (doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=PIECE):
             sets = shingle_sets(block.column(1))
             hashes = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets.digests().view(np.int64)), hashes], names=["doc_id", "node", "hashes"])
@@ -448,7 +454,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, one = None, np.empty(0, np.uint64)
-        for block in text_blocks(batches, "text"):
+        for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(4))
             a, part, role, node = (block.column(i).to_numpy() for i in range(4))
             right = s.digests().view(np.int64) == node  # another row may have the same doc_id
@@ -516,7 +522,7 @@ def _compared_with_all(docs: DataFrame, few: DataFrame) -> list[DataFrame]:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, sizes, hashes, owner = sent.value
-            for block in text_blocks(batches):
+            for block in text_blocks(batches, most=PIECE):
                 s = shingle_sets(block.column(0))
                 node, text = s.digests().view(np.int64), np.repeat(np.arange(len(s.sizes)), s.sizes)
                 low, high = np.searchsorted(hashes, s.hashes), np.searchsorted(hashes, s.hashes, side="right")

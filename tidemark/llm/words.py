@@ -69,7 +69,7 @@ def block_words(texts: pa.Array, hashed: bool = True) -> Words:
     starts, ends = edges[0::2], edges[1::2]
     first = np.searchsorted(starts, at)
     if hashed and len(data):
-        p, q = _powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+        p, q = _powers(max(1 << 20, 1 << int(len(data)).bit_length()))
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(_BYTES[data] * p[: len(data)], out=sums[1:])
