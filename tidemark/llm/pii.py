@@ -137,13 +137,20 @@ class Pseudonyms:
         return f"{a + 1 + (a >= 665):03d}-{group_ + 1:02d}-{serial_ + 1:04d}"
 
     def address(self, m: re.Match, back: bool = False) -> str | None:
-        parts = [int(x) for x in m[0].split(".")]
-        if any(x > 255 for x in parts) or parts[0] in (0, 127, 255):
+        """Each number keeps its count of digits."""
+        parts = m[0].split(".")
+        if any(str(int(x)) != x or int(x) > 255 for x in parts) or int(parts[0]) in (0, 127, 255):
             return None
-        firsts = [x for x in range(1, 255) if x != 127]
-        x = firsts.index(parts[0]) << 24 | parts[1] << 16 | parts[2] << 8 | parts[3]
-        x = self.feistel.permute("address", len(firsts) << 24, x, back)
-        return f"{firsts[x >> 24]}.{x >> 16 & 255}.{x >> 8 & 255}.{x & 255}"
+        ranges = [[v for v in range(*((0, 10), (10, 100), (100, 256))[len(x) - 1]) if i or v not in (0, 127, 255)] for i, x in enumerate(parts)]
+        n, x = 1, 0
+        for choice, part in zip(ranges, parts, strict=True):
+            n, x = n * len(choice), x * len(choice) + choice.index(int(part))
+        x = self.feistel.permute("address" + "".join(str(len(p)) for p in parts), n, x, back)
+        out = []
+        for choice in reversed(ranges):
+            x, v = divmod(x, len(choice))
+            out.append(str(choice[v]))
+        return ".".join(reversed(out))
 
     def date(self, m: re.Match, back: bool = False) -> str | None:
         text = m[0]
@@ -213,7 +220,7 @@ class Pseudonyms:
     PATTERNS: tuple[tuple[str, str], ...] = (
         ("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
         ("secret", r"(?:(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9]))"),
-        ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.-]{6,128})"),
+        ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.-]{5,127}[A-Za-z0-9_+/-])"),
         ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
         ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])"),
         ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
