@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, commerce, content
+from tidemark.plans import analytics, commerce, content, loading
 
-MODULES = (commerce, analytics, content)
+MODULES = (commerce, analytics, content, loading)
 
 
 def queries() -> dict:

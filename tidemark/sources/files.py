@@ -10,17 +10,22 @@ from pyspark.sql import types as T
 IDENTITIES = ("product_id", "review_id", "user_id", "price_id", "event_id", "customer_id", "seller_id")
 
 
-def read_json(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON files (one document each, an array or an object) and JSON lines (.jsonl, .ndjson, also gzipped), by name below the paths; malformed text is an error."""
+def read_json(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """JSON files (one document each, an array or an object) and JSON lines (.jsonl, .ndjson, also gzipped), by name below the paths; malformed text is an error.
+
+    lines: all files are JSON lines whatever their names, as Spark's own writer makes them.
+    """
     base = spark.read.option("recursiveFileLookup", "true").option("mode", "FAILFAST")
     if schema is not None:
         base = base.schema(schema)
+    if lines:
+        return base.json(list(paths))
     found = [p for p in ("*.json", "*.json.gz") if _any(spark, paths, p)]
-    lines = [p for p in ("*.jsonl", "*.ndjson", "*.jsonl.gz", "*.ndjson.gz") if _any(spark, paths, p)]
+    by_line = [p for p in ("*.jsonl", "*.ndjson", "*.jsonl.gz", "*.ndjson.gz") if _any(spark, paths, p)]
     frames = []
     if found:
         frames.append(base.option("multiLine", "true").option("pathGlobFilter", "*.{json,json.gz}").json(list(paths)))
-    if lines:
+    if by_line:
         frames.append(base.option("multiLine", "false").option("pathGlobFilter", "*.{jsonl,ndjson,jsonl.gz,ndjson.gz}").json(list(paths)))
     if not frames:
         if schema is None:
@@ -107,3 +112,28 @@ def amplified(base: DataFrame, n: int, ident: str, prefix: str) -> DataFrame:
     size = base.count()
     copies = -(-n // size) if size else 0
     return base.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn(ident, F.concat_ws("-", F.lit(prefix), F.col(ident), "_copy")).drop("_copy") if copies else base
+
+
+def parquet_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is no such path; any other failure is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def restamped(df: DataFrame, clocks: list[str]) -> DataFrame:
+    """Rows for a replay: each clock is moved by one span, so that the newest value of the first clock becomes now."""
+    at = df.agg(F.max(F.col(clocks[0]).cast("timestamp")).alias("_newest"))  # one row
+    moved = {c: F.timestamp_micros(F.unix_micros(F.col(c).cast("timestamp")) + F.unix_micros(F.current_timestamp()) - F.unix_micros("_newest")) for c in clocks}
+    return df.crossJoin(F.broadcast(at)).withColumns(moved).drop("_newest")
+
+
+def to_kafka(messages: DataFrame, servers: str, topic: str, key: str = "event_id") -> None:
+    """Sends envelopes as JSON, acknowledged by all replicas."""
+    out = messages.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").save()
