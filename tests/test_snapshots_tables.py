@@ -117,3 +117,29 @@ def test_bronze_by_hour(spark, tmp_path):
     published.write_bronze(df, str(tmp_path / "b"), "t")
     assert (tmp_path / "b/year=2026/month=01/day=02/hour=03").is_dir() and spark.read.json(str(tmp_path / "b")).count() == 2
     assert files.layer_stats(spark, str(tmp_path / "b")).first().files >= 2 and files.recent(spark, str(tmp_path / "b"), 1).count() == 1
+
+
+def test_marts_are_published_only_if_sound(spark, tmp_path):
+    good = spark.createDataFrame([("a", 1, "r")], "k string, review_count int, run_id string")
+    bad = good.union(good)
+    with pytest.raises(ValueError, match="sound"):
+        published.publish_marts({"good": good, "bad": bad}, {"good": ["k"], "bad": ["k"]}, str(tmp_path / "m"), "r")
+    assert not (tmp_path / "m").exists()
+    with pytest.raises(ValueError, match="another run"):
+        published.publish_marts({"good": good}, {"good": ["k"]}, str(tmp_path / "m"), "s")
+    with pytest.raises(ValueError, match="no report"):
+        published.publish_marts({"good": good}, {"good": ["k"]}, str(tmp_path / "m"), "r", [])
+    assert published.publish_marts({"good": good}, {"good": ["k"]}, str(tmp_path / "m"), "r") == {"good": 0}
+
+
+def test_replay_moves_clocks_together(spark):
+    df = spark.createDataFrame([("2026-01-01 00:00:00", "2026-01-01 00:00:10"), ("2026-01-02 00:00:00", None)], "a string, b string")
+    got = files.restamped(df, ["a", "b"]).selectExpr("unix_timestamp(a) AS a", "unix_timestamp(b) AS b").orderBy("a").collect()
+    assert got[1].a - got[0].a == 86400 and got[0].b - got[0].a == 10 and got[1].b is None
+
+
+def test_parquet_if_present(spark, tmp_path):
+    assert files.parquet_if_present(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|footer"):
+        files.parquet_if_present(spark, str(tmp_path / "broken.parquet")).count()

@@ -93,3 +93,17 @@ def quarantine_replay(spark: SparkSession, sf: str) -> DataFrame:
     wrapped = e.select(F.to_json(F.struct(F.struct("*").alias("payload"))).alias("value"))
     _, bad = streams.split(streams.parsed(wrapped))
     return streams.parsed(streams.replayable(bad)).where("acquisition_method = 'snapshot_replay'").select("review_id", "product_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, coalesce(json_extract_string(props, '$.k'), event_type) AS detail, event_type AS kind FROM events")
+def field_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return files.mapped(e, {"id": ["event_id"], "detail": ["props:$.k", "event_type"], "kind": ["props:$.none", "event_type"]})
+
+
+@query("SELECT 'run-1' AS run_id, product_id, product_count FROM (SELECT CAST(p_brand AS VARCHAR) AS product_id, count(*) AS product_count FROM part GROUP BY 1)")
+def published_marts(spark: SparkSession, sf: str) -> DataFrame:
+    at = folder(spark)
+    mart = frame(spark, sf, "products").groupBy(F.col("brand").alias("product_id")).agg(F.count("*").alias("product_count")).withColumn("run_id", F.lit("run-1"))
+    published.publish_marts({"brands": mart}, {"brands": ["product_id"]}, at, "run-1")
+    return published.read_group(spark, at, "run-1")["brands"].select("run_id", "product_id", "product_count")

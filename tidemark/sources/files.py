@@ -137,3 +137,13 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, key: str = "event_id
     """Sends envelopes as JSON, acknowledged by all replicas."""
     out = messages.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
     out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("kafka.acks", "all").save()
+
+
+def mapped(df: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """Columns by name from the first of several sources that isn't null: a column, a nested field (a.b), or a path into a JSON text column (a:$.b[0].c)."""
+
+    def pick(source: str) -> Column:
+        column, _, path = source.partition(":")
+        return F.get_json_object(column, path) if path else F.col(column).cast("string")
+
+    return df.select(*[F.coalesce(*map(pick, sources)).alias(name) for name, sources in fields.items()])

@@ -126,3 +126,24 @@ def write_bronze(df: DataFrame, path: str, clock: str) -> None:
     at = F.col(clock).cast("timestamp")
     part = {n: F.coalesce(F.date_format(at, p), F.lit("unknown")) for n, p in (("year", "yyyy"), ("month", "MM"), ("day", "dd"), ("hour", "HH"))}
     df.withColumns(part).write.mode("append").partitionBy(*part).json(path)
+
+
+def publish_marts(frames: dict[str, DataFrame], grains: dict[str, list[str]], path: str, run_id: str, reports: list[dict] | None = None) -> dict[str, int]:
+    """Publishes a run's marts after all of them are found sound and, with reports, the quality gate lets the run pass; nothing is written otherwise."""
+    from tidemark.operators.marts import require_sound
+    from tidemark.operators.quality import gate
+
+    if reports is not None and (why := gate(reports, run_id=run_id)):
+        raise ValueError("; ".join(why))
+    for name, df in frames.items():
+        require_sound(df, grains[name])
+        if "run_id" in df.columns and not df.where(F.col("run_id") != run_id).isEmpty():
+            raise ValueError(f"{name} holds rows of another run")
+    return publish_group(frames, path, run_id)
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options: str) -> None:
+    """A database table's rows replaced by the union with df, where df's rows win: written beside, in batches, for the database to swap."""
+    spark = df.sparkSession
+    old = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    merged(old, df, keys).write.format("jdbc").options(url=url, dbtable=f"{table}_next", batchsize="1000", truncate="true", **options).mode("overwrite").save()
