@@ -7,14 +7,17 @@ if the segments that both index can stand more differences than that, one of the
 a segment stands 1 if only its subset is indexed (the subsets must be equal), 2 if the
 subset's one-deletion neighbourhood is indexed as well (they may differ by one). How many
 segments a band has, how many of them get the neighbourhood and how many of them a set of
-a given size indexes is chosen by expected cost. A set is indexed in the band of its own
-size and in the lower ones in which a partner of 3/4 of its size may be at home.
+a given size indexes is chosen by expected cost, with a reserve beyond the differences. A
+set is indexed in the band of its own size and in the lower ones in which a partner of 3/4
+of its size may be at home.
 
 Empty subsets are never indexed, and signatures that more than FREQUENT sets share make no
-pairs at first. Each set knows how many differences its remaining signatures still stand.
-A set for which that is too few is weak: pairs of it and any other set that shares a
-frequent signature are looked at as well, in blocks. If even its non-empty subsets are too
-few (about one set in a million), it is compared with all sets in the size range.
+pairs at first. Each set knows how many differences its signatures stand beyond need (its
+slack). The smaller set of a linked pair shares more than its slack with the other; so it
+may forget its most frequent signatures up to the slack, which for most sets are all its
+frequent ones, and asks for the others: pairs of an asking set and any other set that
+shares the signature are looked at as well, in blocks. If even a set's non-empty subsets
+are too few (about one set in a million), it is compared with all sets in the size range.
 
 Candidates are verified exactly, first as stars (each group's smallest set with the
 others), then all pairs of a group that are still in different components. So a large
@@ -36,7 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import saved, text_blocks
@@ -48,8 +51,8 @@ SHINGLE, PER_CENT = 5, 75
 RATIO, FREQUENT, BUCKET = 1.8, 64, 500_000
 #: Sets of so few shingles have one segment with its neighbourhood; up to the second, as many segments as make shared ones rare.
 TINY, SMALL, SPREAD = 5, 66, 1 << 12
-#: Standard deviations below which a set's non-empty subsets may fall.
-SIGMAS = 5.0
+#: Share of a set's shingles that may lie in frequent signatures before it has to ask for them; also the reserve for empty subsets.
+LOSS = 0.3
 #: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
 BLOCK = 2048
 #: Text bytes that one numpy pass works on.
@@ -115,22 +118,16 @@ def differences(size: int | np.ndarray, per_cent: int = PER_CENT) -> int | np.nd
     return size * (100 - per_cent) // per_cent
 
 
-def _stands(share: np.ndarray, near_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance of the differences that a segment of share expected shingles stands."""
+def _stands(share: np.ndarray, near_share: float) -> np.ndarray:
+    """Mean of the differences that a segment of share expected shingles stands."""
     none, one = np.exp(-share), share * np.exp(-share)
-    two = near_share * (1 - none - one)
-    mean = 1 - none + two
-    return mean, (1 - none) + 3 * two - mean**2
+    return 1 - none + near_share * (1 - none - one)
 
 
 def _needed(sizes: np.ndarray, segments: float, near_share: float, per_cent: int) -> np.ndarray:
-    """Segments that sets must index so that all but about one in a million stand the differences."""
-    mean, variance = _stands(sizes / segments, near_share)
-    need = differences(sizes, per_cent) + 1.0
-    f = need * 1.06 / mean
-    for _ in range(20):
-        f = (need * 1.06 + SIGMAS * np.sqrt(variance * f)) / mean
-    return np.maximum.accumulate(np.ceil(f))
+    """Segments that sets must index to stand the differences and keep the reserve."""
+    need = differences(sizes, per_cent) + 1.0 + LOSS * sizes
+    return np.maximum.accumulate(np.ceil(need / _stands(sizes / segments, near_share)))
 
 
 @cache
@@ -138,7 +135,7 @@ def band(number: int, per_cent: int = PER_CENT) -> Band:
     """The band in which sizes from RATIO**number are at home, with its segments chosen by cost.
 
     The cost of a choice is the number of signatures of a set at home, a signature of a
-    single shingle counting four, since it meets any set with that shingle alone in the segment.
+    single shingle counting two, since it meets any set with that shingle alone in the segment.
     """
     low, high = _low(number), _low(number + 1)
     if high <= TINY + 1:
@@ -148,14 +145,14 @@ def band(number: int, per_cent: int = PER_CENT) -> Band:
         return Band(number, low, high, SPREAD, 0, np.full(high - low, SPREAD))
     best = None
     for near_share in (0.0, 0.1, 0.25, 0.5, 1.0):
-        segments = differences(high, per_cent) / (1 + near_share) + 1.0
+        segments = (differences(high, per_cent) + LOSS * high) / (1 + near_share) + 1.0
         for _ in range(60):
             segments = max(2.0, 0.5 * segments + 0.5 * _needed(sizes, segments, near_share, per_cent)[-1])
         m = int(math.ceil(segments))
         indexed = np.minimum(m, _needed(sizes, m, near_share, per_cent))
         share = sizes / m
         none, one = np.exp(-share), share * np.exp(-share)
-        cost = float((indexed * ((1 - none) + 3 * one + near_share * (share - one))).mean())
+        cost = float((indexed * ((1 - none) + one + near_share * (share - one))).mean())
         if best is None or cost < best[0]:
             best = cost, Band(number, low, high, m, int(math.ceil(near_share * m)), indexed.astype(np.int64))
     return best[1]
@@ -311,7 +308,7 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
             values, owners, weights, own = (np.concatenate([x[k] for x in held]) for k in range(4))
             node, size, slack = np.concatenate(nodes), np.concatenate(sizes), np.concatenate([x.slack for x in held])
             bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((owners, bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             told = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             by_told = np.argsort(told, kind="stable")
@@ -321,9 +318,9 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
                 tell = by_told[told_edges[b] : told_edges[b + 1]]
                 if not len(mine) and not len(tell):
                     continue
-                kinds, back = np.unique(owners[mine], return_inverse=True)
+                kinds, runs = np.unique(owners[mine], return_counts=True)
                 marks = weights[mine] * 2 + own[mine]
-                packed = [values[mine], back.astype(np.int32), marks.astype(np.uint8), node[kinds], size[kinds].astype(np.int32), node[tell], slack[tell].astype(np.int32)]
+                packed = [values[mine].astype(np.uint32), runs.astype(np.int32), marks.astype(np.uint8), node[kinds], size[kinds].astype(np.int32), node[tell], slack[tell].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=PACKED)
 
         for block in text_blocks(batches, most=PIECE):
@@ -348,19 +345,18 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:]))
 
 
-PACKED = ["bucket", "values", "owners", "marks", "nodes", "sizes", "told", "slack"]
+PACKED = ["bucket", "values", "runs", "marks", "nodes", "sizes", "told", "slack"]
 
-#: kind 0: a group of sets that share a signature (key: hash of its members); 1: one set's share in a frequent signature (key); 2: a set's slack.
-GROUPS = "kind int, key long, nodes array<long>, sizes array<int>, weight int, own boolean"
+#: kind 0: a group of sets that share a signature (key: hash of its members); 1: one set's share in a frequent signature (key, with the sets that share it); 2: a set's slack.
+GROUPS = "kind int, key long, nodes array<long>, sizes array<int>, weight int, own boolean, sharers int"
 
 
 def _groups(bucketed: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         parts = {c: [x.as_py() for x in group.column(c)] for c in PACKED[1:]}
-        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], ("u8", "i4", "u1", "i8", "i4", "i8", "i4"), strict=True)}
-        shift = np.cumsum([0] + [len(x) for x in arrays["nodes"]])
-        owners = np.concatenate([x + s for x, s in zip(arrays["owners"], shift, strict=False)])
+        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], ("u4", "i4", "u1", "i8", "i4", "i8", "i4"), strict=True)}
         values, marks, nodes, sizes = (np.concatenate(arrays[c]) for c in ("values", "marks", "nodes", "sizes"))
+        owners = np.repeat(np.arange(len(nodes)), np.concatenate(arrays["runs"]))
         node = nodes[owners]
         order = np.argsort(values, kind="stable")
         v = values[order]
@@ -383,6 +379,8 @@ def _groups(bucketed: DataFrame) -> DataFrame:
         member = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[first], length[first], strict=True)]) if len(first) else np.empty(0, int)
         offsets = np.concatenate([[0], np.cumsum(length[first])]).astype(np.int32)
         often = np.repeat(length > FREQUENT, length)
+        sharers = np.repeat(length, length)[often].astype(np.int32)
+        names = v[often].astype(np.int64) | (group.column("bucket")[0].as_py() << 32)
         told, slack = np.concatenate(arrays["told"]), np.concatenate(arrays["slack"])
         k, f, s = len(first), int(often.sum()), len(told)
         one = np.arange(f + s + 1, dtype=np.int32)
@@ -391,11 +389,12 @@ def _groups(bucketed: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "kind": pa.array(np.repeat([0, 1, 2], [k, f, s]).astype(np.int32)),
-                "key": pa.array(np.concatenate([digest[first].view(np.int64), v[often].view(np.int64), np.zeros(s, np.int64)])),
+                "key": pa.array(np.concatenate([digest[first].view(np.int64), names, np.zeros(s, np.int64)])),
                 "nodes": members,
                 "sizes": counts,
                 "weight": pa.array(np.concatenate([np.zeros(k, np.int32), (m[often] >> 1).astype(np.int32), slack.astype(np.int32)])),
                 "own": pa.array(np.concatenate([np.zeros(k, bool), (m[often] & 1).astype(bool), np.zeros(s, bool)])),
+                "sharers": pa.array(np.concatenate([np.zeros(k, np.int32), sharers, np.zeros(s, np.int32)])),
             }
         )
 
@@ -475,25 +474,25 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(shares: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a frequent signature, at least one of them weak.
+    """Pairs of nodes of different components that share a frequent signature for which the smaller one asks.
 
-    shares: key, node, n, weak, component. Signatures of the same sets count once; a group over
+    shares: key, node, n, asks, component. Signatures of the same sets count once; a group over
     BLOCK rows is cut into blocks whose pairs are tasks of their own.
     """
     digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     once = digests.where("low != high").groupBy("d", "size").agg(F.min("key").alias("key"))
     placed = shares.join(once.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
     own = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = own.select("key", "node", "n", "weak", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = own.select("key", "node", "n", "asks", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        node, n, component, weak, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "weak", "own"))
+        node, n, component, asks, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "asks", "own"))
         across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         kinds, sizes = np.unique(component, return_counts=True)
         rest = np.flatnonzero(component != kinds[sizes.argmax()])  # every pair across components has one outside the largest
         found = []
         for k in rest:
-            near = (component != component[k]) & (weak | weak[k]) & (100 * np.minimum(n, n[k]) >= PER_CENT * np.maximum(n, n[k]))
+            near = (component != component[k]) & (asks & (n <= n[k]) | asks[k] & (n >= n[k])) & (100 * np.minimum(n, n[k]) >= PER_CENT * np.maximum(n, n[k]))
             if across:
                 near &= block != block[k]
             other = node[near]
@@ -555,18 +554,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
     groups = saved(_groups(_bucketed(docs.where("text IS NOT NULL"), buckets)))
 
-    shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("sizes")[0].cast("long").alias("n"), "weight", "own")
+    shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("sizes")[0].cast("long").alias("n"), "weight", "own", "sharers")
     slack = groups.where("kind = 2").groupBy(F.col("nodes")[0].alias("node")).agg(F.max("weight").alias("slack"))
-    lost = shares.where("own").groupBy("node").agg(F.sum("weight").alias("lost"))
-    short = saved(slack.join(lost, "node", "left").where("slack < coalesce(lost, 0)").select("node", "slack"))
-    weak = short.where("slack >= 0").select("node", F.lit(True).alias("weak"))
-    marked = shares.select("key", "node", "n").join(weak, "node", "left").withColumn("weak", F.coalesce("weak", F.lit(False)))
-    keys = marked.where("weak").groupBy("key").agg(F.min("node").alias("leader"))
-    of_weak = saved(marked.join(keys, "key"))
+    short = slack.where("slack < 0")
+    # a linked pair shares more than the slack of the smaller set; so that set may forget its most frequent signatures up to its slack
+    forgotten = Window.partitionBy("node").orderBy(F.desc("sharers"), "key")
+    own = shares.where("own").select("key", "node", F.sum("weight").over(forgotten).alias("upto"))
+    asking = own.join(slack.where("slack >= 0"), "node").where("upto > slack").select("key", "node", F.lit(True).alias("asks"))
+    asking = saved(asking)
+    leaders = asking.groupBy("key").agg(F.min("node").alias("leader"))
+    of_asked = saved(shares.select("key", "node", "n").join(leaders, "key").join(asking, ["key", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))))
 
     runs = saved(groups.where("kind = 0").select("key", "nodes", "sizes").dropDuplicates(["key"]))
     star = runs.select(F.col("nodes")[0].alias("a"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.sizes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
-    pairs = saved(star.select("a", "b").union(of_weak.where("weak AND leader != node").select("leader", "node")).distinct())
+    pairs = saved(star.select("a", "b").union(of_asked.where("asks AND leader != node").select("leader", "node")).distinct())
     first = saved(_verified(docs, nodes, saved(_plausible(pairs, nodes))))
     stars = saved(components(spark, first))
 
@@ -576,11 +577,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = mixed.select(
         F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.component != x.component AND {_near_in_size('x.n', 'y.n')}), y -> named_struct('a', x.node, 'b', y.node))))")).alias("p")
     ).select("p.a", "p.b")
-    often = of_weak.join(stars, "node", "left").select("key", "node", "n", "weak", F.coalesce("component", "node").alias("component"))
+    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "asks", F.coalesce("component", "node").alias("component"))
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-    few = short.where("slack < 0").join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
+    few = short.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
     for found in _compared_with_all(docs, saved(_needed_sets(docs, few))):
         links = links.union(found)
 
