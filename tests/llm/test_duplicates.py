@@ -143,3 +143,30 @@ def test_components(spark, edges):
 
 def test_extra_columns_are_ignored(docs):
     assert jaccard.near_duplicates(docs.select("doc_id", "text", F.lit(1).alias("component_id"))).columns == ["doc_id", "n_shingles", "component_id"]
+
+
+@pytest.mark.parametrize("frequent", [3, 12])
+def test_common_passages(spark, monkeypatch, frequent):
+    """Documents that are mostly passages that many others hold too."""
+    import random
+
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(rng.choice([40, 90, 150]))] for k in range(3)]
+    rows = []
+    for i in range(140):
+        if rows and rng.random() < 0.3:
+            ws = rng.choice(rows)[1].split(" ")
+            for _ in range(rng.randint(0, 1 + len(ws) // 25)):
+                ws[rng.randrange(len(ws))] = f"e{rng.randrange(10**6)}"
+        else:
+            ws = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 120))]
+            at = rng.randint(0, len(ws))
+            ws[at:at] = rng.choice(passages)
+            if rng.random() < 0.3:
+                ws += rng.choice(passages)
+        rows.append((i, " ".join(ws)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and len({c for _, c in want.values()}) < 140

@@ -54,7 +54,7 @@ TINY, SMALL, SPREAD = 5, 66, 1 << 12
 #: Share of a set's shingles that may lie in frequent signatures before it has to ask for them; also the reserve for empty subsets.
 LOSS = 0.3
 #: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
-BLOCK = 2048
+BLOCK = 1024
 #: Text bytes that one numpy pass works on.
 PIECE = 900_000
 #: Partners of a set that one part verifies.
@@ -165,6 +165,11 @@ def _low(number: int) -> int:
     return max(TINY + 1, int(round((TINY + 1) * RATIO ** (number - TINY - 1))))
 
 
+def size_class(sizes: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
+    """Sizes that may be linked have equal or neighbouring classes, the smaller one the lower class."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / math.log(100 / per_cent) + 1e-9).astype(np.uint8)
+
+
 def home(sizes: np.ndarray) -> np.ndarray:
     lows = np.array([_low(k) for k in range(64)])
     return np.searchsorted(lows, sizes, side="right") - 1
@@ -319,8 +324,8 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
                 if not len(mine) and not len(tell):
                     continue
                 kinds, runs = np.unique(owners[mine], return_counts=True)
-                marks = weights[mine] * 2 + own[mine]
-                packed = [values[mine].astype(np.uint32), runs.astype(np.int32), marks.astype(np.uint8), node[kinds], size[kinds].astype(np.int32), node[tell], slack[tell].astype(np.int32)]
+                # bits and byte planes, as they compress; only values and node numbers cost their length
+                packed = [values[mine].astype(np.uint32), _planes(runs), np.packbits(own[mine]), np.packbits(weights[mine] > 1), node[kinds], size_class(size[kinds]), node[tell], _planes(slack[tell])]
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=PACKED)
 
         for block in text_blocks(batches, most=PIECE):
@@ -345,18 +350,29 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:]))
 
 
-PACKED = ["bucket", "values", "runs", "marks", "nodes", "sizes", "told", "slack"]
+PACKED = ["bucket", "values", "runs", "own", "twice", "nodes", "classes", "told", "slack"]
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all 32-bit integers, then the second ones and so on."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unplaned(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 #: kind 0: a group of sets that share a signature (key: hash of its members); 1: one set's share in a frequent signature (key, with the sets that share it); 2: a set's slack.
-GROUPS = "kind int, key long, nodes array<long>, sizes array<int>, weight int, own boolean, sharers int"
+GROUPS = "kind int, key long, nodes array<long>, classes array<int>, weight int, own boolean, sharers int"
 
 
 def _groups(bucketed: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         parts = {c: [x.as_py() for x in group.column(c)] for c in PACKED[1:]}
-        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], ("u4", "i4", "u1", "i8", "i4", "i8", "i4"), strict=True)}
-        values, marks, nodes, sizes = (np.concatenate(arrays[c]) for c in ("values", "marks", "nodes", "sizes"))
-        owners = np.repeat(np.arange(len(nodes)), np.concatenate(arrays["runs"]))
+        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], ("u4", "u1", "u1", "u1", "i8", "u1", "i8", "u1"), strict=True)}
+        values, nodes, classes = (np.concatenate(arrays[c]) for c in ("values", "nodes", "classes"))
+        owners = np.repeat(np.arange(len(nodes)), np.concatenate([_unplaned(x) for x in arrays["runs"]]))
+        own, twice = (np.concatenate([np.unpackbits(x, count=len(v)) for x, v in zip(arrays[c], arrays["values"], strict=True)]) for c in ("own", "twice"))
+        marks = (1 + twice) * 2 + own
         node = nodes[owners]
         order = np.argsort(values, kind="stable")
         v = values[order]
@@ -366,7 +382,7 @@ def _groups(bucketed: DataFrame) -> DataFrame:
         shared[:-1] |= same
         order = order[shared]
         order = order[np.lexsort((node[order], values[order]))]
-        v, x, m, n = values[order], node[order], marks[order], sizes[owners[order]]
+        v, x, m, n = values[order], node[order], marks[order], classes[owners[order]].astype(np.int32)
         fresh = np.ones(len(v), bool)
         fresh[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])  # one set's copies from several tasks
         v, x, m, n = v[fresh], x[fresh], m[fresh], n[fresh]
@@ -381,7 +397,7 @@ def _groups(bucketed: DataFrame) -> DataFrame:
         often = np.repeat(length > FREQUENT, length)
         sharers = np.repeat(length, length)[often].astype(np.int32)
         names = v[often].astype(np.int64) | (group.column("bucket")[0].as_py() << 32)
-        told, slack = np.concatenate(arrays["told"]), np.concatenate(arrays["slack"])
+        told, slack = np.concatenate(arrays["told"]), np.concatenate([_unplaned(x) for x in arrays["slack"]])
         k, f, s = len(first), int(often.sum()), len(told)
         one = np.arange(f + s + 1, dtype=np.int32)
         members = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[member])), pa.ListArray.from_arrays(pa.array(one), pa.array(np.concatenate([x[often], told])))])
@@ -391,7 +407,7 @@ def _groups(bucketed: DataFrame) -> DataFrame:
                 "kind": pa.array(np.repeat([0, 1, 2], [k, f, s]).astype(np.int32)),
                 "key": pa.array(np.concatenate([digest[first].view(np.int64), names, np.zeros(s, np.int64)])),
                 "nodes": members,
-                "sizes": counts,
+                "classes": counts,
                 "weight": pa.array(np.concatenate([np.zeros(k, np.int32), (m[often] >> 1).astype(np.int32), slack.astype(np.int32)])),
                 "own": pa.array(np.concatenate([np.zeros(k, bool), (m[often] & 1).astype(bool), np.zeros(s, bool)])),
                 "sharers": pa.array(np.concatenate([np.zeros(k, np.int32), sharers, np.zeros(s, np.int32)])),
@@ -402,7 +418,8 @@ def _groups(bucketed: DataFrame) -> DataFrame:
 
 
 def _near_in_size(a: str, b: str) -> str:
-    return f"100L * least({a}, {b}) >= {PER_CENT}L * greatest({a}, {b})"
+    """Of size classes; the exact sizes are compared later."""
+    return f"abs({a} - {b}) <= 1"
 
 
 def _spot() -> Column:
@@ -476,23 +493,24 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _cross_pairs(shares: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that share a frequent signature for which the smaller one asks.
 
-    shares: key, node, n, asks, component. Signatures of the same sets count once; a group over
-    BLOCK rows is cut into blocks whose pairs are tasks of their own.
+    shares: key, node, n (size class), reach, need (beyond any reach if it doesn't ask), component.
+    Signatures of the same sets count once; a group over BLOCK rows is cut into blocks whose
+    pairs are tasks of their own.
     """
-    digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node", "need", "reach").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     once = digests.where("low != high").groupBy("d", "size").agg(F.min("key").alias("key"))
     placed = shares.join(once.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
     own = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = own.select("key", "node", "n", "asks", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = own.select("key", "node", "n", "reach", "need", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        node, n, component, asks, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "asks", "own"))
+        node, n, component, reach, need, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "reach", "need", "own"))
         across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         kinds, sizes = np.unique(component, return_counts=True)
         rest = np.flatnonzero(component != kinds[sizes.argmax()])  # every pair across components has one outside the largest
         found = []
         for k in rest:
-            near = (component != component[k]) & (asks & (n <= n[k]) | asks[k] & (n >= n[k])) & (100 * np.minimum(n, n[k]) >= PER_CENT * np.maximum(n, n[k]))
+            near = (component != component[k]) & ((n <= n[k]) & (need <= reach[k]) | (n >= n[k]) & (need[k] <= reach)) & (np.abs(n - n[k]) <= 1)
             if across:
                 near &= block != block[k]
             other = node[near]
@@ -554,30 +572,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
     groups = saved(_groups(_bucketed(docs.where("text IS NOT NULL"), buckets)))
 
-    shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("sizes")[0].cast("long").alias("n"), "weight", "own", "sharers")
+    shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("classes")[0].alias("n"), "weight", "own", "sharers")
     slack = groups.where("kind = 2").groupBy(F.col("nodes")[0].alias("node")).agg(F.max("weight").alias("slack"))
     short = slack.where("slack < 0")
-    # a linked pair shares more than the slack of the smaller set; so that set may forget its most frequent signatures up to its slack
-    forgotten = Window.partitionBy("node").orderBy(F.desc("sharers"), "key")
-    own = shares.where("own").select("key", "node", F.sum("weight").over(forgotten).alias("upto"))
-    asking = own.join(slack.where("slack >= 0"), "node").where("upto > slack").select("key", "node", F.lit(True).alias("asks"))
-    asking = saved(asking)
-    leaders = asking.groupBy("key").agg(F.min("node").alias("leader"))
-    of_asked = saved(shares.select("key", "node", "n").join(leaders, "key").join(asking, ["key", "node"], "left").withColumn("asks", F.coalesce("asks", F.lit(False))))
-
-    runs = saved(groups.where("kind = 0").select("key", "nodes", "sizes").dropDuplicates(["key"]))
-    star = runs.select(F.col("nodes")[0].alias("a"), F.col("sizes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.sizes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
-    pairs = saved(star.select("a", "b").union(of_asked.where("asks AND leader != node").select("leader", "node")).distinct())
+    # A linked pair that shares no rarer signature shares frequent ones of more than the smaller set's slack. So that set may
+    # forget its most frequent signatures up to its slack, and its partner must have more than that in frequent ones itself.
+    of_set = Window.partitionBy("node", "own")
+    mine = shares.withColumns({"upto": F.sum("weight").over(of_set.orderBy(F.desc("sharers"), "key")), "reach": F.sum("weight").over(of_set)})
+    met = mine.join(slack.where("slack >= 0"), "node", "left").withColumn("need", F.when(F.col("own") & (F.col("upto") > F.col("slack")), F.col("slack") + 1))
+    told = saved(met.select("key", "node", "n", "reach", "need"))
+    asked = told.where("need IS NOT NULL").groupBy("key").agg(F.min("node").alias("leader"), F.min("need").alias("least"))
+    of_asked = saved(told.join(asked, "key").where("need IS NOT NULL OR reach >= least").drop("least"))
+
+    runs = saved(groups.where("kind = 0").select("key", "nodes", "classes").dropDuplicates(["key"]))
+    star = runs.select(F.col("nodes")[0].alias("a"), F.col("classes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.classes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
+    pairs = saved(star.select("a", "b").union(of_asked.where("need IS NOT NULL AND leader != node").select("leader", "node")).distinct())
     first = saved(_verified(docs, nodes, saved(_plausible(pairs, nodes))))
     stars = saved(components(spark, first))
 
-    member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "sizes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n"))
+    member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.classes").alias("n"))
     placed = member.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.collect_list(F.struct("component", "node", "n")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     across = mixed.select(
         F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.component != x.component AND {_near_in_size('x.n', 'y.n')}), y -> named_struct('a', x.node, 'b', y.node))))")).alias("p")
     ).select("p.a", "p.b")
-    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "asks", F.coalesce("component", "node").alias("component"))
+    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "reach", F.coalesce("need", F.lit(2**31 - 1)).alias("need"), F.coalesce("component", "node").alias("component"))
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
