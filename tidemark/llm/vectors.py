@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +35,8 @@ from tidemark.llm.graph import components
 
 #: Vectors of a bucket that one task compares with each other, at most twice as many.
 BLOCK = 2048
+#: Bits of a code; least bits of a part; vectors a part's bucket may hold on average; share of links at the threshold that no table may show.
+BITS, LEAST_PART, CROWD, MISSED = 64, 10, 512, 1e-3
 
 
 class Codes(NamedTuple):
@@ -46,6 +49,17 @@ class Codes(NamedTuple):
         return len(self.rotations) * self.parts
 
 
+def layout(n: int, least: float) -> tuple[int, int]:
+    """Codes, and parts of each, for n vectors: parts are long enough to spread them, tables enough to show a link at the threshold.
+
+    A bit tells vectors apart with their angle's share of a half turn.
+    """
+    length = max(LEAST_PART, math.ceil(math.log2(max(n, 1) / CROWD)))
+    parts = max(1, BITS // length)
+    unseen = 1 - (1 - math.acos(min(max(least, -1.0), 0.999999)) / math.pi) ** length
+    return max(1, math.ceil(math.log(MISSED) / math.log(unseen) / parts)), parts
+
+
 def learn(sample: np.ndarray, codes: int, bits: int, parts: int, rounds: int = 30, seed: int = 11) -> Codes:
     """Iterative quantisation of unit vectors, once per code from another random start."""
     width = sample.shape[1]
@@ -90,15 +104,16 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return plain.distinct().groupBy("label", "v").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int = 10_000, codes: int = 2, bits: int = 64, parts: int = 6) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int = 10_000, tables: tuple[int, int] | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors: vec_id, embedding, label.
 
     sample_rows bounds the sample that the rotations are fitted on; every vector is indexed.
+    tables gives the number of codes and of parts of each; without it layout() does.
     """
     spark = vectors.sparkSession
     classes = saved(_classes(vectors))
     widths = [r[0] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(64).collect()]
-    found = [_links(classes.where(F.size("v") == n), n, least, sample_rows, codes, bits, parts) for n in widths]
+    found = [_links(classes.where(F.size("v") == n), least, sample_rows, tables) for n in widths]
     if not found:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -115,13 +130,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, width: int, least: float, sample_rows: int, codes: int, bits: int, parts: int) -> DataFrame:
+def _links(classes: DataFrame, least: float, sample_rows: int, tables: tuple[int, int] | None) -> DataFrame:
     """kind 0: class a has b linked vectors not shown by an earlier table; kind 1: classes a and b are linked."""
     spread = 1_000_003
     n = classes.count()
     drawn = F.pmod(F.xxhash64("class_id"), F.lit(spread))
     sample = classes.where(drawn <= int(spread * min(1.0, sample_rows / max(n, 1)))).select("v").limit(2 * sample_rows).toArrow()
-    model = learn(unit_vectors(sample.column(0).combine_chunks()), codes, bits, parts)
+    codes, parts = tables or layout(n, least)
+    model = learn(unit_vectors(sample.column(0).combine_chunks()), codes, BITS, parts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
