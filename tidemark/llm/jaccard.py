@@ -48,7 +48,7 @@ from tidemark.llm.words import block_words, mix
 
 SHINGLE, PER_CENT = 5, 75
 #: Ratio of the sizes at home in a band; sets that share a signature before it counts as frequent; signatures a bucket holds, about.
-RATIO, FREQUENT, BUCKET = 1.8, 64, 500_000
+RATIO, FREQUENT, BUCKET = 1.8, 16, 500_000
 #: Sets of so few shingles have one segment with its neighbourhood; up to the second, as many segments as make shared ones rare.
 TINY, SMALL, SPREAD = 5, 66, 1 << 12
 #: Share of a set's shingles that may lie in frequent signatures before it has to ask for them; also the reserve for empty subsets.
@@ -56,7 +56,9 @@ LOSS = 0.3
 #: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
 BLOCK = 1024
 #: Text bytes that one numpy pass works on.
-PIECE = 900_000
+PIECE = 700_000
+#: Size classes within the ratio of linked sizes.
+STEPS = 4
 #: Partners of a set that one part verifies.
 MEMBERS = 256
 #: Bits of the filter that picks the documents whose sets are needed again, whatever the input.
@@ -166,8 +168,8 @@ def _low(number: int) -> int:
 
 
 def size_class(sizes: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
-    """Sizes that may be linked have equal or neighbouring classes, the smaller one the lower class."""
-    return np.floor(np.log(np.maximum(sizes, 1)) / math.log(100 / per_cent) + 1e-9).astype(np.uint8)
+    """Sizes that may be linked have classes at most STEPS apart, the smaller one the lower class or the same."""
+    return np.floor(STEPS * np.log(np.maximum(sizes, 1)) / math.log(100 / per_cent) + 1e-9).astype(np.uint8)
 
 
 def home(sizes: np.ndarray) -> np.ndarray:
@@ -296,7 +298,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: What a task gathers before it gives its signatures out.
-GATHER = 500_000
+GATHER = 400_000
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -419,7 +421,7 @@ def _groups(bucketed: DataFrame) -> DataFrame:
 
 def _near_in_size(a: str, b: str) -> str:
     """Of size classes; the exact sizes are compared later."""
-    return f"abs({a} - {b}) <= 1"
+    return f"abs({a} - {b}) <= {STEPS}"
 
 
 def _spot() -> Column:
@@ -510,7 +512,7 @@ def _cross_pairs(shares: DataFrame) -> DataFrame:
         rest = np.flatnonzero(component != kinds[sizes.argmax()])  # every pair across components has one outside the largest
         found = []
         for k in rest:
-            near = (component != component[k]) & ((n <= n[k]) & (need <= reach[k]) | (n >= n[k]) & (need[k] <= reach)) & (np.abs(n - n[k]) <= 1)
+            near = (component != component[k]) & ((n <= n[k]) & (need <= reach[k]) | (n >= n[k]) & (need[k] <= reach)) & (np.abs(n - n[k]) <= STEPS)
             if across:
                 near &= block != block[k]
             other = node[near]
