@@ -54,6 +54,23 @@ def test_rules_keep_columns_and_empty(docs, none):
     assert linerules.judge(none).isEmpty() and linerules.apply_rules(none).isEmpty()
 
 
+def test_registered_limits_remove_lines_and_reject_depleted_documents(spark):
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    shared = " ".join(f"menu{k}" for k in range(30))
+    rows = [(i, f"{own(i, 100 if i < 3 else 40)}\n{shared}", "h") for i in range(5)] + [(9, f"{own(9, 40)}\n{shared}", "other")]
+    got = {r.doc_id: (r.left_words, r.kept, r.base_failed) for r in linerules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: (130, True, False), 1: (100, True, False), 2: (100, True, False), 3: (40, False, False), 4: (40, False, False), 9: (70, True, False)}
+
+
+def test_registered_limits_act_on_the_tables(spark):
+    from tidemark.llm.queries import QUERIES
+
+    for sf in ("sf0.001", "sf0.01"):
+        if not os.path.isdir(f"/root/testdata/{sf}"):
+            pytest.skip("no test tables")
+        assert QUERIES["op3_lines"](spark, f"/root/testdata/{sf}").where("left_words < n_words").count() > 0
+
+
 def capture(spark, *rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "capture_id long, url string, fetched date, entry string")
 
