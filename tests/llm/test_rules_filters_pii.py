@@ -62,6 +62,27 @@ def test_registered_limits_remove_lines_and_reject_depleted_documents(spark):
     assert got == {0: (130, True, False), 1: (100, True, False), 2: (100, True, False), 3: (40, False, False), 4: (40, False, False), 9: (70, True, False)}
 
 
+def test_kept_texts_lose_their_frequent_lines(spark):
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    text = lambda i: f"Menu  HOME\n{own(i)}\n\n menu home \r\n  last {i}\n"
+    rows = [(i, text(i), "h", i) for i in range(4)] + [(4, text(4), None, 4), (5, f"{own(5)}\nmenu home", "h", 5), (5, f"Menu home\n{own(6)}", "h", 6), (7, text(7), "other", 7), (8, f"menu home\n{own(8)} ", "h", 8), (None, text(9), "h", 9), (10, None, "h", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, positions long")
+    out = linerules.apply_rules(df)
+    assert out.columns == df.columns
+    less = lambda i: f"{own(i)}\n\n  last {i}\n"
+    assert {r.positions: r.text for r in out.collect()} == {0: text(0), 1: less(1), 2: less(2), 3: less(3), 4: text(4), 5: own(5), 6: own(6), 7: text(7), 8: own(8) + " ", 9: text(9)}
+    assert {r.positions: r.text for r in linerules.without_frequent_lines(df).collect()}[10] is None
+
+
+def test_pipeline_packs_no_frequent_line(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    df = spark.createDataFrame([(i, f"{own(i)}\nmenu home", "en", "h", 1) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["quality rules"](spark, df, "unused")
+    assert sum("menu home" in r.text for r in out.collect()) == 1
+
+
 def test_registered_limits_act_on_the_tables(spark):
     from tidemark.llm.queries import QUERIES
 

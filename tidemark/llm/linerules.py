@@ -5,7 +5,8 @@ Base figures come from each text's words and lines. The method: lines are normal
 source column) the distinct documents that show a line are counted, exact copies of a text
 once; a line shown by more than max_documents is removed from every document of the host
 but the first (by doc_id) that has it; a document with fewer than min_words words left is
-depleted and rejected.
+depleted and rejected. judge() gives figures and verdicts, apply_rules() the kept documents
+with their texts rebuilt from the lines that survive.
 
 Null texts have no words and fail the base rules. A null host is a host of its own; a null
 doc_id has no lines to remove. Rows that share a doc_id are one document to the line
@@ -61,10 +62,10 @@ def base_figures(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row per line with a word: doc_id, host, text_hash, line_hash, line_words."""
-    text = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").selectExpr("doc_id", "source AS host", "xxhash64(text) AS text_hash", rf"explode(split(regexp_replace(lower(text), '[\\x20\\x09\\x0B-\\x0D]+', ' '), ' ?\\n ?')) AS line")
+    """A row per line with a word: doc_id, host, text_hash, position (from 0, between line feeds), line_hash, line_words."""
+    text = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").selectExpr("doc_id", "source AS host", "xxhash64(text) AS text_hash", rf"posexplode(split(regexp_replace(lower(text), '[\\x20\\x09\\x0B-\\x0D]+', ' '), ' ?\\n ?')) AS (position, line)")
     trimmed = text.withColumn("line", F.trim("line")).where("line != ''")
-    return trimmed.selectExpr("doc_id", "host", "text_hash", "xxhash64(line) AS line_hash", "CAST(size(split(line, ' ')) AS BIGINT) AS line_words")
+    return trimmed.selectExpr("doc_id", "host", "text_hash", "position", "xxhash64(line) AS line_hash", "CAST(size(split(line, ' ')) AS BIGINT) AS line_words")
 
 
 def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
@@ -76,12 +77,17 @@ def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
     )
 
 
-def removed_words(docs: DataFrame, max_documents: int) -> DataFrame:
-    """doc_id and the words that its lines over the limit hold, where it has any."""
+def removed_lines(docs: DataFrame, max_documents: int) -> DataFrame:
+    """The rows of lines_of() that are over the limit, but for those of the line's first document."""
     lines = lines_of(docs)
     many = frequent_lines(lines, max_documents).withColumnsRenamed({"host": "h", "line_hash": "l"})
     joined = lines.join(many, lines["host"].eqNullSafe(many["h"]) & (lines["line_hash"] == many["l"]))
-    return joined.where("doc_id != first_doc").groupBy("doc_id").agg(F.sum("line_words").alias("removed_words"))
+    return joined.where("doc_id != first_doc")
+
+
+def removed_words(docs: DataFrame, max_documents: int) -> DataFrame:
+    """doc_id and the words that its lines over the limit hold, where it has any."""
+    return removed_lines(docs, max_documents).groupBy("doc_id").agg(F.sum("line_words").alias("removed_words"))
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,11 +100,21 @@ def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int =
     )
 
 
+def without_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """docs with each text rebuilt from its surviving lines; a text that loses none keeps every byte, all other columns are as they were."""
+    gone = removed_lines(docs, max_documents).groupBy(F.struct("doc_id", "host", "text_hash").alias("key")).agg(F.collect_set("position").alias("positions"))
+    key = F.struct(docs["doc_id"], docs["source"].alias("host"), F.xxhash64(docs["text"]).alias("text_hash"))
+    # split once; positions are subtracted by hash, so the time grows with the lines, not with their square
+    kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["positions"]), lambda i: F.get(lines, i)), "\n")
+    text = F.when(gone["positions"].isNull(), docs["text"]).otherwise(F.transform(F.array(F.split(docs["text"], "\n")), kept)[0])
+    return docs.join(gone, key.eqNullSafe(gone["key"]), "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+
+
 def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The kept rows of docs with all their columns, each in its frequent lines' place unchanged: the verdict removes documents, not lines."""
+    """The kept rows of docs with all their columns, their texts without the frequent lines."""
     rejected = judge(docs, max_documents, min_words).where("NOT kept").select(F.col("doc_id").alias("rejected_doc_id")).distinct()
-    kept = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
-    return kept
+    cleaned = without_frequent_lines(docs, max_documents)
+    return cleaned.join(rejected, cleaned["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
 
 
 def oracle(max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> str:
