@@ -165,6 +165,38 @@ def test_pseudonyms_keep_format_link_and_reverse(kind, value):
     assert pii.Pseudonyms("another").replace(f"x {value} y")[0] != p.replace(f"x {value} y")[0]
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "(389) 055-5010", "012-345-6789", "100 000 0000"])
+def test_telephone_numbers_out_of_range_are_replaced(value):
+    p = pii.Pseudonyms(KEY)
+    text, counts = p.replace(f"call {value}, or {value}.")
+    assert counts["phone"] == 2 and value not in text and re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", f"call {value}, or {value}.")
+    d = re.sub("[^0-9]", "", text[5 : 5 + len(value)])[-10:]
+    assert (d[0] in "01" or d[3] in "01") and text[5 : 5 + len(value)] == text[-1 - len(value) : -1]
+    assert p.replace(text, back=True) == (f"call {value}, or {value}.", counts)
+
+
+@pytest.mark.parametrize("text", ["Order 12 {}", "{} 12", "7 12 {} 5", "2024-02-29 {}", "12-{}", "{} 123", "3 {} {} 4", "1111 {} 1111"])
+def test_cards_beside_other_numbers_are_replaced(text):
+    p = pii.Pseudonyms(KEY)
+    for card in ("4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "340000000000009"):
+        given = text.replace("{}", card)
+        out, counts = p.replace(given)
+        assert card not in out and counts["card"] == given.count(card), given
+        assert re.sub("[0-9]", "0", out) == re.sub("[0-9]", "0", given) and p.replace(out, back=True) == (given, counts)
+
+
+def test_cards_in_number_runs_come_back():
+    import random
+
+    rng = random.Random(5)
+    p = pii.Pseudonyms(KEY)
+    for _ in range(1500):
+        groups = ["".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 3, 4, 4, 4, 4, 6, 5, 13, 16]))) for _ in range(rng.randint(2, 12))]
+        text = "".join(g + rng.choice("   -") for g in groups) + "end"
+        out, counts = p.replace(text)
+        assert p.replace(out, back=True) == (text, counts)
+
+
 def test_same_card_written_otherwise_stays_linked():
     p = pii.Pseudonyms(KEY)
     a, b = p.replace("4111 1111 1111 1111")[0], p.replace("4111-1111-1111-1111")[0]

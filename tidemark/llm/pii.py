@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms of personal data in texts, by a keyed Feistel network.
 
 Found values are validated (card numbers by Luhn's check digit, account numbers by
-modulus 97, telephone, social-security and network numbers by their ranges, dates by the
-calendar) and permuted within their own format: a valid number becomes another valid
-number with the same punctuation, a date another date. Mail addresses and access
+modulus 97, social-security and network numbers by their ranges, dates by the calendar;
+telephone numbers by their form alone) and permuted within their own format: a valid number becomes another valid
+number with the same punctuation, a date another date; telephone numbers in ranges that
+aren't given out become others of these. Mail addresses and access
 credentials have their letters and digits permuted, each within its own alphabet. The
 permutation depends on the key, the kind and the value alone, so equal values stay linked
 across documents however they are written, and the holder of the key can reverse it.
@@ -15,6 +16,7 @@ extra columns (kept by pseudonymise(), whatever their names) don't matter.
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime
 import hashlib
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 8
+#: Digits of the longest card.
+MOST_CARD = 19
 
 #: Used where no key is given; a production run passes its own.
 DEVELOPMENT_KEY = "tidemark development key"
@@ -94,13 +98,66 @@ class Pseudonyms:
     def __init__(self, key: str):
         self.feistel = Feistel(key)
 
-    def card(self, m: re.Match, back: bool = False) -> str | None:
-        d = _digits(m[0])
-        if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
-            return None
+    @staticmethod
+    def is_card(text: str) -> bool:
+        d = _digits(text)
+        return 13 <= len(d) <= 19 and luhn_digit(d[:-1]) == d[-1] and len(set(d)) > 1
+
+    def card(self, text: str, back: bool = False) -> str:
+        d = _digits(text)
         n = len(d) - 2  # the first digit tells the network, the last one checks
         body = d[0] + str(self.feistel.permute(f"card{d[0]}", 10**n, int(d[1:-1]), back)).zfill(n)
-        return _refill(m[0], body + luhn_digit(body))
+        return _refill(text, body + luhn_digit(body))
+
+    def cards(self, text: str, taken: list[tuple[int, int, str]], back: bool = False) -> list[tuple[int, int, str]]:
+        """Spans and pseudonyms of the cards outside the taken spans, which are in order.
+
+        Digit groups as cards are printed are tried first, wherever they stand in a run of
+        groups, then the longest runs of any groups. What stands next to a card may make an
+        overlapping span validate that was tried before it and didn't; the pseudonym is
+        permuted again until none does, so that the way back finds the same spans.
+        """
+        starts = [a for a, _, _ in taken]
+
+        def free(a: int, b: int, spans: list, firsts: list[int]) -> bool:
+            i = bisect.bisect_left(firsts, b)
+            return not i or spans[i - 1][1] <= a
+
+        tried: list[tuple[int, int]] = []
+        for run in self.GROUPS.finditer(text):
+            ends = [(g.start() + run.start(), g.end() + run.start()) for g in re.finditer(r"[0-9]+", run[0])]
+            sizes = [b - a for a, b in ends]
+            for i in range(len(ends)):
+                tried += [(ends[i][0], ends[i + len(p) - 1][1]) for p in self.PRINTED if tuple(sizes[i : i + len(p)]) == p]
+        tried += [m.span() for m in self.ANY_GROUPS.finditer(text)]
+        tried = [x for x in dict.fromkeys(tried) if free(*x, taken, starts)]
+        found: list[tuple[int, int]] = []
+        rank: list[int] = []
+        for k, (a, b) in enumerate(tried):
+            if self.is_card(text[a:b]):
+                i = bisect.bisect_left(found, (b, 0))
+                if not i or found[i - 1][1] <= a:
+                    found.insert(i, (a, b))
+                    rank.append(k)
+        if not found:
+            return []
+        failed = sorted((a, b, k) for k, (a, b) in enumerate(tried) if not self.is_card(text[a:b]))
+        now = list(text)
+        for k in reversed(rank) if back else rank:
+            a, b = tried[k]
+            at = bisect.bisect_left(failed, (a - 2 * MOST_CARD, 0, 0))
+            near = []
+            while at < len(failed) and failed[at][0] < b:
+                if failed[at][1] > a and failed[at][2] < k:
+                    near.append(failed[at][:2])
+                at += 1
+            new = text[a:b]
+            while True:
+                new = self.card(new, back)
+                now[a:b] = new
+                if self.is_card(new) and not any(self.is_card("".join(now[c:d])) for c, d in near):
+                    break
+        return [(a, b, "".join(now[a:b])) for a, b in found]
 
     def account(self, m: re.Match, back: bool = False) -> str | None:
         text = re.sub(r"\s", "", m[0])
@@ -116,8 +173,13 @@ class Pseudonyms:
     def phone(self, m: re.Match, back: bool = False) -> str | None:
         d = _digits(m[0])
         country, d = d[:-10], d[-10:]
-        if d[0] in "01" or d[3] in "01" or country not in ("", "1"):
-            return None
+        if d[0] in "01" or d[3] in "01":  # no such number is given out; these are permuted among themselves
+            x = int(d)
+            while True:
+                x = self.feistel.permute("phone10", 10**10, x, back)
+                new = f"{x:010d}"
+                if new[0] in "01" or new[3] in "01":
+                    return _refill(m[0], country + new)
         x = (((int(d[0]) - 2) * 100 + int(d[1:3])) * 8 + int(d[3]) - 2) * 10**6 + int(d[4:])
         x = self.feistel.permute("phone", 8 * 100 * 8 * 10**6, x, back)
         x, tail = divmod(x, 10**6)
@@ -226,9 +288,13 @@ class Pseudonyms:
         ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
         ("address", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
         ("phone", r"(?<![0-9A-Za-z(+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"),
-        ("card", r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-]|\.[0-9])"),
     )
 
+    ANY_GROUPS = re.compile(r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-]|\.[0-9])")
+    GROUPS = re.compile(r"(?<![0-9A-Za-z.-])[0-9]+(?:[ -][0-9]+)*(?![0-9A-Za-z-]|\.[0-9])")
+    #: Sizes of the digit groups of a card as printed; the longer ones first.
+    PRINTED = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), *((n,) for n in range(19, 12, -1)))
+
     COMPILED = tuple((kind, re.compile(pattern)) for kind, pattern in PATTERNS)
     some = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|key)")
 
@@ -248,6 +314,9 @@ class Pseudonyms:
                 if new is not None:
                     spans.append((m.start(), m.end(), new))
                     counts[kind] += 1
+        own = self.cards(text, sorted(spans), back)
+        counts["card"] += len(own)
+        spans += own
         if not spans:
             return text, counts
         out, at = [], 0
