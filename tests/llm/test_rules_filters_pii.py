@@ -117,6 +117,21 @@ def test_intervals_hold_at_fetch_time(spark):
     assert got[9].host is None and got[8].host is None and got[3].host == "x.org"
 
 
+def test_every_parent_domain_is_matched(spark):
+    deep = ".".join(f"l{i}" for i in range(126)) + ".example.org"
+    listed = entries(spark, ("b.c.d.e.f.g.h", "spam", D(2024, 1, 1), "list"), ("l60." + deep.split("l60.")[1], "adult", D(2024, 1, 1), "list"), ("f.g.i/x", "spam", D(2024, 1, 1), "list"), ("zip", "malware", D(2024, 1, 1), "list"))
+    urls = ["http://a.b.c.d.e.f.g.h/", "http://c.d.e.f.g.h/", f"http://{deep}/", "http://a.b.c.d.e.f.g.i/x/y", "http://a.b.c.d.e.f.g.i/", "http://a.b.c.d.e.f.g.h.i.zip/"]
+    got = {r.capture_id: r.categories for r in urlfilters.judge(capture(spark, *((i, u, D(2024, 1, 2)) for i, u in enumerate(urls))), listed).collect()}
+    assert got == {0: "spam", 1: "", 2: "adult", 3: "spam", 4: "", 5: "malware"}
+
+
+def test_domains_ignore_case_and_paths_do_not(spark):
+    listed = entries(spark, ("Example.COM/Ads", "spam", D(2024, 1, 1), "list"), ("example.com/é/Y", "spam", D(2024, 1, 1), "list"))
+    urls = ["http://example.com/Ads", "http://EXAMPLE.com/Ads/x", "http://www.example.com/Ads?q", "http://example.com/ads", "http://example.com/"]
+    got = {r.capture_id: r.blocked for r in urlfilters.judge(capture(spark, *((i, u, D(2024, 1, 2)) for i, u in enumerate(urls))), listed).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: False}
+
+
 def test_url_edges(spark):
     none = capture(spark)
     assert urlfilters.judge(none, entries(spark)).isEmpty()

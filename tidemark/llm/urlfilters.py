@@ -4,7 +4,7 @@ A list is a history of dated entries: on a date an entry (a domain, or a domain
 first segment of a path) is listed under a category or delisted. Each entry's history
 becomes validity intervals [from, to), and every capture is judged against the intervals
 that hold its fetch time, for its host, every parent domain, and each of these with its
-first path segment.
+first path segment. Domains don't depend on case, path segments do.
 
 Captures are first reduced to distinct (host, segment, fetch day), so that a host with a
 third of all captures sends no more rows into the join than it has days and segments;
@@ -22,10 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Host labels that are looked at from the right; longer hosts are matched whole and by this many parents.
-LABELS = 6
-
-
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port and final dot; null if there is none."""
     host = F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
@@ -37,20 +33,22 @@ def segment_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1), F.lit(""))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels or more (one label if the host has no more)."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
-    least = F.least(n, F.lit(2))
-    upto = F.greatest(least, F.least(n, F.lit(LABELS)))
-    shorter = F.transform(F.sequence(least, upto), lambda k: F.concat_ws(".", F.slice(parts, n - k + 1, k)))
-    return F.array_distinct(F.concat(shorter, F.array(host)))
+def with_domains(captures: DataFrame) -> DataFrame:
+    """A row per domain of each host: the host itself and every parent domain, down to its last label."""
+    counted = captures.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))))
+    return counted.withColumn("domain", F.expr("substring_index(host, '.', -labels)")).drop("labels")
+
+
+def entry_of(entry: Column) -> Column:
+    """The entry with its domain lower-cased; a path segment stays as written, as in segment_of()."""
+    domain = F.substring_index(entry, "/", 1)
+    return F.concat(F.lower(domain), F.substring(entry, F.length(domain) + 1, F.length(entry)))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """entry, category, valid_from, valid_to (null: still valid) of entries: entry, category, day, action ('list' or 'delist')."""
     known = entries.where("entry IS NOT NULL AND day IS NOT NULL AND action IN ('list', 'delist')")
-    daily = known.groupBy(F.lower("entry").alias("entry"), "category", "day").agg(F.max(F.col("action") == "list").alias("listed"))
+    daily = known.groupBy(entry_of(F.col("entry")).alias("entry"), "category", "day").agg(F.max(F.col("action") == "list").alias("listed"))
     w = Window.partitionBy("entry", "category").orderBy("day")
     changed = daily.withColumn("before", F.coalesce(F.lag("listed").over(w), F.lit(False))).where("listed != before")
     return changed.withColumn("valid_to", F.lead("day").over(w)).where("listed").selectExpr("entry", "category", "day AS valid_from", "valid_to")
@@ -60,8 +58,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (capture_id, url, fetched date) with host, blocked, n_entries, categories (sorted, joined by commas) and first listing day among the active entries."""
     parsed = captures.select("capture_id", host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"), "fetched")
     kinds = parsed.where("host IS NOT NULL AND fetched IS NOT NULL").select("host", "segment", "fetched").distinct()
-    domains = kinds.withColumn("domain", F.explode(suffixes(F.col("host"))))
-    keyed = domains.withColumn("key", F.explode(F.array_distinct(F.array("domain", F.concat_ws("/", "domain", "segment")))))
+    keyed = with_domains(kinds).withColumn("key", F.explode(F.array_distinct(F.array("domain", F.concat_ws("/", "domain", "segment")))))
     active = keyed.join(intervals(entries), (F.col("key") == F.col("entry")) & (F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     verdicts = active.groupBy("host", "segment", "fetched").agg(
         F.countDistinct("entry", F.coalesce("category", F.lit(""))).alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"), F.min("valid_from").alias("listed_since")
