@@ -128,6 +128,52 @@ def test_vector_buckets_in_blocks(spark, monkeypatch):
     assert all(r.component_id == 0 for r in got) and sum(r.n_links for r in got) >= 0.8 * 90 * 89  # codes of one tight group in few dimensions are noise
 
 
+def links_shown(spark, x, labels):
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int")).collect()
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    want = len(vectors.exact_links(unit, labels))
+    shown = sum(r.n_links for r in got) / 2
+    print("links shown", shown, "of", want)
+    return shown / want
+
+
+@pytest.mark.parametrize("noise", [0.01, 0.15])
+def test_recall_in_one_tight_group(spark, noise):
+    """Also among vectors that are mostly one group, whose center is the mean."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1, 48)) + noise * rng.normal(size=(600, 48))
+    x[500:] = rng.normal(size=(100, 48))
+    assert links_shown(spark, x.astype(np.float32), np.zeros(600, int)) >= 0.9
+
+
+def test_recall_on_the_embeddings(spark):
+    """The table holds no links of its own, so each vector gets a partner just within the threshold."""
+    import os
+
+    at = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    rows = spark.read.parquet(at).toPandas()
+    x = np.array(rows["embedding"].tolist(), float)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    aside = np.random.default_rng(6).normal(size=x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    aside /= np.sqrt((aside**2).sum(1, keepdims=True))
+    both = np.concatenate([x, 0.9801 * x + np.sqrt(1 - 0.9801**2) * aside]).astype(np.float32)
+    assert links_shown(spark, both, np.tile(rows["label"].to_numpy(), 2)) >= 0.99
+
+
+def test_vectors_of_every_length(spark, monkeypatch):
+    """Lengths beyond the most frequent ones, and no link between lengths."""
+    monkeypatch.setattr(vectors, "LEARNED", 1)
+    rng = np.random.default_rng(4)
+    rows = []
+    for width in (3, 8, 9, 20, 20):
+        rows += [(len(rows) + i, (rng.normal(size=width) * 0 + np.arange(1, width + 1) + 0.001 * rng.normal(size=width)).tolist(), 0) for i in range(6)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: (5, i // 6 * 6) if i < 18 else (11, 18) for i in range(30)}
+
+
 @pytest.mark.parametrize("edges", [[(1, 2), (2, 3), (5, 4)], [(i, i + 1) for i in range(60)], [(1, 1)], []])
 def test_components(spark, edges):
     from tidemark.llm.graph import components

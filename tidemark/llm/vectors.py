@@ -39,6 +39,10 @@ BLOCK = 2048
 BITS, LEAST_PART, CROWD, MISSED = 64, 10, 512, 1e-3
 
 
+#: Vector lengths that get learned rotations, each in a job of its own; the others share one job, with random rotations.
+LEARNED = 64
+
+
 class Codes(NamedTuple):
     center: np.ndarray
     rotations: np.ndarray  # (codes, width, bits)
@@ -49,25 +53,62 @@ class Codes(NamedTuple):
         return len(self.rotations) * self.parts
 
 
-def layout(n: int, least: float) -> tuple[int, int]:
-    """Codes, and parts of each, for n vectors: parts are long enough to spread them, tables enough to show a link at the threshold.
+def layout(n: int, angle: float) -> tuple[int, int]:
+    """Codes, and parts of each, for n vectors: parts are long enough to spread them, tables enough to show a pair at this angle between the coded vectors.
 
     A bit tells vectors apart with their angle's share of a half turn.
     """
     length = max(LEAST_PART, math.ceil(math.log2(max(n, 1) / CROWD)))
     parts = max(1, BITS // length)
-    unseen = 1 - (1 - math.acos(min(max(least, -1.0), 0.999999)) / math.pi) ** length
+    unseen = 1 - (1 - min(max(angle, 1e-3), 3.0) / math.pi) ** length
     return max(1, math.ceil(math.log(MISSED) / math.log(unseen) / parts)), parts
 
 
-def learn(sample: np.ndarray, codes: int, bits: int, parts: int, rounds: int = 30, seed: int = 11) -> Codes:
+def raw_angle(least: float) -> float:
+    return math.acos(min(max(least, -1.0), 0.999999))
+
+
+def coded_angle(sample: np.ndarray, center: np.ndarray, least: float, share: float) -> float:
+    """The angle, as the codes of these vectors less the center see it, that this share of links at the threshold doesn't exceed.
+
+    From pairs of sampled vectors that are linked, and from sampled vectors with partners
+    made at the threshold.
+    """
+    rng = np.random.default_rng(12)
+    some = sample[rng.permutation(len(sample))[:2000]]
+    near = some @ some.T
+    one, two = np.nonzero(np.triu((near >= least) & (near < 1 - 1e-9), 1))
+    if len(one) > 4000:
+        kept = np.argsort(near[one, two], kind="stable")[:4000]  # those next to the threshold
+        one, two = one[kept], two[kept]
+    aside = rng.normal(size=some.shape)
+    aside -= (aside * some).sum(1, keepdims=True) * some
+    aside /= np.maximum(np.sqrt((aside**2).sum(1, keepdims=True)), 1e-12)
+    made = least * some + math.sqrt(max(0.0, 1 - least**2)) * aside
+    axes = _axes(sample - center)
+    x = (np.concatenate([some, some[one]]) - center) @ axes
+    y = (np.concatenate([made, some[two]]) - center) @ axes
+    cosine = (x * y).sum(1) / np.maximum(np.sqrt((x**2).sum(1) * (y**2).sum(1)), 1e-12)
+    return float(np.quantile(np.arccos(np.clip(cosine, -1, 1)), share))
+
+
+def planned(sample: np.ndarray, n: int, least: float) -> tuple[np.ndarray, tuple[int, int]]:
+    """The center of the codes, and their layout. The mean is the center unless this makes the angle of some link twice as wide, as in a tight group near the mean."""
+    mean, origin = sample.mean(0), np.zeros(sample.shape[1])
+    center = mean if coded_angle(sample, mean, least, 1.0) <= 2 * raw_angle(least) else origin
+    return center, layout(n, max(raw_angle(least), coded_angle(sample, center, least, 0.99)))
+
+
+def _axes(x: np.ndarray) -> np.ndarray:
+    _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(x.shape[1]))
+    return axes[:, ::-1][:, :BITS]
+
+
+def learn(sample: np.ndarray, center: np.ndarray, codes: int, parts: int, rounds: int = 30, seed: int = 11) -> Codes:
     """Iterative quantisation of unit vectors, once per code from another random start."""
-    width = sample.shape[1]
-    bits = min(bits, width)
-    center = sample.mean(0)
     x = sample - center
-    _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(width))
-    axes = axes[:, ::-1][:, :bits]
+    axes = _axes(x)
+    bits = axes.shape[1]
     projected = x @ axes
     rng = np.random.default_rng(seed)
     out = []
@@ -81,6 +122,12 @@ def learn(sample: np.ndarray, codes: int, bits: int, parts: int, rounds: int = 3
     return Codes(center, np.array(out), parts)
 
 
+def drawn(width: int, codes: int, parts: int) -> Codes:
+    """Codes of random directions, the same for each length wherever they are made."""
+    rng = np.random.default_rng([13, width])
+    return Codes(np.zeros(width), rng.normal(size=(codes, width, BITS)), parts)
+
+
 def keys(model: Codes, unit: np.ndarray) -> np.ndarray:
     """A row of table keys per vector; each part of a code as an integer."""
     out = []
@@ -112,8 +159,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     """
     spark = vectors.sparkSession
     classes = saved(_classes(vectors))
-    widths = [r[0] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(64).collect()]
-    found = [_links(classes.where(F.size("v") == n), least, sample_rows, tables) for n in widths]
+    widths = [r[0] for r in classes.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(LEARNED + 1).collect()]
+    found = [_links(classes.where(F.size("v") == n), least, sample_rows, tables) for n in widths[:LEARNED]]
+    if len(widths) > LEARNED:
+        found.append(_links(classes.where(~F.size("v").isin(widths[:LEARNED])), least, None, tables))
     if not found:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -130,30 +179,45 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample_rows: int =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, least: float, sample_rows: int, tables: tuple[int, int] | None) -> DataFrame:
-    """kind 0: class a has b linked vectors not shown by an earlier table; kind 1: classes a and b are linked."""
+def _links(classes: DataFrame, least: float, sample_rows: int | None, tables: tuple[int, int] | None) -> DataFrame:
+    """kind 0: class a has b linked vectors not shown by an earlier table; kind 1: classes a and b are linked.
+
+    classes are of one length, on whose sample codes are learned, or without sample_rows of
+    any, with codes drawn for each; only vectors of one length meet.
+    """
     spread = 1_000_003
     n = classes.count()
-    drawn = F.pmod(F.xxhash64("class_id"), F.lit(spread))
-    sample = classes.where(drawn <= int(spread * min(1.0, sample_rows / max(n, 1)))).select("v").limit(2 * sample_rows).toArrow()
-    codes, parts = tables or layout(n, least)
-    model = learn(unit_vectors(sample.column(0).combine_chunks()), codes, BITS, parts)
+    model = None
+    if sample_rows is None:
+        codes, parts = tables or layout(n, raw_angle(least))
+    else:
+        drawn_row = F.pmod(F.xxhash64("class_id"), F.lit(spread))
+        sample = classes.where(drawn_row <= int(spread * min(1.0, sample_rows / max(n, 1)))).select("v").limit(2 * sample_rows).toArrow()
+        if not sample.num_rows:
+            sample = classes.select("v").limit(2 * sample_rows).toArrow()
+        unit = unit_vectors(sample.column(0).combine_chunks())
+        center, (codes, parts) = planned(unit, n, least)
+        if tables:
+            codes, parts = tables
+        model = learn(unit, center, codes, parts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                k = keys(model, unit_vectors(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(k), pa.list_(pa.int64()))], names=["class_id", "label", "v", "copies", "codes"])
+            widths = np.array([len(v) for v in batch.column(2)])
+            for width in np.unique(widths):
+                some = batch.take(pa.array(np.flatnonzero(widths == width)))
+                k = keys(model or drawn(int(width), codes, parts), unit_vectors(some.column(2)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(k), pa.list_(pa.int64()))], names=["class_id", "label", "v", "copies", "codes"])
 
     coded = saved(classes.select("class_id", "label", "v", "copies").mapInArrow(index, "class_id long, label long, v array<double>, copies long, codes array<long>"))
-    spots = coded.select("class_id", "label", F.posexplode("codes").alias("t", "key"))
-    sizes = spots.groupBy("label", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = spots.join(sizes, ["label", "t", "key"])
+    spots = coded.select("class_id", "label", F.size("v").alias("width"), F.posexplode("codes").alias("t", "key"))
+    sizes = spots.groupBy("label", "width", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = spots.join(sizes, ["label", "width", "t", "key"])
     # a bucket of up to BLOCK is one task group; a larger one has a group per pair of its blocks
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     grouped = shared.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = grouped.select("class_id", "label", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    placed = grouped.select("class_id", "label", "width", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     carried = placed.join(coded.select("class_id", "v", "copies", "codes"), "class_id")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -183,7 +247,7 @@ def _links(classes: DataFrame, least: float, sample_rows: int, tables: tuple[int
         kind = np.repeat([0, 1], [len(shown), len(joined)])
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(np.concatenate([ids[shown], ids[joined]]), pa.int64()), "b": pa.array(np.concatenate([counts[shown], ids[ends[joined]]]), pa.int64())})
 
-    return carried.groupBy("label", "t", "key", "i", "j").applyInArrow(compare, "kind int, a long, b long")
+    return carried.groupBy("label", "width", "t", "key", "i", "j").applyInArrow(compare, "kind int, a long, b long")
 
 
 def joined_ends(ends: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
