@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass works on; a longer text makes a block of its own.
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one is made only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -39,13 +44,35 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: i
     """The batches cut so that the texts of each part have at most so many bytes, one row at least."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
-        sizes = np.cumsum(np.nan_to_num(np.asarray(texts.cast(pa.large_binary()).to_pandas().str.len(), dtype=float))) if len(texts) else np.empty(0)
+        upto = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
-            before = sizes[at - 1] if at else 0.0
-            upto = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+            before = upto[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def thrifty(run: Task) -> Task:
+    """run for mapInArrow, after which a worker gives unused memory back, as it stays for other tasks beside its executor."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

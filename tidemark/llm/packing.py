@@ -4,8 +4,8 @@ Every sequence has three limits at once: tokens, segments (pieces) and loss-bear
 tokens. Whole sequences are cut from long examples first; the rest is packed bin by bin
 with the dot-product heuristic: of the pieces that fit, take the one whose demand vector
 has the largest dot product with the bin's remaining capacities, both scaled by the
-limits. Where nothing fits whole, a piece is cut to fill what is left. At the end of a
-task, pieces that do not fill a sequence are cut into sequences whose length is a power
+limits; of equal ones, the one that came first. Where nothing fits whole, a piece is cut to
+fill what is left. At the end of a task, pieces that do not fill a sequence are cut into sequences whose length is a power
 of two, which need no padding.
 
 Each task packs its own rows in pools of bounded size, so there is no shuffle, a lost
@@ -29,18 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_blocks, texts_of
+from tidemark.llm.common import text_blocks, texts_of, thrifty
 
-#: Pieces that one pool of the heuristic sees, and words that a worker remembers, at most.
-POOL, CACHE_WORDS = 768, 1_000_000
+#: Pieces that one pool of the heuristic sees, about, and words in each of a worker's two memories.
+POOL, CACHE_WORDS = 768, 150_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokens are encoded once each.
+    """A tokenizers file whose pre-tokens are remembered with their ids.
 
-    The fast way holds for texts of Latin letters without combining marks; the library
+    When the memory is full it becomes the older one; words that come again move back from
+    there, so frequent words stay and rare ones go. The fast way holds for texts of Latin letters without combining marks; the library
     encodes any other text itself.
     """
 
@@ -58,6 +59,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         probe = "It's the WORLD'S 12 ÉÀ ß..--''  x\n\ty'll_a ¾ª×÷"
         self.fast = bool(self.ends.any()) and self._encode_fast([probe]) == self._encode_library([probe])
 
@@ -79,12 +81,16 @@ class WordTokenizer:
     def _encode_fast(self, texts: list[str]) -> list[bytes]:
         split = [self.words.findall(t.lower()) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         get = self.known.get
         out = [list(map(get, words)) for words in split]
         lacking = [i for i, ids in enumerate(out) if None in ids]
         if lacking:
-            self._learn(list({w for i in lacking for w, x in zip(split[i], out[i], strict=True) if x is None}))
+            fresh = {w for i in lacking for w, x in zip(split[i], out[i], strict=True) if x is None}
+            again = fresh & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            if fresh := fresh - again:
+                self._learn(list(fresh))
             for i in lacking:
                 out[i] = list(map(get, split[i]))
         return [b"".join(ids) for ids in out]
@@ -113,6 +119,7 @@ class Packer:
         self.limits = np.array([max_tokens, max_segments, max_loss_tokens], float)
         self.size, self.max_segments, self.max_loss = max_tokens, max_segments, max_loss_tokens
         self.pool: list[tuple[int, int, int, bool]] = []
+        self.held = 0  # tokens in the pool
 
     def add(self, example: int, tokens: int, loss: bool) -> Iterator[list[tuple[int, int, int, bool]]]:
         """Whole sequences of the example, then pools as they fill."""
@@ -123,8 +130,9 @@ class Packer:
         while at < tokens:  # pieces that no limit forbids by itself
             n = min(most, tokens - at)
             self.pool.append((example, at, n, loss))
+            self.held += n
             at += n
-        if len(self.pool) >= POOL:
+        if len(self.pool) >= POOL and self.held >= 4 * self.size or len(self.pool) >= POOL + self.max_segments:
             yield from self.bins(last=False)
 
     def bins(self, last: bool) -> Iterator[list[tuple[int, int, int, bool]]]:
@@ -135,7 +143,7 @@ class Packer:
         demand = np.stack([length, np.ones(len(pool)), loss], axis=1)
         free = np.ones(len(pool), bool)
         while free.any():
-            if not last and demand[free, 0].sum() < 4 * self.size:
+            if not last and demand[free, 0].sum() < 4 * self.size and free.sum() < POOL:
                 break  # the next pool fills these better
             left, chosen = self.limits.copy(), []
             while left[0] > 0 and left[1] > 0:
@@ -162,6 +170,7 @@ class Packer:
             else:
                 yield from self._powers(chosen, used)
         self.pool = [p for p, f in zip(pool, free, strict=True) if f]
+        self.held = sum(p[2] for p in self.pool)
 
     def _powers(self, pieces: list[tuple[int, int, int, bool]], used: int) -> Iterator[list[tuple[int, int, int, bool]]]:
         """The pieces cut into sequences of falling powers of two."""
@@ -192,6 +201,7 @@ def pack(
     bear loss, as an assistant's turns do; without it all do.
     """
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -217,7 +227,7 @@ def pack(
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 9, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=1 << 19):
             bears = block.column(2).to_pylist() if loss_column else [True] * block.num_rows
             done: list = []
             for doc, ids, loss in zip(block.column(0).to_pylist(), own.encode_batch(texts_of(block)), bears, strict=True):
