@@ -24,10 +24,16 @@ others), then all pairs of a group that are still in different components. So a
 group of near copies costs a few comparisons each, and no link between different
 components is ever skipped. Equal sets are one node throughout.
 
+A signature that more than FREQUENT sets of one task's portion share is known to be
+frequent there and then: its sharers travel by portion, not by signature, so that no task
+gets all of a passage's sets however many documents hold it.
+
 Null and empty texts have an empty set and are linked with nothing. A text with fewer
-words than a shingle is one shingle. Texts are read whole. Rows with equal doc_ids keep a
-row each; a null doc_id gets the component of its set's other documents, else null. Extra
-columns are ignored.
+words than a shingle is one shingle. Texts are read whole. Sets are compared, not ids:
+rows with equal doc_ids keep a row and a component each, and a text that only rows
+without a doc_id hold still links others. component_id is the smallest doc_id of the
+component, null if it has none. Extra columns are ignored. Two different sets count as
+equal if their 64-bit digests agree (one chance in 2**64 a pair).
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, text_blocks
+from tidemark.llm.common import give_back, saved, text_blocks, thrifty
 from tidemark.llm.graph import components
 from tidemark.llm.words import block_words, mix
 
@@ -254,15 +260,16 @@ def bit_maps(sets: Sets) -> list[bytes]:
 
 
 def documents(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set; null if it is empty), n_shingles, bits (see bit_maps())."""
+    """doc_id, row_key, node (hash of the set; null if it is empty), n_shingles, bits (see bit_maps()). docs: doc_id, text, row_key."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(1))
-            out = [block.column(0).cast(pa.int64()), pa.array(s.digests().view(np.int64), mask=s.sizes == 0), pa.array(s.sizes.astype(np.int64)), pa.array(bit_maps(s), pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "node", "n_shingles", "bits"])
+            out = [block.column(0), block.column(2), pa.array(s.digests().view(np.int64), mask=s.sizes == 0), pa.array(s.sizes.astype(np.int64)), pa.array(bit_maps(s), pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "row_key", "node", "n_shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, bits binary")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, "doc_id long, row_key long, node long, n_shingles long, bits binary")
 
 
 def _folded(maps: np.ndarray, width: int) -> np.ndarray:
@@ -279,6 +286,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(i).to_numpy() for i in (2, 3))
@@ -302,8 +310,13 @@ GATHER = 400_000
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """Signatures by bucket: each row holds those of one bucket from one task, as packed arrays, and the sets they are of."""
+    """Signatures by bucket: each row holds those of one bucket from one portion of a task, as packed arrays, and the sets they are of.
+
+    Signatures that are frequent within the portion go to one of as many buckets again, all of a
+    portion's to the same; the bucket of such a signature is only told so.
+    """
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Signatures] = []
         nodes: list[np.ndarray] = []
@@ -311,24 +324,40 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
         seen: set[int] = set()
         count = at = 0
 
+        def row(b: int, **packed: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([packed[c].tobytes() if c in packed else b""], pa.binary()) for c in PACKED[1:])], names=PACKED)
+
         def out() -> Iterator[pa.RecordBatch]:
             values, owners, weights, own = (np.concatenate([x[k] for x in held]) for k in range(4))
             node, size, slack = np.concatenate(nodes), np.concatenate(sizes), np.concatenate([x.slack for x in held])
             bucket = ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            order = np.lexsort((owners, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            key = (bucket.astype(np.int64) << 32) | (values & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+            def signed(mine: np.ndarray, of: np.ndarray) -> dict[str, np.ndarray]:
+                # bits and byte planes, as they compress; only values and node numbers cost their length
+                kinds, runs = np.unique(owners[mine], return_counts=True)
+                return {"values": of[mine], "runs": _planes(runs), "own": np.packbits(own[mine]), "twice": np.packbits(weights[mine] > 1), "nodes": node[kinds], "classes": size_class(size[kinds])}
+
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+            length = np.diff(np.append(starts, len(order)))
+            often, times = key[order[starts[length > FREQUENT]]], length[length > FREQUENT]
+            hot = order[np.repeat(length > FREQUENT, length)]
+            if len(hot):
+                yield row(buckets + int(node[0] % buckets), **signed(hot[np.argsort(owners[hot], kind="stable")], key), counts=_planes(np.repeat(times, times)[np.argsort(owners[hot], kind="stable")]))
+            rest = order[np.repeat(length <= FREQUENT, length)]
+            rest = rest[np.lexsort((owners[rest], bucket[rest]))]
+            edges, often_edges = np.searchsorted(bucket[rest], np.arange(buckets + 1)), np.searchsorted(often >> 32, np.arange(buckets + 1))
             told = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             by_told = np.argsort(told, kind="stable")
             told_edges = np.searchsorted(told[by_told], np.arange(buckets + 1))
+            low = values.astype(np.uint32)
             for b in range(buckets):
-                mine = order[edges[b] : edges[b + 1]]
+                mine = rest[edges[b] : edges[b + 1]]
                 tell = by_told[told_edges[b] : told_edges[b + 1]]
-                if not len(mine) and not len(tell):
-                    continue
-                kinds, runs = np.unique(owners[mine], return_counts=True)
-                # bits and byte planes, as they compress; only values and node numbers cost their length
-                packed = [values[mine].astype(np.uint32), _planes(runs), np.packbits(own[mine]), np.packbits(weights[mine] > 1), node[kinds], size_class(size[kinds]), node[tell], _planes(slack[tell])]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], names=PACKED)
+                known = often[often_edges[b] : often_edges[b + 1]]
+                if len(mine) or len(tell) or len(known):
+                    yield row(b, **signed(mine, low), told=node[tell], slack=_planes(slack[tell]), often=known.astype(np.uint32))
 
         for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(0))
@@ -352,7 +381,8 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in PACKED[1:]))
 
 
-PACKED = ["bucket", "values", "runs", "own", "twice", "nodes", "classes", "told", "slack"]
+#: What a row of _bucketed() packs. values: the low half of signatures; for frequent ones whole keys, with the sharers in the portion in counts. often: frequent ones of the bucket.
+PACKED = ["bucket", "values", "runs", "own", "twice", "nodes", "classes", "told", "slack", "often", "counts"]
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -364,57 +394,70 @@ def _unplaned(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 #: kind 0: a group of sets that share a signature (key: hash of its members); 1: one set's share in a frequent signature (key, with the sets that share it); 2: a set's slack.
-GROUPS = "kind int, key long, nodes array<long>, classes array<int>, weight int, own boolean, sharers int"
+GROUPS = "kind int, key long, nodes array<long>, classes array<int>, weight int, own boolean, sharers long"
 
 
-def _groups(bucketed: DataFrame) -> DataFrame:
+def _groups(bucketed: DataFrame, buckets: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
+        first_bucket = group.column("bucket")[0].as_py()
+        hot = first_bucket >= buckets
         parts = {c: [x.as_py() for x in group.column(c)] for c in PACKED[1:]}
-        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], ("u4", "u1", "u1", "u1", "i8", "u1", "i8", "u1"), strict=True)}
+        kinds = ("i8" if hot else "u4", "u1", "u1", "u1", "i8", "u1", "i8", "u1", "u4", "u1")
+        arrays = {c: [np.frombuffer(x, t) for x in parts[c]] for c, t in zip(PACKED[1:], kinds, strict=True)}
+        del parts
         values, nodes, classes = (np.concatenate(arrays[c]) for c in ("values", "nodes", "classes"))
         owners = np.repeat(np.arange(len(nodes)), np.concatenate([_unplaned(x) for x in arrays["runs"]]))
         own, twice = (np.concatenate([np.unpackbits(x, count=len(v)) for x, v in zip(arrays[c], arrays["values"], strict=True)]) for c in ("own", "twice"))
+        told, slack, counts = np.concatenate(arrays["told"]), np.concatenate([_unplaned(x) for x in arrays["slack"]]), np.concatenate([_unplaned(x) for x in arrays["counts"]])
+        known = np.unique(np.concatenate(arrays["often"]))
+        del arrays
         marks = (1 + twice) * 2 + own
-        node = nodes[owners]
-        order = np.argsort(values, kind="stable")
-        v = values[order]
-        same = v[1:] == v[:-1]
-        shared = np.zeros(len(v), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        order = order[shared]
-        order = order[np.lexsort((node[order], values[order]))]
-        v, x, m, n = values[order], node[order], marks[order], classes[owners[order]].astype(np.int32)
-        fresh = np.ones(len(v), bool)
-        fresh[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])  # one set's copies from several tasks
-        v, x, m, n = v[fresh], x[fresh], m[fresh], n[fresh]
-        starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, int)
-        length = np.diff(np.append(starts, len(v)))
-        small = (length > 1) & (length <= FREQUENT)
-        digest = np.add.reduceat(mix(x.view(np.uint64)), starts) if len(v) else np.empty(0, np.uint64)
-        first = np.flatnonzero(small)
-        first = first[np.unique(digest[first], return_index=True)[1]] if len(first) else first
-        member = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[first], length[first], strict=True)]) if len(first) else np.empty(0, int)
-        offsets = np.concatenate([[0], np.cumsum(length[first])]).astype(np.int32)
-        often = np.repeat(length > FREQUENT, length)
-        sharers = np.repeat(length, length)[often].astype(np.int32)
-        names = v[often].astype(np.int64) | (group.column("bucket")[0].as_py() << 32)
-        told, slack = np.concatenate(arrays["told"]), np.concatenate([_unplaned(x) for x in arrays["slack"]])
+        node, size = nodes[owners], classes[owners].astype(np.int32)
+        if hot:
+            names, x, m, n, sharers = values, node, marks, size, counts.astype(np.int64) << 10  # more than any count of the rest
+            first, offsets, member, digest = np.empty(0, int), np.zeros(1, np.int32), np.empty(0, int), np.empty(0, np.uint64)
+            often = np.ones(len(x), bool)
+        else:
+            order = np.argsort(values, kind="stable")
+            v = values[order]
+            same = v[1:] == v[:-1]
+            shared = known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v if len(known) else np.zeros(len(v), bool)
+            shared[1:] |= same
+            shared[:-1] |= same
+            order = order[shared]
+            order = order[np.lexsort((node[order], values[order]))]
+            v, x, m, n = values[order], node[order], marks[order], size[order]
+            fresh = np.ones(len(v), bool)
+            fresh[1:] = (v[1:] != v[:-1]) | (x[1:] != x[:-1])  # one set's copies from several tasks
+            v, x, m, n = v[fresh], x[fresh], m[fresh], n[fresh]
+            starts = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.empty(0, int)
+            length = np.diff(np.append(starts, len(v)))
+            frequent = (length > FREQUENT) | np.isin(v[starts], known)
+            digest = np.add.reduceat(mix(x.view(np.uint64)), starts) if len(v) else np.empty(0, np.uint64)
+            first = np.flatnonzero((length > 1) & ~frequent)
+            first = first[np.unique(digest[first], return_index=True)[1]] if len(first) else first
+            member = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[first], length[first], strict=True)]) if len(first) else np.empty(0, int)
+            offsets = np.concatenate([[0], np.cumsum(length[first])]).astype(np.int32)
+            often = np.repeat(frequent, length)
+            sharers = np.repeat(length, length)
+            names = v.astype(np.int64) | (first_bucket << 32)
         k, f, s = len(first), int(often.sum()), len(told)
         one = np.arange(f + s + 1, dtype=np.int32)
         members = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[member])), pa.ListArray.from_arrays(pa.array(one), pa.array(np.concatenate([x[often], told])))])
-        counts = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[member])), pa.ListArray.from_arrays(pa.array(one), pa.array(np.concatenate([n[often], np.zeros(s, "i4")])))])
-        return pa.table(
+        sizes = pa.concat_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(n[member])), pa.ListArray.from_arrays(pa.array(one), pa.array(np.concatenate([n[often], np.zeros(s, "i4")])))])
+        out = pa.table(
             {
                 "kind": pa.array(np.repeat([0, 1, 2], [k, f, s]).astype(np.int32)),
-                "key": pa.array(np.concatenate([digest[first].view(np.int64), names, np.zeros(s, np.int64)])),
+                "key": pa.array(np.concatenate([digest[first].view(np.int64), names[often], np.zeros(s, np.int64)])),
                 "nodes": members,
-                "classes": counts,
+                "classes": sizes,
                 "weight": pa.array(np.concatenate([np.zeros(k, np.int32), (m[often] >> 1).astype(np.int32), slack.astype(np.int32)])),
                 "own": pa.array(np.concatenate([np.zeros(k, bool), (m[often] & 1).astype(bool), np.zeros(s, bool)])),
-                "sharers": pa.array(np.concatenate([np.zeros(k, np.int32), sharers, np.zeros(s, np.int32)])),
+                "sharers": pa.array(np.concatenate([np.zeros(k, np.int64), sharers[often].astype(np.int64), np.zeros(s, np.int64)])),
             }
         )
+        give_back()
+        return out
 
     return bucketed.groupBy("bucket").applyInArrow(run, GROUPS)
 
@@ -425,11 +468,11 @@ def _near_in_size(a: str, b: str) -> str:
 
 
 def _spot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    return F.pmod(F.xxhash64("row_key"), F.lit(FILTER_BITS)) + 1
 
 
-def _spotted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text of the documents wanted (doc_id) and few others; a filter of fixed size keeps most of the rest out of shuffles."""
+def _spotted(docs: DataFrame, wanted: DataFrame, sets: bool = False) -> DataFrame:
+    """row_key, text of the documents wanted (row_key) and few others, or with sets row_key, node, hashes; a filter of fixed size keeps most of the rest out of shuffles."""
     marked = wanted.select(_spot().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     filter_ = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in marked.toLocalIterator():  # FILTER_BITS bits in all
@@ -437,25 +480,25 @@ def _spotted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         filter_[(r["b"] - 1) * len(raw) : r["b"] * len(raw)] = raw
     sent = docs.sparkSession.sparkContext.broadcast(filter_)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(2).to_numpy() - 1
             yield batch.filter(pa.array((sent.value[s >> 3] >> (s & 7)) & 1 == 1)).select([0, 1])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _spot().alias("s")).mapInArrow(run, "doc_id long, text string")
+    @thrifty
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(found(batches), most=PIECE):
+            own = shingle_sets(block.column(1))
+            hashes = pa.ListArray.from_arrays(pa.array(own.first.astype(np.int32)), pa.array(own.hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(own.digests().view(np.int64)), hashes], names=["row_key", "node", "hashes"])
 
+    marked_docs = docs.where("text IS NOT NULL").select("row_key", "text", _spot().alias("s"))
+    return marked_docs.mapInArrow(as_sets, "row_key long, node long, hashes array<long>") if sets else marked_docs.mapInArrow(thrifty(found), "row_key long, text string")
 
-def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes of the documents wanted (doc_id, node)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, most=PIECE):
-            sets = shingle_sets(block.column(1))
-            hashes = pa.ListArray.from_arrays(pa.array(sets.first.astype(np.int32)), pa.array(sets.hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sets.digests().view(np.int64)), hashes], names=["doc_id", "node", "hashes"])
-
-    found = _spotted(docs, wanted).mapInArrow(run, "doc_id long, node long, hashes array<long>")
-    return found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
+def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, hashes of the documents wanted (row_key, node)."""
+    return _spotted(docs, wanted, sets=True).join(wanted, ["row_key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -467,15 +510,16 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     placed = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     roles = placed.select("a", "part", F.col("b").alias("node"), F.lit(1).alias("role")).union(placed.select("a", "part", F.col("a").alias("node"), F.lit(0).alias("role")).distinct())
-    asked = roles.join(nodes.select("node", F.col("rep").alias("doc_id")), "node")
-    found = _spotted(docs, asked.select("doc_id").distinct()).join(asked, "doc_id").select("a", "part", "role", "node", "text")
+    asked = roles.join(nodes.select("node", "row_key"), "node")
+    found = _spotted(docs, asked.select("row_key").distinct()).join(asked, "row_key").select("a", "part", "role", "node", "text")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, one = None, np.empty(0, np.uint64)
         for block in text_blocks(batches, most=PIECE):
             s = shingle_sets(block.column(4))
             a, part, role, node = (block.column(i).to_numpy() for i in range(4))
-            right = s.digests().view(np.int64) == node  # another row may have the same doc_id
+            right = s.digests().view(np.int64) == node  # another text may have the same hash
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(right).tolist():
                 own = s.hashes[s.first[i] : s.first[i + 1]]
@@ -539,6 +583,7 @@ def _compared_with_all(docs: DataFrame, few: DataFrame) -> list[DataFrame]:
         order = np.argsort(hashes, kind="stable")
         sent = docs.sparkSession.sparkContext.broadcast((names, sizes, hashes[order], np.repeat(np.arange(len(held)), sizes)[order]))
 
+        @thrifty
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, sizes, hashes, owner = sent.value
             for block in text_blocks(batches, most=PIECE):
@@ -564,17 +609,28 @@ def _compared_with_all(docs: DataFrame, few: DataFrame) -> list[DataFrame]:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a hash of both, by which a row is found again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of docs: doc_id, text."""
+    return classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (see _keyed()), n_shingles, class (equal for the rows of a component, null for empty sets), component_id; one row per row of docs."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(docs)
     rows = saved(documents(docs))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, math.ceil(0.65 * total / BUCKET))
-    nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
-    groups = saved(_groups(_bucketed(docs.where("text IS NOT NULL"), buckets)))
+    nodes = saved(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("row_key", "doc_id"), F.min("row_key")).alias("row_key"), F.max("n_shingles").alias("n"), F.first("bits", ignorenulls=True).alias("bits")))
+    groups = saved(_groups(_bucketed(docs.where("text IS NOT NULL"), buckets), buckets))
 
-    shares = groups.where("kind = 1").select("key", F.col("nodes")[0].alias("node"), F.col("classes")[0].alias("n"), "weight", "own", "sharers")
+    # a set's copies may have come with several portions
+    shares = groups.where("kind = 1").groupBy("key", F.col("nodes")[0].alias("node")).agg(*(F.max(c).alias(a) for c, a in ((F.col("classes")[0], "n"), (F.col("weight"), "weight"), (F.col("own"), "own"), (F.col("sharers"), "sharers"))))
     slack = groups.where("kind = 2").groupBy(F.col("nodes")[0].alias("node")).agg(F.max("weight").alias("slack"))
     short = slack.where("slack < 0")
     # A linked pair that shares no rarer signature shares frequent ones of more than the smaller set's slack. So that set may
@@ -602,18 +658,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
-    few = short.join(nodes, "node").select(F.col("rep").alias("doc_id"), "node")
+    few = short.join(nodes, "node").select("row_key", "node")
     for found in _compared_with_all(docs, saved(_needed_sets(docs, few))):
         links = links.union(found)
 
-    reps = nodes.select("node", "rep")
-    ends = links.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = saved(components(spark, ends.where("a IS NOT NULL AND b IS NOT NULL")))
-    of_node = reps.join(labels.toDF("rep", "component"), "rep", "left").select("node", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = saved(components(spark, links))
+    of_node = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("class"))
+    named = of_node.join(of_node.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("node", "class", "component_id")
+    return rows.join(named, "node", "left").select("doc_id", "row_key", "n_shingles", "class", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, but for those of documents with a smaller doc_id in their component."""
-    others = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("dropped_doc_id")).distinct()
-    return docs.join(others, docs["doc_id"] == others["dropped_doc_id"], "left_anti")
+    """One row of each component, with all its columns: that of the smallest doc_id (null ones last), of several rows of that document one; rows with empty sets all stay."""
+    found = saved(classes(docs).where("class IS NOT NULL").select("doc_id", "row_key", "class"))
+    kept = saved(found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("row_key")))
+    times = found.groupBy(F.col("row_key").alias("found_row_key")).agg(F.count("*").alias("found_times"))
+    gone = times.join(kept, F.col("found_row_key") == F.col("row_key"), "left").select("found_row_key", "found_times", F.col("row_key").isNotNull().alias("found_kept"))
+    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    out = docs.join(gone.where("NOT found_kept OR found_times > 1"), key == F.col("found_row_key"), "left_anti")
+    again = gone.where("found_kept AND found_times > 1").select("found_row_key")
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, key == F.col("found_row_key")).groupBy("found_row_key").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return out.union(rows.select("row.*"))
