@@ -12,12 +12,16 @@ set is indexed in the band of its own size and in the lower ones in which a part
 of its size may be at home.
 
 Empty subsets are never indexed, and signatures that more than FREQUENT sets share make no
-pairs at first. Each set knows how many differences its signatures stand beyond need (its
-slack). The smaller set of a linked pair shares more than its slack with the other; so it
-may forget its most frequent signatures up to the slack, which for most sets are all its
-frequent ones, and asks for the others: pairs of an asking set and any other set that
-shares the signature are looked at as well, in blocks. If even a set's non-empty subsets
-are too few (about one set in a million), it is compared with all sets in the size range.
+pairs. Each set knows how many differences its signatures stand beyond need (its slack).
+The smaller set of a linked pair that shares no rarer signature shares frequent ones of
+more than its slack with the other: such a set may forget its most frequent signatures up
+to the slack, which for most sets are all its frequent ones, and asks for the others. Sets
+that ask, and those that share as much with one that does, are the dense ones. They meet
+by single shingles, taken from the rarest: two linked sets agree on one of the first
+a - 6a/7 + 1 shingles of the smaller and the first b - 3b/4 + 1 of the larger, in an order
+that all share, so a passage that most documents hold makes pairs only of sets that hold
+little else. If even a set's non-empty subsets are too few (about one set in a million),
+it is compared with all sets in the size range.
 
 Candidates are verified exactly, first as stars (each group's smallest set with the
 others), then all pairs of a group that are still in different components. So a large
@@ -45,6 +49,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +64,9 @@ RATIO, FREQUENT, BUCKET = 1.8, 16, 500_000
 TINY, SMALL, SPREAD = 5, 66, 1 << 12
 #: Share of a set's shingles that may lie in frequent signatures before it has to ask for them; also the reserve for empty subsets.
 LOSS = 0.3
-#: Rows of a frequent signature's group that one task compares with each other, at most twice as many.
+#: Cells of the counts by which dense sets order their shingles, whatever the input; shingles that one numpy pass orders.
+CELLS, ORDERED = 1 << 20, 500_000
+#: Rows of a dense shingle's group that one task compares with each other, at most twice as many.
 BLOCK = 1024
 #: Text bytes that one numpy pass works on.
 PIECE = 700_000
@@ -497,8 +504,8 @@ def _spotted(docs: DataFrame, wanted: DataFrame, sets: bool = False) -> DataFram
 
 
 def _needed_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, hashes of the documents wanted (row_key, node)."""
-    return _spotted(docs, wanted, sets=True).join(wanted, ["row_key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
+    """node, hashes of the documents wanted (row_key, node); a document of several equal rows comes as often."""
+    return _spotted(docs, wanted, sets=True).join(wanted, ["row_key", "node"], "left_semi").select("node", "hashes")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -536,27 +543,78 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def _set_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Sets]]:
+    """Nodes and sets of batches of node, hashes, cut to about ORDERED shingles."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + ORDERED, side="right")))
+            some = batch.slice(at, to - at)
+            yield some.column(0).to_numpy(), Sets(some.column(1).flatten().to_numpy().view(np.uint64), np.concatenate([[0], ends[at:to] - before]))
+            at = to
+
+
+def _cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets (node, hashes) fall into each of CELLS cells."""
+
+    @thrifty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for _, s in _set_blocks(batches):
+            total += np.bincount((s.hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    got = sets.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """key (a shingle), node, n (size class), asks: of each set (node, hashes) the first shingles in the shared order, and whether it asks for them as a pair's smaller set."""
+    sent = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
+
+    @thrifty
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, s in _set_blocks(batches):
+            size = s.sizes
+            owner = np.repeat(np.arange(len(node)), size)
+            order = np.lexsort((s.hashes, sent.value[(s.hashes & np.uint64(CELLS - 1)).astype(np.int64)], owner))
+            rank = np.arange(len(owner)) - s.first[:-1][owner]  # owners come in turn
+            as_larger, as_smaller = size - -(-PER_CENT * size // 100) + 1, size - -(-2 * PER_CENT * size // (100 + PER_CENT)) + 1
+            some = np.flatnonzero(rank < as_larger[owner])
+            of = owner[some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s.hashes[order[some]].view(np.int64)), pa.array(node[of]), pa.array(size_class(size)[of].astype(np.int32)), pa.array(rank[some] < as_smaller[of])],
+                names=["key", "node", "n", "asks"],
+            )
+
+    return sets.mapInArrow(run, "key long, node long, n int, asks boolean")
+
+
 def _cross_pairs(shares: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a frequent signature for which the smaller one asks.
+    """Pairs of nodes of different components that share a shingle for which the smaller one asks.
 
-    shares: key, node, n (size class), reach, need (beyond any reach if it doesn't ask), component.
-    Signatures of the same sets count once; a group over BLOCK rows is cut into blocks whose
-    pairs are tasks of their own.
+    shares: key, node, n (size class), asks, component. Shingles of the same sets count once;
+    a group over BLOCK rows is cut into blocks whose pairs are tasks of their own.
     """
-    digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node", "need", "reach").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node", "asks").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     once = digests.where("low != high").groupBy("d", "size").agg(F.min("key").alias("key"))
     placed = shares.join(once.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
     own = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = own.select("key", "node", "n", "reach", "need", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = own.select("key", "node", "n", "asks", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        node, n, component, reach, need, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "reach", "need", "own"))
+        node, n, component, asks, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "asks", "own"))
         across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         kinds, sizes = np.unique(component, return_counts=True)
         rest = np.flatnonzero(component != kinds[sizes.argmax()])  # every pair across components has one outside the largest
         found = []
         for k in rest:
-            near = (component != component[k]) & ((n <= n[k]) & (need <= reach[k]) | (n >= n[k]) & (need[k] <= reach)) & (np.abs(n - n[k]) <= STEPS)
+            near = (component != component[k]) & ((n <= n[k]) & asks | (n >= n[k]) & asks[k]) & (np.abs(n - n[k]) <= STEPS)
             if across:
                 near &= block != block[k]
             other = node[near]
@@ -638,13 +696,16 @@ def classes(docs: DataFrame) -> DataFrame:
     of_set = Window.partitionBy("node", "own")
     mine = shares.withColumns({"upto": F.sum("weight").over(of_set.orderBy(F.desc("sharers"), "key")), "reach": F.sum("weight").over(of_set)})
     met = mine.join(slack.where("slack >= 0"), "node", "left").withColumn("need", F.when(F.col("own") & (F.col("upto") > F.col("slack")), F.col("slack") + 1))
-    told = saved(met.select("key", "node", "n", "reach", "need"))
-    asked = told.where("need IS NOT NULL").groupBy("key").agg(F.min("node").alias("leader"), F.min("need").alias("least"))
-    of_asked = saved(told.join(asked, "key").where("need IS NOT NULL OR reach >= least").drop("least"))
+    told = saved(met.select("key", "node", "reach", "need"))
+    asked = told.where("need IS NOT NULL").groupBy("key").agg(F.min("need").alias("least"))
+    dense = told.join(asked, "key").where("need IS NOT NULL OR reach >= least").select("node").distinct()
+    shingles = saved(_prefixes(saved(_needed_sets(docs, nodes.join(dense, "node").select("row_key", "node")))))
+    met_in = shingles.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.max("asks").alias("asked")).where("leader != last AND asked").select("key", "leader")
+    of_asked = saved(shingles.join(met_in, "key"))
 
     runs = saved(groups.where("kind = 0").select("key", "nodes", "classes").dropDuplicates(["key"]))
     star = runs.select(F.col("nodes")[0].alias("a"), F.col("classes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.classes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
-    pairs = saved(star.select("a", "b").union(of_asked.where("need IS NOT NULL AND leader != node").select("leader", "node")).distinct())
+    pairs = saved(star.select("a", "b").union(of_asked.where("asks AND leader != node").select("leader", "node")).distinct())
     first = saved(_verified(docs, nodes, saved(_plausible(pairs, nodes))))
     stars = saved(components(spark, first))
 
@@ -654,12 +715,12 @@ def classes(docs: DataFrame) -> DataFrame:
     across = mixed.select(
         F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.component != x.component AND {_near_in_size('x.n', 'y.n')}), y -> named_struct('a', x.node, 'b', y.node))))")).alias("p")
     ).select("p.a", "p.b")
-    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "reach", F.coalesce("need", F.lit(2**31 - 1)).alias("need"), F.coalesce("component", "node").alias("component"))
+    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "asks", F.coalesce("component", "node").alias("component"))
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     few = short.join(nodes, "node").select("row_key", "node")
-    for found in _compared_with_all(docs, saved(_needed_sets(docs, few))):
+    for found in _compared_with_all(docs, saved(_needed_sets(docs, few).dropDuplicates(["node"]))):
         links = links.union(found)
 
     labels = saved(components(spark, links))
