@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard, vectors
+from tests_llm_brute import components  # noqa: I001
 
 
 def brute(rows):
@@ -216,3 +217,31 @@ def test_common_passages(spark, monkeypatch, frequent):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
     assert got == want and len({c for _, c in want.values()}) < 140
+
+
+def test_repeated_and_missing_ids_in_keep_one(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    near = a.replace("w59", "x")
+    rows = [(1, a, "p"), (5, a, "q"), (5, b, "r"), (7, near, "s"), (None, near, "t"), (None, "z " * 30, "u"), (9, b, "v"), (9, b, "v"), (3, None, "w"), (3, "", "x"), (4, b, "y"), (4, b, "y")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(((r.doc_id, r.source) for r in kept.collect()), key=str) == sorted([(1, "p"), (4, "y"), (None, "u"), (3, "w"), (3, "x")], key=str)
+
+
+def test_a_text_without_id_links_others(spark):
+    words = [f"w{i}" for i in range(200)]
+    one, two, three = words[:160], words[12:172], words[24:184]  # neighbours are linked, the outer ones aren't
+    rows = [(4, " ".join(one)), (None, " ".join(two)), (2, " ".join(three))]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {4: 2, None: 2, 2: 2}
+
+
+def test_a_passage_in_every_set_makes_few_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join(passage + [f"{k}x{rng.randrange(10**9)}" for _ in range(60 if k % 3 else 15)]) for k in range(400)]
+    texts += [" ".join(t.split(" ")[:-3] + ["a", "b", "c"]) for t in texts[:40]]
+    want = components(dict(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want

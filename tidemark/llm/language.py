@@ -8,8 +8,9 @@ bucket, and a text costs one gather per n-gram. A temperature and the rejection
 are calibrated on a part of the sample that training doesn't see.
 
 Null texts and texts without a letter get "und", score 0 and are rejected. Texts are
-read whole. Rows are independent, so repeats and extra columns don't matter. Without any
-labelled row every language is "und".
+read whole. Of equally likely languages the first by name is given. Rows are independent,
+so repeats and extra columns don't matter. Without any labelled row every language is
+"und".
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import text_blocks, texts_of
+from tidemark.llm.common import text_blocks, texts_of, thrifty
 
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (2, 3, 4)
+#: Text bytes that one numpy pass works on; rows and bytes of the sample in all, about.
+BLOCK, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 18, 200_000, 256 << 20
 LETTER = re.compile(r"[^\W\d_]")
 GAP = "    "
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -142,18 +145,22 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], lis
 
 
 def fit(labelled: DataFrame, per_language: int = 500) -> Model:
-    """Trains on about per_language whole texts of each language, by hash of doc_id, twice that in all per language at most.
+    """Trains on about per_language whole texts of each language, by a hash of doc_id and text; fewer where all samples would pass SAMPLE_ROWS or SAMPLE_BYTES.
 
-    labelled: doc_id, text, lang. Rows without text or language don't count.
+    labelled: doc_id, text, lang. Rows without text or language don't count. Every language
+    is learned; time and the model's size grow with their number.
     """
     known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(400).collect()}
-    if not sizes:
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    languages = sizes.count()
+    if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
-    spread = 1_000_003
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(spread * min(1.0, per_language / n)) + 1)])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))
-    rows = known.where(F.col("lang").isin(list(sizes))).where(drawn < share[F.col("lang")]).orderBy(drawn, "doc_id").limit(2 * per_language * len(sizes)).collect()
+    spread, per = 1_000_003, max(2, min(per_language, SAMPLE_ROWS // languages))
+    share = F.least(F.lit(1.0), F.lit(per) / F.col("n"), F.lit(SAMPLE_BYTES / languages) / F.greatest(F.col("bytes"), F.lit(1)))
+    shares = sizes.select(F.col("lang").alias("of"), (F.floor(share * spread) + 1).alias("upto"))
+    drawn = known.withColumn("drawn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))).join(shares, F.col("lang") == F.col("of"))
+    rows = drawn.where("drawn < upto").select("drawn", "doc_id", "text", "lang").limit(2 * per * languages).collect()  # the limit is for rows that repeat without end
+    rows.sort(key=lambda r: (r["drawn"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -161,8 +168,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id with the predicted language, its calibrated probability and whether it is rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of logits, whatever the input
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=BLOCK):
             names, scores, rejected = predict(sent.value, texts_of(block))
             yield pa.RecordBatch.from_arrays([block.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
@@ -173,8 +181,9 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all their columns, whose language is not rejected."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, most=BLOCK):
             yield block.filter(pa.array([not x for x in predict(sent.value, texts_of(block))[2]], pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.common import text_blocks, thrifty
+
 ROUNDS = 8
 #: Digits of the longest card.
 MOST_CARD = 19
@@ -308,13 +310,14 @@ class Pseudonyms:
             if kind == "mail" and "@" not in text:
                 continue
             for m in pattern.finditer(text):
-                if any(m.start() < b and a < m.end() for a, b, _ in spans):
+                at = bisect.bisect_left(spans, (m.end(),))  # spans are sorted and don't overlap: the last one that begins before the end decides
+                if at and m.start() < spans[at - 1][1]:
                     continue
                 new = getattr(self, kind)(m, back)
                 if new is not None:
-                    spans.append((m.start(), m.end(), new))
+                    spans.insert(at, (m.start(), m.end(), new))
                     counts[kind] += 1
-        own = self.cards(text, sorted(spans), back)
+        own = self.cards(text, spans, back)
         counts["card"] += len(own)
         spans += own
         if not spans:
@@ -327,9 +330,10 @@ class Pseudonyms:
 
 
 def _mapper(names: list[str], text_at: int, key: str, counts: bool) -> Callable:
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in text_blocks(batches, names[text_at], most=1 << 20):
             found = [(None, dict.fromkeys(KINDS, 0)) if t is None else own.replace(t) for t in batch.column(text_at).to_pylist()]
             columns = list(batch.columns)
             columns[text_at] = pa.array([x[0] for x in found], pa.string())
