@@ -44,11 +44,11 @@ def star_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return descriptive.star_distribution(frame(spark, sf, "reviews"))
 
 
-@query(f"""{with_views('products', 'reviews')}, r AS (SELECT product_id, count(*) AS n, avg(rating) AS av, stddev_samp(rating) AS sd, sum(CASE WHEN rating >= 4 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN rating <= 2 THEN 1 ELSE 0 END) AS bad FROM reviews WHERE CAST(product_id AS BIGINT) % 3 > 0 GROUP BY 1)
+@query(f"""{with_views('products', 'reviews')}, r AS (SELECT product_id, count(*) AS n, avg(rating) AS av, stddev_samp(rating) AS sd, sum(CASE WHEN rating >= 4 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN rating <= 2 THEN 1 ELSE 0 END) AS bad FROM reviews GROUP BY 1)
 SELECT product_id, product_name, brand, category, coalesce(n, 0) AS review_count, {rounded('av')} AS avg_rating, {rounded('sd')} AS rating_std, {rounded('good / n', 4)} AS positive_ratio, {rounded('bad / n', 4)} AS negative_ratio, CASE WHEN n IS NULL THEN 'unavailable' ELSE 'available' END AS rating_availability_status FROM products LEFT JOIN r USING (product_id)""")
 def product_metrics(spark: SparkSession, sf: str) -> DataFrame:
     products, reviews = both(spark, sf)
-    return descriptive.product_metrics(reviews.where("CAST(product_id AS BIGINT) % 3 > 0"), products)
+    return descriptive.product_metrics(reviews, products)
 
 
 def _comparison(name: str) -> str:
@@ -100,18 +100,18 @@ def run_status(spark: SparkSession, sf: str) -> DataFrame:
 _DAYS = "w AS (SELECT *, sum(n) OVER r AS wn, sum(s) OVER r AS ws, count(*) OVER r AS k FROM d WINDOW r AS (ORDER BY date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"
 
 
-@query(f"""{with_views('reviews')}, d AS (SELECT CAST(review_date AS DATE) AS date, count(*) AS n, sum(rating) AS s, sum(CASE WHEN rating >= 4 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN rating <= 2 THEN 1 ELSE 0 END) AS bad FROM reviews WHERE day(review_date) % 3 > 0 GROUP BY 1), {_DAYS}
+@query(f"""{with_views('reviews')}, d AS (SELECT CAST(review_date AS DATE) AS date, count(*) AS n, sum(rating) AS s, sum(CASE WHEN rating >= 4 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN rating <= 2 THEN 1 ELSE 0 END) AS bad FROM reviews GROUP BY 1), {_DAYS}
 SELECT strftime(date, '%Y-%m-%d') AS date, n AS review_count, {rounded('s / n')} AS avg_rating, {rounded('good / n', 4)} AS positive_ratio, {rounded('bad / n', 4)} AS negative_ratio, {rounded('ws / wn')} AS rolling_avg_rating, {rounded('wn / k', 1)} AS rolling_avg_count, k AS observed_days, 7 - k AS missing_days,
 strftime(date - INTERVAL 6 DAYS, '%Y-%m-%d') AS baseline_start, CASE WHEN k >= 2 AND wn >= 2 THEN 'sufficient' ELSE 'insufficient' END AS baseline_status FROM w""")
 def daily_review_trend(spark: SparkSession, sf: str) -> DataFrame:
-    out = trends.daily_review_trend(frame(spark, sf, "reviews").where("day(review_date) % 3 > 0"))
+    out = trends.daily_review_trend(frame(spark, sf, "reviews"))
     return out.withColumns({"date": text("date"), "baseline_start": text("baseline_start"), "missing_days": F.col("missing_days").cast("bigint")})
 
 
-@query(f"""{with_views('reviews')}, d AS (SELECT CAST(review_date AS DATE) AS date, count(*) AS n, 0 AS s FROM reviews WHERE day(review_date) % 3 > 0 GROUP BY 1), {_DAYS}
+@query(f"""{with_views('reviews')}, d AS (SELECT CAST(review_date AS DATE) AS date, count(*) AS n, 0 AS s FROM reviews GROUP BY 1), {_DAYS}
 SELECT strftime(date, '%Y-%m-%d') AS date, n AS review_count, {rounded('wn / k', 1)} AS rolling_avg_count, k AS observed_days, 7 - k AS missing_days, CASE WHEN k >= 2 THEN 'sufficient' ELSE 'insufficient' END AS baseline_status FROM w""")
 def daily_volume_trend(spark: SparkSession, sf: str) -> DataFrame:
-    mart = marts.product_daily_stats(frame(spark, sf, "reviews").where("day(review_date) % 3 > 0"))
+    mart = marts.product_daily_stats(frame(spark, sf, "reviews"))
     return trends.daily_volume_trend(mart).withColumns({"date": text("date"), "missing_days": F.col("missing_days").cast("bigint")})
 
 
@@ -119,15 +119,16 @@ def _event(kind: str, *parts: str) -> str:
     return f"'anom_' || substring(sha256('PRODUCT|' || product_id || '|{kind}|' || " + " || '|' || ".join(parts) + "), 1, 20) AS event_id"
 
 
-# grouped by brand-like keys, so that products have enough reviews a day
-_BUSY = "(SELECT CAST(CAST(product_id AS BIGINT) % 20 AS VARCHAR) AS product_id, CAST(review_date AS DATE) AS date, rating FROM reviews WHERE CAST(product_id AS BIGINT) % 40 < 20 OR day(review_date) % 2 = 0)"
+# by brand, as single products have too few reviews a day
+_BUSY = "(SELECT p.brand AS product_id, CAST(review_date AS DATE) AS date, rating FROM reviews r JOIN products p ON r.product_id = p.product_id)"
 
 
-@query(f"""{with_views('reviews')}, d AS (SELECT product_id, date, sum(rating) AS s, count(*) AS n FROM {_BUSY} GROUP BY 1, 2),
+@query(f"""{with_views('reviews', 'products')}, d AS (SELECT product_id, date, sum(rating) AS s, count(*) AS n FROM {_BUSY} GROUP BY 1, 2),
 w AS (SELECT *, sum(s) OVER r AS bs, sum(n) OVER r AS bn, count(*) OVER r AS k FROM d WINDOW r AS (PARTITION BY product_id ORDER BY date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING))
 SELECT {_event('RATING_DROP', "strftime(date, '%Y-%m-%d')")}, product_id, strftime(date, '%Y-%m-%d') AS date, {rounded('bs / bn - s / n')} AS score, {rounded('s / n')} AS avg_rating, {rounded('bs / bn')} AS baseline_mean, n AS current_sample_size, CAST(bn AS BIGINT) AS baseline_sample_size, k AS baseline_days FROM w WHERE k >= 2 AND n >= 3 AND bs / bn - s / n >= 0.5""")
 def rating_drop(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, sf, "reviews").where("CAST(product_id AS BIGINT) % 40 < 20 OR day(review_date) % 2 = 0").withColumn("product_id", F.expr("CAST(CAST(product_id AS BIGINT) % 20 AS STRING)"))
+    products, reviews = both(spark, sf)
+    rows = reviews.drop("brand").join(products.select("product_id", "brand"), "product_id").drop("product_id").withColumnRenamed("brand", "product_id")
     return anomaly.rating_drops(rows).withColumn("date", text("date"))
 
 

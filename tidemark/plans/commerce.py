@@ -47,12 +47,10 @@ SELECT strftime(r.d, '%Y-%m-%d') AS date, r.product_id, r.n AS review_count, r.n
  {rounded('r.good / r.n', 4)} AS positive_ratio, {rounded('r.bad / r.n', 4)} AS negative_ratio, {rounded('r.av')} AS weighted_avg_rating, {rounded('r.good / r.n', 4)} AS high_rating_ratio, {rounded('r.bad / r.n', 4)} AS low_rating_ratio,
  {rounded('coalesce(p.lo, c.price)')} AS min_price, {rounded('coalesce(p.hi, c.price)')} AS max_price, {rounded('coalesce(p.av, c.price)')} AS avg_price,
  CASE WHEN p.av IS NOT NULL THEN 'observed' WHEN c.price IS NOT NULL THEN 'catalog_fallback' ELSE 'unavailable' END AS price_source
-FROM rated r LEFT JOIN (SELECT * FROM priced WHERE CAST(product_id AS BIGINT) % 2 = 0) p ON r.d = p.d AND r.product_id = p.product_id
-LEFT JOIN (SELECT * FROM products WHERE CAST(product_id AS BIGINT) % 7 > 0) c ON r.product_id = c.product_id""")
+FROM rated r LEFT JOIN priced p ON r.d = p.d AND r.product_id = p.product_id
+LEFT JOIN products c ON r.product_id = c.product_id""")
 def product_daily_stats(spark: SparkSession, sf: str) -> DataFrame:
-    prices = frame(spark, sf, "prices").where("CAST(product_id AS BIGINT) % 2 = 0")
-    products = frame(spark, sf, "products").where("CAST(product_id AS BIGINT) % 7 > 0")
-    return marts.product_daily_stats(frame(spark, sf, "reviews"), products, prices).withColumn("date", day("date"))
+    return marts.product_daily_stats(frame(spark, sf, "reviews"), frame(spark, sf, "products"), frame(spark, sf, "prices")).withColumn("date", day("date"))
 
 
 def _dimension(name: str) -> str:

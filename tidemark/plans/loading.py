@@ -84,12 +84,12 @@ def observed_currency(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "raw_prices").select("price_id", V.observed_currency(F.col("currency"), F.col("price")).alias("currency"))
 
 
-@query("SELECT review_id, product_id FROM (SELECT CAST(event_id AS VARCHAR) AS review_id, event_type AS product_id, event_id FROM events) WHERE event_id % 4 = 0")
+@query("SELECT review_id, product_id FROM (SELECT CAST(event_id AS VARCHAR) AS review_id, event_type AS product_id, event_id FROM events)")
 def quarantine_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Quarantined messages, sent again and read."""
     from tidemark.streaming import reviews as streams
 
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 4 = 0").selectExpr("CAST(event_id AS STRING) AS review_id", "event_type AS product_id", "'9' AS rating", "'t' AS review_text", "CAST(ts AS STRING) AS review_date", "'marketplace' AS source_group")
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("CAST(event_id AS STRING) AS review_id", "event_type AS product_id", "'9' AS rating", "'t' AS review_text", "CAST(ts AS STRING) AS review_date", "'marketplace' AS source_group")
     wrapped = e.select(F.to_json(F.struct(F.struct("*").alias("payload"))).alias("value"))
     _, bad = streams.split(streams.parsed(wrapped))
     return streams.parsed(streams.replayable(bad)).where("acquisition_method = 'snapshot_replay'").select("review_id", "product_id")
