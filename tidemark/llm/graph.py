@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import drop, saved
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     size = _sums(now)
     while True:
         large = _step(now, larger=True)
-        now = saved(_step(large, larger=False))
+        before, now = now, saved(_step(large, larger=False))
+        drop(before)
         sums = _sums(now)
         if sums == size:
             break

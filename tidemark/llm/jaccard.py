@@ -53,7 +53,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import give_back, saved, text_blocks, thrifty
+from tidemark.llm.common import drop, give_back, saved, text_blocks, thrifty
 from tidemark.llm.graph import components
 from tidemark.llm.words import block_words, mix
 
@@ -68,6 +68,8 @@ LOSS = 0.3
 CELLS, ORDERED = 1 << 20, 500_000
 #: Rows of a dense shingle's group that one task compares with each other, at most twice as many.
 BLOCK = 1024
+#: Leaders with which a dense set is compared before the pairs across components.
+LEADERS = 4
 #: Text bytes that one numpy pass works on.
 PIECE = 700_000
 #: Size classes within the ratio of linked sizes.
@@ -699,14 +701,23 @@ def classes(docs: DataFrame) -> DataFrame:
     told = saved(met.select("key", "node", "reach", "need"))
     asked = told.where("need IS NOT NULL").groupBy("key").agg(F.min("need").alias("least"))
     dense = told.join(asked, "key").where("need IS NOT NULL OR reach >= least").select("node").distinct()
-    shingles = saved(_prefixes(saved(_needed_sets(docs, nodes.join(dense, "node").select("row_key", "node")))))
-    met_in = shingles.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.max("asks").alias("asked")).where("leader != last AND asked").select("key", "leader")
+    sets = saved(_needed_sets(docs, nodes.join(dense, "node").select("row_key", "node")))
+    shingles = saved(_prefixes(sets))
+    drop(sets)
+    drop(told)
+    met_in = shingles.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.max("asks").alias("asked"), F.count("*").alias("sharers")).where("leader != last AND asked").select("key", "leader", "sharers")
     of_asked = saved(shingles.join(met_in, "key"))
+    drop(shingles)
+    # the leaders that most others have as well; what they don't join comes with the pairs across components
+    led = of_asked.where("asks AND leader != node").groupBy("node", "leader").agg(F.max("sharers").alias("sharers"))
+    led = led.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sharers"), "leader"))).where(f"rank <= {LEADERS}")
 
     runs = saved(groups.where("kind = 0").select("key", "nodes", "classes").dropDuplicates(["key"]))
     star = runs.select(F.col("nodes")[0].alias("a"), F.col("classes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.classes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
-    pairs = saved(star.select("a", "b").union(of_asked.where("asks AND leader != node").select("leader", "node")).distinct())
-    first = saved(_verified(docs, nodes, saved(_plausible(pairs, nodes))))
+    pairs = saved(star.select("a", "b").union(led.select("leader", "node")).distinct())
+    likely = saved(_plausible(pairs, nodes))
+    first = saved(_verified(docs, nodes, likely))
+    drop(likely)
     stars = saved(components(spark, first))
 
     member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.classes").alias("n"))
@@ -718,12 +729,17 @@ def classes(docs: DataFrame) -> DataFrame:
     often = of_asked.join(stars, "node", "left").select("key", "node", "n", "asks", F.coalesce("component", "node").alias("component"))
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
-    links = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
     few = short.join(nodes, "node").select("row_key", "node")
     for found in _compared_with_all(docs, saved(_needed_sets(docs, few).dropDuplicates(["node"]))):
-        links = links.union(found)
-
-    labels = saved(components(spark, links))
+        second = second.union(found)
+    for done in (pairs, more, runs, of_asked):
+        drop(done)
+
+    # components of the stars' components
+    ends = second.join(stars.toDF("a", "x"), "a", "left").join(stars.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    whole = saved(components(spark, ends))
+    placed = nodes.select(F.col("node").alias("n")).join(stars, F.col("n") == F.col("node"), "left").select("n", F.coalesce("component", "n").alias("part"))
+    labels = placed.join(whole.toDF("w", "root"), F.col("part") == F.col("w"), "left").select(F.col("n").alias("node"), F.coalesce("root", "part").alias("component"))
     of_node = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("class"))
     named = of_node.join(of_node.groupBy("class").agg(F.min("rep").alias("component_id")), "class").select("node", "class", "component_id")
     return rows.join(named, "node", "left").select("doc_id", "row_key", "n_shingles", "class", F.coalesce("component_id", F.when(F.col("class").isNull(), F.col("doc_id"))).alias("component_id"))
