@@ -29,7 +29,7 @@ from tidemark.llm.common import text_blocks, texts_of, thrifty
 
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: Text bytes that one numpy pass works on; rows and bytes of the sample in all, about.
-BLOCK, SAMPLE_ROWS, SAMPLE_BYTES = 1 << 18, 200_000, 256 << 20
+BLOCK, SAMPLE_ROWS, SAMPLE_BYTES, BROADCAST_LANGUAGES = 1 << 18, 200_000, 256 << 20, 10_000
 LETTER = re.compile(r"[^\W\d_]")
 GAP = "    "
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
@@ -158,6 +158,8 @@ def fit(labelled: DataFrame, per_language: int = 500) -> Model:
     spread, per = 1_000_003, max(2, min(per_language, SAMPLE_ROWS // languages))
     share = F.least(F.lit(1.0), F.lit(per) / F.col("n"), F.lit(SAMPLE_BYTES / languages) / F.greatest(F.col("bytes"), F.lit(1)))
     shares = sizes.select(F.col("lang").alias("of"), (F.floor(share * spread) + 1).alias("upto"))
+    if languages <= BROADCAST_LANGUAGES:  # else Spark chooses how to join
+        shares = F.broadcast(shares)
     drawn = known.withColumn("drawn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))).join(shares, F.col("lang") == F.col("of"))
     rows = drawn.where("drawn < upto").select("drawn", "doc_id", "text", "lang").limit(2 * per * languages).collect()  # the limit is for rows that repeat without end
     rows.sort(key=lambda r: (r["drawn"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
