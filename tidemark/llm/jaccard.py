@@ -68,7 +68,7 @@ LOSS = 0.3
 CELLS, ORDERED = 1 << 20, 500_000
 #: Rows of a dense shingle's group that one task compares with each other, at most twice as many.
 BLOCK = 1024
-#: Leaders with which a dense set is compared before the pairs across components.
+#: Leaders of signatures, and of shingles, with which a set is compared before the pairs across components.
 LEADERS = 4
 #: Text bytes that one numpy pass works on.
 PIECE = 700_000
@@ -669,6 +669,16 @@ def _compared_with_all(docs: DataFrame, few: DataFrame) -> list[DataFrame]:
     return out
 
 
+def _led(asked: DataFrame) -> DataFrame:
+    """a, b: each node (b) with LEADERS of its leaders, those that most others have as well. asked: node, leader, sharers.
+
+    What they don't join comes with the pairs across components, so none is lost.
+    """
+    once = asked.groupBy("node", "leader").agg(F.max("sharers").alias("sharers"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sharers"), "leader")))
+    return ranked.where(f"rank <= {LEADERS}").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of both, by which a row is found again."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
@@ -708,19 +718,17 @@ def classes(docs: DataFrame) -> DataFrame:
     met_in = shingles.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.max("asks").alias("asked"), F.count("*").alias("sharers")).where("leader != last AND asked").select("key", "leader", "sharers")
     of_asked = saved(shingles.join(met_in, "key"))
     drop(shingles)
-    # the leaders that most others have as well; what they don't join comes with the pairs across components
-    led = of_asked.where("asks AND leader != node").groupBy("node", "leader").agg(F.max("sharers").alias("sharers"))
-    led = led.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sharers"), "leader"))).where(f"rank <= {LEADERS}")
+    led = _led(of_asked.where("asks AND leader != node").select("node", "leader", "sharers"))
 
     runs = saved(groups.where("kind = 0").select("key", "nodes", "classes").dropDuplicates(["key"]))
-    star = runs.select(F.col("nodes")[0].alias("a"), F.col("classes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.classes").alias("n")).where(f"a != b AND {_near_in_size('m', 'n')}")
-    pairs = saved(star.select("a", "b").union(led.select("leader", "node")).distinct())
+    star = runs.select(F.col("nodes")[0].alias("a"), F.col("classes")[0].alias("m"), F.explode(F.arrays_zip("nodes", "classes")).alias("x"), F.size("nodes").alias("sharers")).select("a", F.col("x.nodes").alias("b"), "m", F.col("x.classes").alias("n"), "sharers").where(f"a != b AND {_near_in_size('m', 'n')}")
+    pairs = saved(_led(star.select(F.col("b").alias("node"), F.col("a").alias("leader"), "sharers")).union(led).distinct())
     likely = saved(_plausible(pairs, nodes))
     first = saved(_verified(docs, nodes, likely))
     drop(likely)
     stars = saved(components(spark, first))
 
-    member = runs.where("size(nodes) > 2").select("key", F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.classes").alias("n"))
+    member = runs.select("key", F.explode(F.arrays_zip("nodes", "classes")).alias("x")).select("key", F.col("x.nodes").alias("node"), F.col("x.classes").alias("n"))
     placed = member.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.collect_list(F.struct("component", "node", "n")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     across = mixed.select(
