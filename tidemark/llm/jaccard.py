@@ -576,7 +576,10 @@ def _cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """key (a shingle), node, n (size class), asks: of each set (node, hashes) the first shingles in the shared order, and whether it asks for them as a pair's smaller set."""
+    """key (a shingle), node, n (size class), central, asks: of each set (node, hashes) the first shingles in the shared order, and whether it asks for them as a pair's smaller set.
+
+    central: the higher, the more frequent the set's shingles are on average, as those of the middle of a group of near copies.
+    """
     sent = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets))
 
     @thrifty
@@ -584,17 +587,19 @@ def _prefixes(sets: DataFrame) -> DataFrame:
         for node, s in _set_blocks(batches):
             size = s.sizes
             owner = np.repeat(np.arange(len(node)), size)
-            order = np.lexsort((s.hashes, sent.value[(s.hashes & np.uint64(CELLS - 1)).astype(np.int64)], owner))
+            times = sent.value[(s.hashes & np.uint64(CELLS - 1)).astype(np.int64)]
+            central = 1000 * np.bincount(owner, np.log(times), len(node)) / np.maximum(size, 1)
+            order = np.lexsort((s.hashes, times, owner))
             rank = np.arange(len(owner)) - s.first[:-1][owner]  # owners come in turn
             as_larger, as_smaller = size - -(-PER_CENT * size // 100) + 1, size - -(-2 * PER_CENT * size // (100 + PER_CENT)) + 1
             some = np.flatnonzero(rank < as_larger[owner])
             of = owner[some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.hashes[order[some]].view(np.int64)), pa.array(node[of]), pa.array(size_class(size)[of].astype(np.int32)), pa.array(rank[some] < as_smaller[of])],
-                names=["key", "node", "n", "asks"],
+                [pa.array(s.hashes[order[some]].view(np.int64)), pa.array(node[of]), pa.array(size_class(size)[of].astype(np.int32)), pa.array(central[of].astype(np.int32)), pa.array(rank[some] < as_smaller[of])],
+                names=["key", "node", "n", "central", "asks"],
             )
 
-    return sets.mapInArrow(run, "key long, node long, n int, asks boolean")
+    return sets.mapInArrow(run, "key long, node long, n int, central int, asks boolean")
 
 
 def _cross_pairs(shares: DataFrame) -> DataFrame:
@@ -715,7 +720,9 @@ def classes(docs: DataFrame) -> DataFrame:
     shingles = saved(_prefixes(sets))
     drop(sets)
     drop(told)
-    met_in = shingles.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.max("asks").alias("asked"), F.count("*").alias("sharers")).where("leader != last AND asked").select("key", "leader", "sharers")
+    # the most central set of a shingle leads, so that a group of near copies is a component before pairs are made
+    ends = (F.min("node").alias("first"), F.max("node").alias("last"), F.max("asks").alias("asked"), F.count("*").alias("sharers"))
+    met_in = shingles.groupBy("key").agg(F.max(F.struct("central", "node"))["node"].alias("leader"), *ends).where("first != last AND asked").select("key", "leader", "sharers")
     of_asked = saved(shingles.join(met_in, "key"))
     drop(shingles)
     led = _led(of_asked.where("asks AND leader != node").select("node", "leader", "sharers"))
