@@ -72,6 +72,8 @@ CELLS, ORDERED = 1 << 20, 500_000
 BLOCK = 1024
 #: Places of the bit maps that travel with a dense set's shingles, 64 bytes whatever its size.
 MAP_BITS = 512
+#: Shared shingles before one's own that travel with a dense set, so that a pair is made at its first one.
+EARLIER = 16
 #: Leaders of signatures, and of shingles, with which a set is compared before the pairs across components.
 LEADERS = 4
 #: Text bytes that one numpy pass works on.
@@ -580,7 +582,7 @@ def _cell_counts(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """key (a shingle), node, n (size), central, asks, map: of each set (node, hashes) the first shingles in the shared order, and whether it asks for them as a pair's smaller set.
+    """key (a shingle), node, rank (from 0), n (size), central, asks, map: of each set (node, hashes) the first shingles in the shared order, and whether it asks for them as a pair's smaller set.
 
     central: the higher, the more frequent the set's shingles are on average, as those of the middle of a group of near copies.
     map: a bit map of MAP_BITS places, of which a set's shingles mark those of their hashes.
@@ -600,11 +602,11 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             some = np.flatnonzero(rank < as_larger[owner])
             of = owner[some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.hashes[order[some]].view(np.int64)), pa.array(node[of]), pa.array(size[of].astype(np.int32)), pa.array(central[of].astype(np.int32)), pa.array(rank[some] < as_smaller[of]), pa.array(_marked(owner, s.hashes, len(node)), pa.binary()).take(pa.array(of))],
-                names=["key", "node", "n", "central", "asks", "map"],
+                [pa.array(s.hashes[order[some]].view(np.int64)), pa.array(node[of]), pa.array(rank[some].astype(np.int32)), pa.array(size[of].astype(np.int32)), pa.array(central[of].astype(np.int32)), pa.array(rank[some] < as_smaller[of]), pa.array(_marked(owner, s.hashes, len(node)), pa.binary()).take(pa.array(of))],
+                names=["key", "node", "rank", "n", "central", "asks", "map"],
             )
 
-    return sets.mapInArrow(run, "key long, node long, n int, central int, asks boolean, map binary")
+    return sets.mapInArrow(run, "key long, node long, rank int, n int, central int, asks boolean, map binary")
 
 
 def _marked(owner: np.ndarray, hashes: np.ndarray, count: int) -> list[bytes]:
@@ -617,20 +619,28 @@ def _marked(owner: np.ndarray, hashes: np.ndarray, count: int) -> list[bytes]:
 def _cross_pairs(shares: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that share a shingle for which the smaller one asks, less those that sizes and bit maps rule out for certain.
 
-    shares: key, node, n (size), asks, map, component. Shingles of the same sets count once;
-    a group over BLOCK rows is cut into blocks whose pairs are tasks of their own.
+    shares: key, node, rank, n (size), asks, map, component. Shingles of the same sets count
+    once; a group over BLOCK rows is cut into blocks whose pairs are tasks of their own. A pair
+    with one of the last EARLIER shingles in common comes from there, so a pair's first common
+    shingle always gives it and few others do: who asks for a shingle asks for all before it.
     """
     digests = shares.groupBy("key").agg(F.sum(F.xxhash64("node", "asks").cast("decimal(38,0)")).alias("d"), F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     once = digests.where("low != high").groupBy("d", "size").agg(F.min("key").alias("key"))
     placed = shares.join(once.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
+    before = Window.partitionBy("node").orderBy("rank").rowsBetween(-EARLIER, -1)
+    placed = placed.withColumn("earlier", F.collect_list("key").over(before))
     own = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = own.select("key", "node", "n", "asks", "map", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    grouped = own.select("key", "node", "n", "asks", "map", "component", "earlier", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
         node, n, component, asks, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "asks", "own"))
         across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         n = n.astype(np.int64)
         maps = np.frombuffer(b"".join(group.column("map").to_pylist()), np.uint64).reshape(len(node), -1)
+        lists = group.column("earlier").combine_chunks()
+        count = pc.list_value_length(lists).to_numpy()
+        earlier, listed = np.zeros((len(node), EARLIER), np.int64), np.arange(EARLIER) < count[:, None]
+        earlier[listed] = lists.flatten().to_numpy()
         kinds, sizes = np.unique(component, return_counts=True)
         rest = np.flatnonzero(component != kinds[sizes.argmax()])  # every pair across components has one outside the largest
         found = []
@@ -641,7 +651,9 @@ def _cross_pairs(shares: DataFrame) -> DataFrame:
             at = np.flatnonzero(near)
             only, lacking = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (maps[at] & ~maps[k], maps[k] & ~maps[at]))
             most = np.minimum(n[at] - only, n[k] - lacking)
-            other = node[at[(100 + PER_CENT) * most >= PER_CENT * (n[at] + n[k])]]
+            at = at[(100 + PER_CENT) * most >= PER_CENT * (n[at] + n[k])]
+            met = (earlier[at][:, :, None] == earlier[k, : count[k]]) & listed[at][:, :, None]
+            other = node[at[~met.any(axis=(1, 2))]]
             found.append(np.stack([np.minimum(other, node[k]), np.maximum(other, node[k])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0].astype(np.int64)), "b": pa.array(pairs[:, 1].astype(np.int64))})
@@ -758,7 +770,7 @@ def classes(docs: DataFrame) -> DataFrame:
     across = mixed.select(
         F.explode(F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.component != x.component AND {_near_in_size('x.n', 'y.n')}), y -> named_struct('a', x.node, 'b', y.node))))")).alias("p")
     ).select("p.a", "p.b")
-    often = of_asked.join(stars, "node", "left").select("key", "node", "n", "asks", "map", F.coalesce("component", "node").alias("component"))
+    often = of_asked.join(stars, "node", "left").select("key", "node", "rank", "n", "asks", "map", F.coalesce("component", "node").alias("component"))
     more = saved(_plausible(across.union(_cross_pairs(often)).distinct().join(pairs, ["a", "b"], "left_anti"), nodes))
     second = saved(_verified(docs, nodes, more))
     few = short.join(nodes, "node").select("row_key", "node")
