@@ -54,6 +54,18 @@ def test_stream_reasons(spark):
     assert "email" not in nested.payload and "user_id" not in nested.payload and json.loads(streams.replayable(quarantined).first().value)["acquisition_method"] == "snapshot_replay"
 
 
+def test_no_personal_field_reaches_the_quarantine(spark):
+    deep = {"tags": [{"Email": "secret-a"}, [{"profile_url": "secret-b", "kept": 1}]], "customer": {"contact": {"ip_address": "secret-c", "username": "secret-d"}, "tier": "gold"}, "address": {"street": "secret-e"}}
+    rows = raw(spark, {"avatar_url": "secret-f", "trace": deep, "payload": EVENT | deep | {"rating": "9", "user_id": "secret-g"}}, EVENT | deep | {"rating": "9"})
+    more = spark.createDataFrame([("[1]",), ("no json",), ("[" * 5000,), ("",), (None,)], "value string")
+    got = streams.split(streams.parsed(rows.union(more)))[1].collect()
+    assert len(got) == 7 and not any("secret" in (r.envelope or "") + (r.payload or "") for r in got)
+    nested = next(r for r in got if r.payload)
+    inner = json.loads(nested.payload)
+    assert inner["customer"] == {"contact": {}, "tier": "gold"} and inner["tags"] == [{}, [{"kept": 1}]] and json.loads(nested.envelope)["trace"]["customer"] == inner["customer"]
+    assert sum(r.envelope is None for r in got) == 5
+
+
 def test_stream_windows_equal_the_batch_and_restart(spark, tmp_path):
     (tmp_path / "in").mkdir()
     events = [EVENT | {"review_id": f"r{i}", "rating": str(1 + i % 5), "review_date": f"2026-01-01T00:0{i % 4}:0{i % 7}Z"} for i in range(40)]

@@ -6,13 +6,16 @@ batch result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import values as V
+from tidemark.operators import silver
 from tidemark.operators.silver import merged
 
 # Reasons in order, event kinds, window and watermark, source groups.
@@ -22,7 +25,7 @@ WINDOW, WATERMARK, TRIGGER = "1 minute", "10 minutes", "30 seconds"
 GROUPS = {"marketplace": ("live", "snapshot_replay"), "simulation": ("generated",)}
 FIELDS = ("review_id", "product_id", "rating", "review_text", "review_date", "user_id")
 SOURCE = ("source_group", "acquisition_method")
-PERSONAL = ("email", "phone", "address", "full_name", "user_name", "customer_name", "user_id", "customer_id")
+PERSONAL = (*silver.PERSONAL, "user_id")
 
 _PAYLOAD = ", ".join(f"{c} string" for c in (*FIELDS, *SOURCE))
 MESSAGE = f"event_id string, event_type string, source string, event_time string, {_PAYLOAD}, payload struct<{_PAYLOAD.replace(' string', ':string')}>"
@@ -77,10 +80,33 @@ def judged(events: DataFrame) -> DataFrame:
 def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid events, and quarantined ones with their reason and a payload without personal fields."""
     rows = judged(events)
-    scrubbed = F.to_json(F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~F.lower(k).isin(*PERSONAL, "payload")))
-    inner = F.to_json(F.map_filter(F.from_json(F.get_json_object("value", "$.payload"), "map<string,string>"), lambda k, _: ~F.lower(k).isin(*PERSONAL)))
-    bad = rows.where("reason IS NOT NULL").select("payload_sha256", "reason", "source_group", scrubbed.alias("envelope"), inner.alias("payload"), F.current_timestamp().alias("quarantined_at"))
-    return rows.where("reason IS NULL"), bad
+    public = F.pandas_udf(_public, "envelope string, payload string")
+    bad = rows.where("reason IS NOT NULL").select("payload_sha256", "reason", "source_group", public("value").alias("p"))
+    return rows.where("reason IS NULL"), bad.select("payload_sha256", "reason", "source_group", "p.envelope", "p.payload", F.current_timestamp().alias("quarantined_at"))
+
+
+def scrubbed(x: object) -> object:
+    """JSON data without its personal fields, however deep they are."""
+    if isinstance(x, dict):
+        return {k: scrubbed(v) for k, v in x.items() if k.lower() not in PERSONAL}
+    return [scrubbed(v) for v in x] if isinstance(x, list) else x
+
+
+def _public(values: pd.Series) -> pd.DataFrame:
+    """Of messages the envelope's and the payload's fields but the personal ones; null for what is no object."""
+
+    def text(x: object) -> str | None:
+        return json.dumps(scrubbed(x), ensure_ascii=False, separators=(",", ":")) if isinstance(x, dict) else None
+
+    def parts(value: str | None) -> tuple[str | None, str | None]:
+        try:
+            whole = json.loads(value or "null")
+            inner = whole.pop("payload", None) if isinstance(whole, dict) else None
+            return text(whole), text(inner)
+        except (ValueError, RecursionError):  # unreadable or nested without end: nothing of it is shown
+            return None, None
+
+    return pd.DataFrame([parts(v) for v in values], columns=["envelope", "payload"], dtype=object)
 
 
 def distinct_reviews(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
