@@ -18,7 +18,7 @@ def one(spark, values, expression, kind="string"):
     ("text", "value"),
     [
         ("19.990.000 VND", 19990000.0), ("$1,299.99", 1299.99), ("1.299,50 €", 1299.5), ("2.5e7", 25000000.0), ("25.555", 25555.0), ("1000000.000", 1000000.0), ("12,5", 12.5), ("1,234", 1234.0),
-        (" - $5 ", -5.0), ("€ -7,25", -7.25), ("1e", None), ("12-34", None), ("1,2,3", None), ("1e-3 USD", None), ("++10", None), ("", None), (None, None), ("abc", None), ("1234đ", 1234.0), ("0", 0.0),
+        (" - $5 ", -5.0), ("€ -7,25", -7.25), ("1e", None), ("12-34", None), ("1,2,3", None), ("1.234,567", None), ("1.234.567,8", 1234567.8), ("1,234.567", 1234.567), ("1.2,3.4", None), ("-$-5", None), ("$5 USD", None), ("5,", None), (".", None), ("1e-3 USD", None), ("++10", None), ("", None), (None, None), ("abc", None), ("1234đ", 1234.0), ("0", 0.0),
     ],
 )
 def test_amount(spark, text, value):

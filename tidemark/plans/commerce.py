@@ -84,11 +84,10 @@ def mart_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"date": day("date"), "data_as_of": day("data_as_of")})
 
 
-_AMOUNT = V.AMOUNT.replace("'", "''")
-_SPLIT = "up AS (SELECT *, upper(trim(price)) AS t, regexp_replace(upper(trim(price)), '[^0-9.,]', '', 'g') AS b FROM raw_prices)"
-_PARSED = rf"""CASE WHEN regexp_matches(t, '{V.SCIENTIFIC}') THEN TRY_CAST(t AS DOUBLE) WHEN regexp_matches(t, '{_AMOUNT}') THEN CASE WHEN contains(t, '-') THEN -1.0 ELSE 1.0 END * TRY_CAST(
- CASE WHEN contains(b, ',') AND contains(b, '.') AND regexp_matches(b, ',[0-9]*$') OR NOT contains(b, '.') AND regexp_matches(b, '^[0-9]+,[0-9]{{1,2}}$') THEN replace(replace(b, '.', ''), ',', '.')
- WHEN NOT contains(b, ',') AND regexp_matches(b, '^[0-9]+(\.[0-9]+){{2,}}$|^[0-9]{{1,3}}\.[0-9]{{3}}$') THEN replace(b, '.', '') ELSE replace(b, ',', '') END AS DOUBLE) END"""
+_SPLIT = "up AS (SELECT *, upper(trim(price)) AS t FROM raw_prices)"
+#: By the shapes that the view writes, not by the engine's reading.
+_PARSED = """CASE WHEN t LIKE '%E%' THEN TRY_CAST(t AS DOUBLE) WHEN t LIKE '$%' THEN TRY_CAST(replace(substring(t, 2), ',', '') AS DOUBLE) WHEN t LIKE '% €' THEN TRY_CAST(replace(replace(replace(t, ' €', ''), '.', ''), ',', '.') AS DOUBLE)
+ WHEN t LIKE '% VND' THEN TRY_CAST(replace(replace(t, ' VND', ''), '.', '') AS DOUBLE) ELSE TRY_CAST(t AS DOUBLE) END"""
 
 
 @query(f"{with_views('raw_prices')}, {_SPLIT} SELECT price_id, price AS written, {_PARSED} AS amount, CASE WHEN ({_PARSED}) > 0 THEN {_PARSED} END AS price FROM up")
