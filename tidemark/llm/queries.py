@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import brown, jaccard, language, linerules, packing, pieces, pii, quality, urlfilters, vectors
+from tidemark.llm import brown, jaccard, language, linerules, merkle, packing, pieces, pii, quality, toxicity, urlfilters, vectors, whitening
 from tidemark.llm.common import table
 
 
@@ -65,6 +65,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilters.judge(urlfilters.page_captures(pages), urlfilters.page_entries(pages))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) == 1)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.fifth())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_jaccard": op2_jaccard,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_vectors": op9_vectors,
     "op10_urls": op10_urls,
+    "op11_toxicity": op11_toxicity,
+    "op12_merkle": op12_merkle,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES = {"op3_lines": linerules.oracle(), "op10_urls": urlfilters.ORACLE}
+ORACLES = {"op3_lines": linerules.oracle(), "op10_urls": urlfilters.ORACLE, "op12_merkle": merkle.oracle()}
