@@ -80,7 +80,7 @@ def test_stream_windows_equal_the_batch_and_restart(spark, tmp_path):
     want = streams.windowed_reviews(streams.split(streams.parsed(raw(spark, *events)))[0])
     key = lambda df: sorted((str(r.window_start), r.product_id, r.review_count, r.avg_rating, r.negative_count) for r in df.collect())
     assert key(got) == key(want)
-    assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 1
+    assert streams.read_quarantine(spark, str(tmp_path / "out/quarantine")).count() == 1
 
 
 def test_lateness(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
@@ -115,3 +115,16 @@ def gate(reports: Iterable[dict], required: Iterable[str] = (), run_id: str | No
 def report(measures: DataFrame, batch_id: str, run_id: str) -> DataFrame:
     """A row for the quality history."""
     return measures.select(F.lit(batch_id).alias("batch_id"), F.lit(run_id).alias("run_id"), "*", F.current_timestamp().alias("measured_at"))
+
+
+def save_reports(reports: DataFrame, path: str) -> int:
+    """Adds reports to the quality history; of a batch and dataset the last measured one stays."""
+    from tidemark.sources import keyed
+
+    return keyed.merge(reports, path, ["batch_id", "dataset"], "measured_at")
+
+
+def saved_reports(spark: SparkSession, path: str) -> DataFrame:
+    from tidemark.sources import keyed
+
+    return keyed.read(spark, path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, commerce, content, loading
+from tidemark.plans import analytics, commerce, content, durable, loading
 
-MODULES = (commerce, analytics, content, loading)
+MODULES = (commerce, analytics, content, loading, durable)
 
 
 def queries() -> dict:

@@ -1,8 +1,11 @@
-"""Published tables: every publication is a Parquet folder of its own beside a small commit file.
+"""Published tables: Parquet folders beside small commit files that list them.
 
 A version appears at once, when its commit file is created; the create fails if another
-writer was first. Readers of an older version are never disturbed, so a reader may also ask
-for one. This is a convention on top of Spark's own writers, not a table format.
+writer was first. A commit lists the folders that make up its version: an append writes its
+own rows only and lists the older folders with its own, an overwrite or upsert lists one new
+folder. Readers of an older version are never disturbed, so a reader may also ask for one.
+compact() rewrites a version of many folders as one, vacuum() deletes folders that only old
+versions list. This is a convention on top of Spark's own writers, not a table format.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from tidemark.operators.silver import merged
 from tidemark.operators.snapshots import fingerprint
 
 
+#: What a partitioned load's folder begins with.
+_LOAD = "load="
+
+
 class Conflict(Exception):
     """Another writer has published since."""
 
@@ -26,22 +33,52 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def history(spark: SparkSession, path: str) -> list[dict]:
-    """The commits, oldest first: version, operation, operation_id, data, schema, rows, digest."""
+def commit_names(spark: SparkSession, path: str) -> list[str]:
+    """The commit files' names, oldest first."""
     fs, at = _fs(spark, f"{path}/_commits")
     if not fs.exists(at):
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-    found = [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+    return [n for n in names if n.endswith(".json") and not n.startswith((".", "_"))]
+
+
+def history(spark: SparkSession, path: str, last: int | None = None) -> list[dict]:
+    """The commits, oldest first, or the last ones only: version, operation, operation_id, data (folders), schema, rows, digest."""
+    found = commit_names(spark, path)
+    found = found[-last:] if last else found
     if not found:
         return []
-    lines = spark.read.text([f"{path}/_commits/{n}" for n in found]).collect()  # one short line a version
+    lines = spark.read.text([f"{path}/_commits/{n}" for n in found]).collect()  # one line a version
     return sorted((json.loads(r[0]) for r in lines), key=lambda c: c["version"])
 
 
+def write_commit(spark: SparkSession, path: str, commit: dict) -> int:
+    """Makes a version visible; Conflict if there is one of its number."""
+    fs, at = _fs(spark, f"{path}/_commits/{commit['version']:012d}.json")
+    try:
+        stream = fs.create(at, False)
+    except Exception as e:  # the file is there: the other writer's version stands
+        raise Conflict(f"version {commit['version']} of {path} was published meanwhile") from e
+    stream.write(bytearray(json.dumps(commit).encode()))
+    stream.close()
+    return commit["version"]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def folders(commit: dict) -> list[str]:
+    """A commit's data folders, below the table's path."""
+    if "buckets" in commit:
+        return sorted(commit["buckets"].values())
+    return [commit["data"]] if isinstance(commit["data"], str) else commit["data"]
+
+
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The newest version, or the one asked for."""
-    commits = history(spark, path)
+    commits = history(spark, path, 1 if version is None else None)
     if version is None:
         if not commits:
             raise KeyError(f"nothing is published at {path}")
@@ -50,56 +87,102 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
         commit = next((c for c in commits if c["version"] == version), None)
         if commit is None:
             raise KeyError(f"{path} has no version {version}")
-    return spark.read.parquet(f"{path}/{commit['data']}")
+    of = folders(commit)
+    if version is not None:
+        fs, _ = _fs(spark, path)
+        gone = [f for f in of if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"))]
+        if gone:
+            raise KeyError(f"version {version} of {path} was cleaned away")
+    if commit.get("partition_by"):  # each load is a partition of one tree, so that the others are found
+        return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/{f}" for f in of]).select(*[F.col(n).cast(t) for n, t in commit["schema"]])
+    return spark.read.parquet(*[f"{path}/{f}" for f in of])
 
 
 def publish(df: DataFrame, path: str, mode: str = "overwrite", keys: list[str] | None = None, operation_id: str | None = None, expected: int | None = None, partition_by: list[str] | None = None) -> int:
     """Publishes df and returns the version: mode append, overwrite or upsert (by keys, incoming rows win).
 
-    An empty df changes nothing. The schema must stay the same. A repeated operation_id with
+    df is worked out once, when it is written; all else is read from what was written. An
+    empty df changes nothing. The schema must stay the same. A repeated operation_id with
     the same rows returns its version, with others it is an error. expected is the version
     that df was made from; if the table has moved on, or moves on meanwhile, Conflict is raised.
     """
     spark = df.sparkSession
     commits = history(spark, path)
     now = commits[-1]["version"] if commits else -1
-    print_ = fingerprint(df).first()
-    for c in commits:
-        if operation_id is not None and c["operation_id"] == operation_id:
-            if c["digest"] != print_["digest_sum"]:
-                raise ValueError(f"operation {operation_id} was published with other rows")
-            return c["version"]
-    if expected is not None and expected != now:
+    repeated = next((c for c in commits if operation_id is not None and c["operation_id"] == operation_id), None)
+    if repeated is None and expected is not None and expected != now:
         raise Conflict(f"{path} is at version {now}, not {expected}")
-    if print_["row_count"] == 0:
-        return now
     simple = [[f.name, f.dataType.simpleString()] for f in df.schema]
-    if commits and commits[-1]["schema"] != simple:
+    if commits and mode == "append" and commits[-1].get("partition_by") != partition_by:
+        raise ValueError(f"the published table is partitioned by {commits[-1].get('partition_by')}")
+    if repeated is None and commits and commits[-1]["schema"] != simple and not df.isEmpty():
         raise ValueError(f"schema differs from the published one: {simple}")
-    out = df
-    if mode == "upsert":
-        if not keys:
-            raise ValueError("upsert needs keys")
-        lacking = F.lit(False)
-        for k in keys:
-            lacking = lacking | F.col(k).isNull()
-        if not df.where(lacking).isEmpty():
-            raise ValueError("upsert needs keys that aren't null")
-        out = merged(read(spark, path) if commits else df.limit(0), df, keys)
-    elif mode == "append" and commits:
-        out = read(spark, path).unionByName(df)
-    data = f"data/{uuid.uuid4().hex}"
-    writer = out.write.partitionBy(*partition_by) if partition_by else out.write
-    writer.parquet(f"{path}/{data}")
-    commit = {"version": now + 1, "operation": mode, "operation_id": operation_id, "data": data, "schema": simple, "digest": print_["digest_sum"], "rows": print_["row_count"]}
-    fs, at = _fs(spark, f"{path}/_commits/{now + 1:012d}.json")
+    if mode == "upsert" and not keys:
+        raise ValueError("upsert needs keys")
+    folder = lambda: f"data/{_LOAD if partition_by else ''}{uuid.uuid4().hex}"
+    incoming = folder()
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{path}/{incoming}")
+    written = spark.read.schema(df.schema).parquet(f"{path}/{incoming}")
+    print_ = fingerprint(written).first()
+    made = [incoming]
     try:
-        stream = fs.create(at, False)
-    except Exception as e:  # the file is there: the other writer's version stands
-        raise Conflict(f"version {now + 1} of {path} was published meanwhile") from e
-    stream.write(bytearray(json.dumps(commit).encode()))
-    stream.close()
-    return now + 1
+        if repeated is not None:
+            if repeated["digest"] != print_["digest_sum"]:
+                raise ValueError(f"operation {operation_id} was published with other rows")
+            version = repeated["version"]
+        elif print_["row_count"] == 0:
+            version = now
+        else:
+            data = incoming
+            if mode == "upsert":
+                lacking = F.lit(False)
+                for k in keys:
+                    lacking = lacking | F.col(k).isNull()
+                if not written.where(lacking).isEmpty():
+                    raise ValueError("upsert needs keys that aren't null")
+                out = merged(read(spark, path) if commits else written.limit(0), written, keys)
+                data = folder()
+                made.append(data)
+                (out.write.partitionBy(*partition_by) if partition_by else out.write).parquet(f"{path}/{data}")
+            before = folders(commits[-1]) if mode == "append" and commits else []
+            version = write_commit(spark, path, {"version": now + 1, "operation": mode, "operation_id": operation_id, "data": [*before, data], "partition_by": partition_by, "schema": simple, "digest": print_["digest_sum"], "rows": print_["row_count"]})
+            made.remove(data)
+    finally:
+        for spare in made:  # what no version lists
+            delete(spark, f"{path}/{spare}")
+    return version
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """A version of one folder with the newest version's rows; readers and older versions aren't disturbed."""
+    commit = history(spark, path, 1)[-1]
+    if len(folders(commit)) < 2:
+        return commit["version"]
+    partition_by = commit.get("partition_by")
+    data = f"data/{_LOAD if partition_by else ''}{uuid.uuid4().hex}"
+    rows = read(spark, path)
+    (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(f"{path}/{data}")
+    return write_commit(spark, path, commit | {"version": commit["version"] + 1, "operation": "compact", "operation_id": None, "data": [data]})
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Deletes the folders that none of the last versions lists, and returns how many; versions before them can't be read any more.
+
+    Not to be run beside a writer, whose folder no version lists yet.
+    """
+    used = {f for c in history(spark, path, keep) for f in folders(c)}
+    whole = {"/".join(f.split("/")[:2]) for f in used}
+    fs, at = _fs(spark, f"{path}/data")
+    old = []
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        name = f"data/{s.getPath().getName()}"
+        if name not in whole:
+            old.append(s.getPath())
+        elif name not in used:  # a folder of buckets, some of which may have been replaced
+            old += [b.getPath() for b in fs.listStatus(s.getPath()) if b.isDirectory() and f"{name}/{b.getPath().getName()}" not in used]
+    for folder in old:
+        fs.delete(folder, True)
+    return len(old)
 
 
 def publish_group(frames: dict[str, DataFrame], path: str, run_id: str) -> dict[str, int]:

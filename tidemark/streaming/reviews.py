@@ -16,12 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import values as V
 from tidemark.operators import silver
-from tidemark.operators.silver import merged
+from tidemark.sources import keyed
 
 # Reasons in order, event kinds, window and watermark, source groups.
 REASONS = ("INVALID_TYPE_RATING", "INVALID_TYPE_TIMESTAMP", "MISSING_REVIEW_ID", "MISSING_PRODUCT_ID", "MISSING_REVIEW_TEXT", "INVALID_RATING_OUT_OF_RANGE", "MISSING_EVENT_TIME", "INVALID_SOURCE_METADATA")
 KINDS = ("NEW_REVIEW", "REVIEW_UPDATED", "REPLAY_REVIEW", "EVENT")
 WINDOW, WATERMARK, TRIGGER = "1 minute", "10 minutes", "30 seconds"
+WINDOW_BUCKETS = 16
 GROUPS = {"marketplace": ("live", "snapshot_replay"), "simulation": ("generated",)}
 FIELDS = ("review_id", "product_id", "rating", "review_text", "review_date", "user_id")
 SOURCE = ("source_group", "acquisition_method")
@@ -150,58 +151,44 @@ def lateness(events: DataFrame, delay_seconds: int = 600) -> DataFrame:
 
 
 def window_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: windows into Parquet by day, each day's folder rewritten only when touched; a batch that comes again changes nothing.
+    """foreachBatch: windows into a keyed table in buckets of a day and a hash of the product; only buckets that a batch touches are rewritten, and a batch that comes again changes nothing.
 
     A batch with several source groups is an error.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        groups = [r[0] for r in batch.select("source_group").distinct().limit(3).collect()]
-        if len(groups) > 1:
-            raise ValueError(f"mixed source groups: {sorted(groups)}")
-        if not groups:
-            return
-        rows = batch.withColumn("day", F.to_date("window_start"))
-        days = [r[0] for r in rows.select("day").distinct().collect()]  # few: a trigger's span
-        keys = ["window_start", "product_id", "source_group"]
-        for day in days:
-            at = f"{path}/day={day}"
-            mine = rows.where(F.col("day") == F.lit(day)).drop("day")
-            done = _newest(spark, at)
-            out = merged(spark.read.parquet(f"{at}/{done}"), mine, keys) if done else mine
-            out.write.mode("overwrite").parquet(f"{at}/v{batch_id:09d}")
+        rows = batch.persist()  # the groups are looked at before the windows are written
+        try:
+            groups = [r[0] for r in rows.select("source_group").distinct().limit(3).collect()]
+            if len(groups) > 1:
+                raise ValueError(f"mixed source groups: {sorted(groups)}")
+            if groups:
+                bucket = F.concat_ws("-", F.date_format("window_start", "yyyy-MM-dd"), keyed.hashed("product_id", buckets=WINDOW_BUCKETS))
+                keyed.merge(rows, path, ["window_start", "product_id", "source_group"], bucket=bucket, batch_id=batch_id)
+        finally:
+            rows.unpersist()
 
     return run
 
 
-def _newest(spark: SparkSession, at: str) -> str | None:
-    """The last complete version's folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    whole = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((p.getName() for p in whole), default=None)
-
-
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every day."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path).withColumn("_f", F.col("_metadata.file_path"))
-    df = df.withColumns({"_day": F.regexp_extract("_f", r"day=([0-9-]+)", 1), "_v": F.regexp_extract("_f", r"/v([0-9]{9})/", 1)})
-    last = df.groupBy("_day").agg(F.max("_v").alias("_v"))
-    return df.join(F.broadcast(last), ["_day", "_v"]).drop("_day", "_v", "_f")
+    """The newest state of every window, from the folders that the last commit lists."""
+    return keyed.read(spark, path)
 
 
 def quarantine_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: quarantined messages, once each by digest within a batch, in a folder of the batch's own, so that a repeated batch overwrites itself."""
+    """foreachBatch: quarantined messages, once each by digest over all batches, the newest sight of each kept; a batch that comes again changes nothing."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["payload_sha256"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keyed.merge(batch, path, ["payload_sha256"], "quarantined_at", bucket=keyed.prefix("payload_sha256"), batch_id=batch_id)
 
     return run
 
 
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return keyed.read(spark, path)
+
+
 def start(raw: DataFrame, path: str, checkpoint: str, window: str = WINDOW, watermark: str = WATERMARK, mode: str = "update", available_now: bool = False, every: str = TRIGGER) -> tuple[StreamingQuery, StreamingQuery]:
     """Two queries over a raw stream, with checkpoints of their own: windows and quarantine. Started again on the same checkpoints they go on."""
     good, bad = split(parsed(raw))
