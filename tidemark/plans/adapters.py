@@ -15,6 +15,13 @@ _C = "lpad(CAST(l_linenumber * 13 % 100 AS STRING), 2, '0')"
 _Y, _M, _D = "CAST(year(l_shipdate) AS STRING)", "lpad(CAST(month(l_shipdate) AS STRING), 2, '0')", "lpad(CAST(day(l_shipdate) AS STRING), 2, '0')"
 _RATING = "1 + CAST(floor(l_quantity) AS BIGINT) % 5"
 
+_WHOLE = "CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING)"
+_LD = f"""'<script type="application/ld+json">{{"@graph": [{{"name": "decoy", "price": 1}}, {{"@type": ["Thing", "Product"], "name": "' || p_name || '", "brand": {{"name": "' || p_brand || '"}}, "offers": [{{"price": "' || {_WHOLE} || '.50", "priceCurrency": "eur"}}], "aggregateRating": {{"ratingValue": 4.5, "ratingCount": "1,2' || lpad(CAST(p_size AS STRING), 2, '0') || '"}}}}]}}</script>'"""
+_NEXT = f"""'<script id="__NEXT_DATA__">{{"props": {{"list": [{{"title": "decoy", "price": 1}}, {{"data": {{"displayName": "' || p_name || '", "salePrice": ' || {_WHOLE} || ', "sku": "s", "brand_name": "' || p_brand || '", "category": {{"label": "' || p_type || '"}}}}}}]}}}}</script>'"""
+_MICRO = f"""'<h1>' || p_name || '</h1><b itemprop="brand">' || p_brand || '</b><span class="p" itemprop="price">' || {_WHOLE} || '.000 VND</span>'"""
+_META = f"""'<meta property="og:title" content="' || p_name || '"><h1>decoy</h1><meta content="' || {_WHOLE} || '" property="product:price:amount"><meta property="product:price:currency" content="usd">'"""
+_SEEN = f"""'<h1>' || p_name || '</h1><script type="application/ld+json">{{"@type": "BreadcrumbList", "itemListElement": [{{"name": "Home", "item": "/"}}, {{"name": "' || p_type || '", "item": "https://shop.example/x/c12"}}, {{"name": "no", "item": "https://other.example/c13"}}]}}</script><p>only ' || {_WHOLE} || '000 VND</p><i>4,5 (' || CAST(p_size AS STRING) || ')</i>'"""
+
 #: view: table, columns. {days} is the number of days since 1970 in the engine's own words.
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "products": ("part", {
@@ -52,6 +59,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "collected_at": "CASE WHEN doc_id % 29 = 11 THEN '2026-02-01' ELSE '2026-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T10:00:00Z' END",
         "published_at": "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '2025-12-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T23:30:00-05:00' WHEN 2 THEN '2025-12-01' WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN 'yesterday' ELSE '2025-11-05 10:00:00' END ELSE '2025-12-05T01:00:00+07:00' END",
     }),
+    "shop_pages": ("part", {
+        "page_id": "p_partkey", "url": "'https://shop.example/item-p' || CAST(p_partkey AS STRING) || '.html'",
+        "html": f"'<body><a href=\"https://shop.example/c' || CAST(p_partkey % 7 AS STRING) || '#top\">x</a><A class=\"y\" HREF=\"https://other.example/' || CAST(p_size AS STRING) || '?q=1\">y</A><a href=\"/near\">z</a><a href=\"https://shop.example/c' || CAST(p_partkey % 7 AS STRING) || '\">again</a>' || CASE p_partkey % 6 WHEN 0 THEN {_LD} WHEN 1 THEN {_NEXT} WHEN 2 THEN {_MICRO} WHEN 3 THEN {_META} WHEN 4 THEN {_SEEN} ELSE '<h1>' || p_name || ' 123456</h1>' END || '</body>'",
+    }),
     "runs": ("orders", {
         "pipeline": "o_orderpriority", "source": "o_orderstatus", "status": "CASE WHEN o_custkey % 4 = 0 THEN 'failed' ELSE 'success' END",
         "ended_at": "CAST(o_orderdate AS TIMESTAMP)", "run": "o_orderkey",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import articles, silver, snapshots
+from tidemark.operators import articles, product_pages, silver, snapshots
 from tidemark.plans.adapters import frame, rounded, with_views
 from tidemark.plans.scratch import folder
 from tidemark.sources import published
@@ -71,12 +71,22 @@ def article_html_parse(spark: SparkSession, sf: str) -> DataFrame:
     return articles.parse_pages(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "title", "body")
 
 
-@query(r"""SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["''](https?://[^"''#]+)', 1)) AS link FROM pages)""")
+@query("SELECT p_partkey AS page_id, unnest(['https://shop.example/c' || CAST(p_partkey % 7 AS VARCHAR), 'https://other.example/' || CAST(p_size AS VARCHAR) || '?q=1']) AS link FROM part")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = frame(spark, sf, "shop_pages")
     return articles.links(pages.select(F.col("page_id").cast("string").alias("url"), "html")).select(F.col("url").cast("bigint").alias("page_id"), "link")
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS product_id, CASE WHEN k = 5 THEN p_name || ' 123456' ELSE p_name END AS product_name, CASE WHEN k < 3 THEN p_brand END AS brand, CASE WHEN k IN (1, 4) THEN p_type END AS category,
+ CASE k WHEN 0 THEN w + 0.5 WHEN 1 THEN w WHEN 2 THEN w * 1000 WHEN 3 THEN w WHEN 4 THEN w * 1000 END AS price, CASE k WHEN 0 THEN 'EUR' WHEN 2 THEN 'VND' WHEN 3 THEN 'USD' WHEN 4 THEN 'VND' END AS currency,
+ CASE WHEN k IN (0, 4) THEN 4.5::DOUBLE END AS rating, CASE k WHEN 0 THEN 1200 + p_size WHEN 4 THEN p_size END AS review_count, CASE k WHEN 0 THEN 'product' WHEN 1 THEN 'candidate' ELSE 'page' END AS evidence
+ FROM (SELECT *, p_partkey % 6 AS k, floor(p_retailprice) AS w FROM part)""")
+def product_page_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Shop pages of six kinds, made of the products: structured data, embedded data with a decoy, microdata, meta tags, visible text, nothing."""
+    out = product_pages.facts(frame(spark, sf, "shop_pages"))
+    return out.select("product_id", "product_name", "brand", "category", "price", "currency", "rating", "review_count", "evidence")
+
+
 def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     products = frame(spark, sf, "products").select("product_id", "brand", "price")
     changed = F.when(F.expr("CAST(product_id AS BIGINT) % 11 = 0"), F.col("price") + 1).otherwise(F.col("price"))

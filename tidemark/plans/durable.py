@@ -45,7 +45,7 @@ def stream_lateness(spark: SparkSession, sf: str) -> DataFrame:
     parts = [sent.where(F.col("position") < middle), sent.where(F.col("position") >= middle)]
     for part in parts:
         part.write.mode("append").parquet(f"{at}/in")
-        arrival.start(spark.readStream.schema(sent.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+        arrival.start(spark.readStream.schema(sent.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/checkpoint", remember=366 * 86_400).awaitTermination()
     counts = arrival.counts(arrival.read(spark, f"{at}/out"))
     return counts.withColumn("watermark", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
