@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 from tidemark.operators import marts
+from tidemark.operators import ranks as ranks_
 
 # The detectors' parameters.
 Z_THRESHOLD, MIN_POINTS, FLAT_CHANGE, FLAT_SCALE = 3.0, 3, 0.10, 0.01
@@ -59,21 +60,16 @@ def price_zscores(prices: DataFrame, threshold: float = Z_THRESHOLD, min_points:
     )
 
 
-def _without(position: Column, k: Column) -> Column:
-    """The k-th (from 0) of the sorted prices when the one at position is left out."""
-    return F.get(F.col("sorted"), F.when(k < position, k).otherwise(k + 1))
-
-
-def price_iqr_outliers(prices: DataFrame, factor: float = IQR_FACTOR, min_points: int = MIN_POINTS) -> DataFrame:
+def price_iqr_outliers(prices: DataFrame, factor: float = IQR_FACTOR, min_points: int = MIN_POINTS, big: int = ranks_.BIG, ranges: int = ranks_.RANGES) -> DataFrame:
     """Prices outside the quartiles of the product's other prices by factor times their distance; flat others give none.
 
-    Works on a product's distinct prices with their counts (combined map-side), so the sorted
-    array grows with the number of different prices, not of rows; linear interpolation as usual.
+    Works on a product's distinct prices with their counts (combined map-side); the prices of
+    a product that has very many are sorted in ranges, by several tasks. Linear
+    interpolation as usual.
     """
     rows = _points(prices)
     counted = rows.groupBy("product_id", "price").agg(F.count("*").alias("c"))
-    by_price = Window.partitionBy("product_id").orderBy("price")
-    placed = counted.withColumn("upto", F.sum("c").over(by_price.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = ranks_.placed(counted.where("product_id IS NOT NULL").withColumnRenamed("price", "value"), ["product_id"], big, ranges).withColumnRenamed("value", "price")
     total = placed.groupBy("product_id").agg(F.sum("c").alias("n")).where(F.col("n") >= min_points)
 
     # order statistics of the others at the fractional ranks of 1/4, 1/2 and 3/4: leaving out the price at sorted
@@ -85,7 +81,7 @@ def price_iqr_outliers(prices: DataFrame, factor: float = IQR_FACTOR, min_points
     stats = wanted.join(spans, "product_id").where("at >= from AND at < upto").groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "price"))).alias("at_rank"))
     lows = ranks.groupBy("product_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("q", F.struct("k", "f")))).alias("of"))
 
-    x = counted.join(spans, ["product_id", "price"]).join(lows, "product_id").join(stats, "product_id")
+    x = spans.join(lows, "product_id").join(stats, "product_id")
     position = F.col("upto") - 1  # equal prices are alike: leaving out the last of them is leaving out any
 
     def quantile(q: float) -> Column:

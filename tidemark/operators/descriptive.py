@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.operators import marts
+from tidemark.operators import marts, ranks
 
 # The classes of anomaly kinds.
 KINDS = {"price": "PRICE", "rating": "RATING", "volume": "BURST|BOMBING"}
@@ -23,10 +23,12 @@ def dataset_summary(products: DataFrame, reviews: DataFrame) -> DataFrame:
     price = F.when(V.finite(p) & (p > 0), p)
     of_products = products.agg(
         F.count("*").alias("total_products"), F.countDistinct("brand").alias("brands"), F.countDistinct("category").alias("categories"),
-        V.half_up(F.min(price)).alias("min_price"), V.half_up(F.max(price)).alias("max_price"), V.half_up(F.avg(price)).alias("avg_price"), V.half_up(F.median(price)).alias("median_price"),
+        V.half_up(F.min(price)).alias("min_price"), V.half_up(F.max(price)).alias("max_price"), V.half_up(F.avg(price)).alias("avg_price"),
     )
-    of_reviews = _rated(reviews).agg(F.count("*").alias("total_reviews"), V.half_up(F.avg("rating")).alias("avg_rating"), V.half_up(F.median("rating")).alias("median_rating"))
-    return of_products.crossJoin(of_reviews)  # one row by one row
+    of_reviews = _rated(reviews).agg(F.count("*").alias("total_reviews"), V.half_up(F.avg("rating")).alias("avg_rating"))
+    prices = ranks.median(products, price, "median_price").select(V.half_up(F.col("median_price")).alias("median_price"))
+    stars = ranks.median(_rated(reviews), F.col("rating"), "median_rating").select(V.half_up(F.col("median_rating")).alias("median_rating"))
+    return of_products.crossJoin(of_reviews).crossJoin(prices).crossJoin(stars)  # one row each
 
 
 def star_distribution(reviews: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def coverage(mart: DataFrame) -> DataFrame:
 
 def percentiles(df: DataFrame, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """One row: exact percentiles by nearest rank."""
-    return df.agg(*[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * s)}") for s in shares])
+    return ranks.nearest(df, F.col(value), {f"p{round(100 * s)}": s for s in shares})
 
 
 def run_status(runs: DataFrame) -> DataFrame:

@@ -17,12 +17,14 @@ SCORE_TOLERANCE, RATIO_TOLERANCE = 0.011, 0.00011
 
 
 def flag_duplicates(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """is_duplicate: not the first row of its key by order; a null key is never a duplicate.
+    """is_duplicate: not the first row of its key by order; a null key is never a duplicate, and its rows aren't gathered.
 
-    order must tell rows of a key apart, or which of them is first is arbitrary (their number isn't).
+    order must tell rows of a key apart, or which of them is first is arbitrary (their
+    number isn't); without any, all columns do.
     """
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*(order or (key,))))
-    return df.withColumn("is_duplicate", F.coalesce(F.col(key).isNotNull() & (number > 1), F.lit(False)))
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*(order or df.columns)))
+    keyed = df.where(F.col(key).isNotNull()).withColumn("is_duplicate", number > 1)
+    return keyed.unionByName(df.where(F.col(key).isNull()).withColumn("is_duplicate", F.lit(False)))
 
 
 def evaluate(df: DataFrame, dataset: str, key: str, required: list[str], casts: dict[str, str], limits: dict[str, tuple[float | None, float | None]], status: str | None = None) -> DataFrame:
