@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import linerules, pii, urlfilters
 
@@ -237,3 +239,65 @@ def test_documents_with_personal_data(spark, docs, none):
     assert out.columns == df.columns and [r[0] for r in got] == [1, 2, 2, 3] and (2, None, "k") in got and (3, "", None) in got and not any("a@b" in (r[1] or "") for r in got)
     assert pii.pseudonymise(docs).count() == docs.count() and pii.pseudonymise(none).isEmpty() and pii.report(none).isEmpty()
     assert pii.report(docs).count() == docs.count()
+
+
+def test_rows_that_share_an_id_are_judged_each_by_itself(spark, tmp_path):
+    import duckdb
+
+    words = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    line = "one line of six words here"
+    rows = [(i, f"{words(55, f'a{i}x')}\n{line}", "s") for i in range(3)]
+    rows += [(9, f"{words(57, 'p')}\n{line}", "s"), (9, f"{words(57, 'q')}\n{line}", "s"), (9, "short", "s"), (9, "short", "s"), (None, words(60, "n"), "s"), (None, "short", "s"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("x"))
+    got = sorted((r.left_words, r.kept) for r in linerules.judge(df).where("doc_id = 9").collect())
+    assert got == [(1, False), (1, False), (57, True), (57, True)]
+    kept = linerules.apply_rules(df).collect()
+    assert sorted(r.text[:2] for r in kept if r.doc_id == 9) == ["p0", "q0"] and not any(line in r.text for r in kept if r.doc_id == 9)
+    assert [r.text for r in kept if r.doc_id is None] == [words(60, "n")]
+    df.where("doc_id IS NOT NULL").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    mine = linerules.judge(df.where("doc_id IS NOT NULL"))
+    cursor = con.execute(linerules.oracle())
+    names = [d[0] for d in cursor.description]
+    assert sorted(tuple(r[c] for c in names) for r in mine.collect()) == sorted(cursor.fetchall())
+
+
+@pytest.mark.parametrize("length", [6, 127, 128, 129, 200, 5000])
+def test_secrets_of_any_length(length):
+    own = pii.Pseudonyms("k")
+    rng = random.Random(length)
+    for letters in ("0123456789abcdef", "ABCXYZabcxyz0189_+/-"):
+        secret = "".join(rng.choice(letters) for _ in range(length - 1)) + letters[-1]
+        text, counts = own.replace(f"see token={secret} there")
+        new = text[len("see token=") : -len(" there")]
+        assert counts["secret"] == 1 and len(new) == length and set(new) <= set("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_+/-")
+        assert length < 20 or not any(secret[i : i + 16] == new[i : i + 16] for i in range(0, length - 16, 16))
+        assert own.replace(text, back=True)[0] == f"see token={secret} there"
+
+
+def test_mail_domains_name_people_too():
+    own = pii.Pseudonyms("k")
+    text, _ = own.replace("jane@jane-doe.name and JANE@Jane-Doe.name or jane@other.org")
+    assert "jane" not in text.lower() and text.endswith(".org") and ".name" in text
+    one, two = text.split(" and ")[0], text.split(" and ")[1].split(" or ")[0]
+    assert one == two.lower()
+    assert own.replace(text, back=True)[0] == "jane@jane-doe.name and JANE@Jane-Doe.name or jane@other.org"
+
+
+def test_a_count_of_values_against_a_loop(spark):
+    df = spark.createDataFrame([(i, f"a{i}@b.org 4111 1111 1111 1111 token=abcdef{i}" if i % 3 else "nothing") for i in range(60)], "doc_id long, text string").repartition(3)
+    own = pii.Pseudonyms(pii.DEVELOPMENT_KEY)
+    want = {r.doc_id: own.replace(r.text) for r in df.collect()}
+    for r in pii.report(df).collect():
+        assert (r["text"], {k: r[f"n_{k}"] for k in pii.KINDS}) == want[r["doc_id"]]
+
+
+def test_the_session_names_the_key(spark):
+    with pytest.warns(UserWarning, match="development key"):
+        assert pii.session_key(spark) == pii.DEVELOPMENT_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

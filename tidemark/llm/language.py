@@ -30,7 +30,8 @@ from tidemark.llm.common import text_blocks, texts_of, thrifty
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (2, 3, 4)
 #: Text bytes that one numpy pass works on; rows and bytes of the sample in all, about.
 BLOCK, SAMPLE_ROWS, SAMPLE_BYTES, BROADCAST_LANGUAGES = 1 << 18, 200_000, 256 << 20, 10_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters and other signs of words, such as fractions: isalpha() tells them apart.
+WORDLIKE = re.compile(r"[^\W\d_]")
 GAP = "    "
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 
@@ -122,7 +123,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 32,
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
-    lettered = np.array([bool(LETTER.search(t)) for t in texts], bool)
+    lettered = np.array([any(m[0].isalpha() for m in WORDLIKE.finditer(t)) for t in texts], bool)
     if not model.languages or not len(texts):
         return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
     data, starts, ends = grams(texts)
@@ -161,7 +162,7 @@ def fit(labelled: DataFrame, per_language: int = 500) -> Model:
     if languages <= BROADCAST_LANGUAGES:  # else Spark chooses how to join
         shares = F.broadcast(shares)
     drawn = known.withColumn("drawn", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread))).join(shares, F.col("lang") == F.col("of"))
-    rows = drawn.where("drawn < upto").select("drawn", "doc_id", "text", "lang").limit(2 * per * languages).collect()  # the limit is for rows that repeat without end
+    rows = drawn.where("drawn < upto").select("drawn", "doc_id", "text", "lang").distinct().limit(2 * per * languages).collect()  # rows that repeat count once; the limit is for a draw beyond all odds
     rows.sort(key=lambda r: (r["drawn"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -9,15 +9,15 @@ depleted and rejected. judge() gives figures and verdicts, apply_rules() the kep
 with their texts rebuilt from the lines that survive.
 
 Null texts have no words and fail the base rules. A null host is a host of its own; a null
-doc_id has no lines to remove. Rows that share a doc_id are one document to the line
-counts, and each keeps its own row and figures. Extra columns are ignored, whatever their
+doc_id has no lines to remove. Rows that share a doc_id are documents of their own: each has
+its own figures, lines and verdict, but none loses a line of which their doc_id is the first. Extra columns are ignored, whatever their
 names (only apply_rules() returns them). Very long texts are worked on whole: a text's
 3-word windows are compared within its row, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\\x20\\x09-\\x0D]+"
@@ -25,19 +25,22 @@ SPACES = r"[\\x20\\x09-\\x0D]+"
 #: The limit is the same for hosts of every size: a line that three distinct texts show is boilerplate.
 MAX_DOCUMENTS, MIN_WORDS = 2, 50
 
+#: What tells a row: rows with all three alike have the same figures.
+KEY = ("doc_id", "host", "text_hash")
+
 
 def base_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """doc_id, host, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     A text's 3-word windows are hashed; only if some are equal, they are sorted by hash with
     the position in the low bits, and equal neighbours (compared by their whole hashes) give
     the positions of repeated windows, each of which covers three words less what the next
     one covers again.
     """
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    words = text.selectExpr("doc_id", "t", f"filter(split(t, '{SPACES}'), x -> x != '') AS w", r"filter(split(t, '\\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS lines")
+    text = docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("t"))
+    words = text.selectExpr(*KEY, "t", f"filter(split(t, '{SPACES}'), x -> x != '') AS w", r"filter(split(t, '\\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]') AS lines")
     hashed = words.selectExpr(
-        "doc_id",
+        *KEY,
         "size(w) AS n",
         "CAST(aggregate(w, 0, (a, x) -> a + length(x)) AS BIGINT) AS word_chars",
         "CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols",
@@ -55,7 +58,7 @@ def base_figures(docs: DataFrame) -> DataFrame:
             i -> CAST(k[i] & mask AS INT))) END AS p""",
     )
     covered = found.selectExpr(
-        "doc_id", "CAST(n AS BIGINT) AS n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *KEY, "CAST(n AS BIGINT) AS n_words", "word_chars", "n_symbols", "n_dup_lines",
         "CAST(aggregate(p, named_struct('last', -3, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least(3, x - a.last)), a -> a.n) AS BIGINT) AS n_repeat_words",
     )
     return covered.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
@@ -86,55 +89,67 @@ def removed_lines(docs: DataFrame, max_documents: int) -> DataFrame:
 
 
 def removed_words(docs: DataFrame, max_documents: int) -> DataFrame:
-    """doc_id and the words that its lines over the limit hold, where it has any."""
-    return removed_lines(docs, max_documents).groupBy("doc_id").agg(F.sum("line_words").alias("removed_words"))
+    """key (doc_id, host, text_hash) and the words that the lines over the limit hold, where a text has any; rows that repeat count once."""
+    lines = removed_lines(docs, max_documents).groupBy(F.struct(*KEY).alias("key")).agg(F.collect_set(F.struct("position", "line_words")).alias("lines"))
+    return lines.select("key", F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["line_words"]).alias("removed_words"))
+
+
+def _judged(docs: DataFrame, max_documents: int, min_words: int) -> DataFrame:
+    """Figures and verdict of every row, with its key's columns."""
+    base, removed = base_figures(docs), removed_words(docs, max_documents)
+    out = base.join(removed, F.struct(*[base[c] for c in KEY]).eqNullSafe(removed["key"]), "left").withColumn("left_words", F.expr("n_words - coalesce(removed_words, 0L)"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= min_words))
 
 
 def judge(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: base figures, words left after line removal and the verdict."""
-    base, removed = base_figures(docs), removed_words(docs, max_documents)
-    out = base.join(removed, "doc_id", "left").withColumn("left_words", F.expr("n_words - coalesce(removed_words, 0L)"))
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("left_words") >= min_words)).alias("kept"), "left_words",
-    )
+    return _judged(docs, max_documents, min_words).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_words")
+
+
+def _key(docs: DataFrame) -> Column:
+    return F.struct(docs["doc_id"], docs["source"].alias("host"), F.xxhash64(docs["text"]).alias("text_hash"))
 
 
 def without_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """docs with each text rebuilt from its surviving lines; a text that loses none keeps every byte, all other columns are as they were."""
-    gone = removed_lines(docs, max_documents).groupBy(F.struct("doc_id", "host", "text_hash").alias("key")).agg(F.collect_set("position").alias("positions"))
-    key = F.struct(docs["doc_id"], docs["source"].alias("host"), F.xxhash64(docs["text"]).alias("text_hash"))
+    return _rebuilt(docs, removed_lines(docs, max_documents))
+
+
+def _rebuilt(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """docs without these rows of lines_of()."""
+    gone = lines.groupBy(F.struct(*KEY).alias("key")).agg(F.collect_set("position").alias("positions"))
     # split once; positions are subtracted by hash, so the time grows with the lines, not with their square
     kept = lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["positions"]), lambda i: F.get(lines, i)), "\n")
     text = F.when(gone["positions"].isNull(), docs["text"]).otherwise(F.transform(F.array(F.split(docs["text"], "\n")), kept)[0])
-    return docs.join(gone, key.eqNullSafe(gone["key"]), "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return docs.join(gone, _key(docs).eqNullSafe(gone["key"]), "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
 
 
 def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> DataFrame:
     """The kept rows of docs with all their columns, their texts without the frequent lines."""
-    rejected = judge(docs, max_documents, min_words).where("NOT kept").select(F.col("doc_id").alias("rejected_doc_id")).distinct()
-    cleaned = without_frequent_lines(docs, max_documents)
-    return cleaned.join(rejected, cleaned["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
+    rejected = _judged(docs, max_documents, min_words).where("NOT kept").select(F.struct(*KEY).alias("rejected")).distinct()
+    kept = docs.join(rejected, _key(docs).eqNullSafe(rejected["rejected"]), "left_anti")
+    gone = removed_lines(docs, max_documents)  # counted over all documents, those that go included
+    return _rebuilt(kept, gone)
 
 
 def oracle(max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS) -> str:
     """DuckDB SQL for judge() over the documents table."""
     space = r"[\x20\x09-\x0D]"
     return rf"""
-    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
-    g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
-    c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) AS o(j) GROUP BY doc_id),
-    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-    u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-    m AS (SELECT doc_id, source, t, trim(regexp_replace(lower(line), '{space}+', ' ', 'g')) AS line FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT rid, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
+    g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+    r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1),
+    c AS (SELECT rid, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) AS o(j) GROUP BY rid),
+    l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+    u AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+    m AS (SELECT rid, doc_id, source, t, trim(regexp_replace(lower(line), '{space}+', ' ', 'g')) AS line FROM (SELECT rid, doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d)),
     f AS (SELECT source, line, min(doc_id) AS first_doc FROM m WHERE line != '' GROUP BY source, line HAVING count(DISTINCT t) > {max_documents}),
-    x AS (SELECT m.doc_id, sum(len(string_split(m.line, ' '))) AS n FROM m JOIN f ON m.line = f.line AND m.source IS NOT DISTINCT FROM f.source WHERE m.doc_id != f.first_doc GROUP BY m.doc_id),
+    x AS (SELECT m.rid, sum(len(string_split(m.line, ' '))) AS n FROM m JOIN f ON m.line = f.line AND m.source IS NOT DISTINCT FROM f.source WHERE m.doc_id != f.first_doc GROUP BY m.rid),
     b AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{space}', '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS removed
-        FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN u ON w.doc_id = u.doc_id LEFT JOIN x ON w.doc_id = x.doc_id),
+        FROM w LEFT JOIN c ON w.rid = c.rid LEFT JOIN u ON w.rid = u.rid LEFT JOIN x ON w.rid = x.rid),
     v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed >= {min_words} AS kept, n_words - removed AS left_words FROM v
     """

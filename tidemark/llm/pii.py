@@ -4,8 +4,9 @@ Found values are validated (card numbers by Luhn's check digit, account numbers
 modulus 97, social-security and network numbers by their ranges, dates by the calendar;
 telephone numbers by their form alone) and permuted within their own format: a valid number becomes another valid
 number with the same punctuation, a date another date; telephone numbers in ranges that
-aren't given out become others of these. Mail addresses and access
-credentials have their letters and digits permuted, each within its own alphabet. The
+aren't given out become others of these; numbers of other countries are left as they are.
+Mail addresses (but for the last part of their domain) and access credentials of any length
+have their letters and digits permuted, each within its own alphabet. The
 permutation depends on the key, the kind and the value alone, so equal values stay linked
 across documents however they are written, and the holder of the key can reverse it.
 
@@ -21,10 +22,11 @@ import calendar
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.llm.common import text_blocks, thrifty
@@ -33,8 +35,12 @@ ROUNDS = 8
 #: Digits of the longest card.
 MOST_CARD = 19
 
-#: Used where no key is given; a production run passes its own.
+#: Values of more than LONG characters are permuted in pieces, so that a half of the network fits one digest.
+LONG, PIECE = 128, 64
+
+#: Used where no key is given; a production run sets its own in the session.
 DEVELOPMENT_KEY = "tidemark development key"
+KEY_SETTING = "spark.tidemark.pseudonyms.key"
 
 KINDS = ("mail", "card", "account", "phone", "ssn", "address", "date", "secret")
 
@@ -238,7 +244,9 @@ class Pseudonyms:
         return f"{to.month:02d}{sep}{to.day:02d}{sep}{to.year}" if american else f"{to.day:02d}{sep}{to.month:02d}{sep}{to.year}"
 
     def _alphabets(self, tweak: str, text: str, back: bool = False) -> str:
-        """Letters and digits of text permuted together, each within its alphabet."""
+        """Letters and digits of text permuted together, each within its alphabet; of a long text piece by piece."""
+        if len(text) > LONG:
+            return "".join(self._alphabets(f"{tweak}{len(text)}@{i}", text[i : i + PIECE], back) for i in range(0, len(text), PIECE))
         bases = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in text]
         n, x = 1, 0
         for c, base in zip(text, bases, strict=True):
@@ -255,13 +263,20 @@ class Pseudonyms:
 
     def mail(self, m: re.Match, back: bool = False) -> str | None:
         local, _, domain = m[0].partition("@")
-        return f"{self._alphabets('mail' + domain.lower(), local, back)}@{domain}"
+        names, dot, top = domain.rpartition(".")
+        other = f"{self._alphabets('domain', names, back)}{dot}{top}"
+        plain = other if back else domain
+        return f"{self._alphabets('mail' + plain.lower(), local, back)}@{other}"
+
+    def _hex(self, text: str, where: str, back: bool) -> str:
+        return f"{self.feistel.permute(f'hex{where}{len(text)}', 16 ** len(text), int(text, 16), back):0{len(text)}x}"
 
     def secret(self, m: re.Match, back: bool = False) -> str | None:
         text = m["value"]
         at = m.start("value") - m.start()
         if re.fullmatch(r"[0-9a-f]+", text):  # stays hexadecimal
-            text = f"{self.feistel.permute(f'hex{len(text)}', 16 ** len(text), int(text, 16), back):0{len(text)}x}"
+            cuts = [(i, f"{len(text)}@{i}") for i in range(0, len(text), PIECE)] if len(text) > LONG else [(0, "")]
+            text = "".join(self._hex(text[i : i + PIECE] if at else text, at, back) for i, at in cuts)
         elif text.startswith(("AKIA", "ASIA")):
             text = text[:4] + self._base32(text[4:], back)
         else:
@@ -284,7 +299,7 @@ class Pseudonyms:
     PATTERNS: tuple[tuple[str, str], ...] = (
         ("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
         ("secret", r"(?:(?<![A-Za-z0-9])(?P<value>(?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9]))"),
-        ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.-]{5,127}[A-Za-z0-9_+/-])"),
+        ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.-]{5,}[A-Za-z0-9_+/-])"),
         ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
         ("date", r"(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s>[-/.])[0-9]{2}(?P=s)[0-9]{2}|[0-9]{2}(?P<t>[-/.])[0-9]{2}(?P=t)[0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])"),
         ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -344,6 +359,14 @@ def _mapper(names: list[str], text_at: int, key: str, counts: bool) -> Callable:
     return run
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; without one the development key, which anyone can reverse, and a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with the public development key", stacklevel=2)
+    return key or DEVELOPMENT_KEY
+
+
 def pseudonymise(docs: DataFrame, key: str = DEVELOPMENT_KEY) -> DataFrame:
     """All columns of docs, text with pseudonyms in place of personal data."""
     return docs.mapInArrow(_mapper(docs.columns, docs.columns.index("text"), key, False), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
