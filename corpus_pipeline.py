@@ -2,8 +2,13 @@
 
 Rows with unknown language go first, then documents that the quality rules reject, then
 all but one document of each group of near duplicates; personal data is replaced by
-pseudonyms and what is left is packed into training sequences. Every stage but the last
-returns the columns of its input.
+pseudonyms (with the key that the session names in spark.tidemark.pseudonyms.key) and what
+is left is packed into training sequences. Every stage but the last returns the columns of
+its input.
+
+Null texts and texts without a letter have no language and go in the first stage; rows that
+share a doc_id are judged each by its own text; exact copies count as near duplicates. An
+empty table goes through all stages and gives no pieces.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
