@@ -61,12 +61,13 @@ def retained(snapshots: DataFrame, days: int = KEEP_DAYS, weeks: int = KEEP_WEEK
     return snapshots.join(F.broadcast(kept), "snapshot_id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))  # days + weeks rows at most
 
 
-def greedy_distinct(df: DataFrame, ident: str, digest: str, *order: Column, rounds: int = 50) -> DataFrame:
+def greedy_distinct(df: DataFrame, ident: str, digest: str, *order: Column) -> DataFrame:
     """Goes through rows by order and keeps one unless its id or its digest stands in a kept row; a blank id never does.
 
     order must tell all rows apart. Each round decides the rows that come first both among
     the undecided rows of their id and of their digest, and drops those that share either
-    with a kept row; rounds follow the longest chain of such conflicts, a handful in practice.
+    with a kept row; rounds follow the longest chain of such conflicts, and each decides the
+    first undecided row at least, so they come to an end.
     Between rounds the state is written to the checkpoint folder.
     """
     spark = df.sparkSession
@@ -76,7 +77,7 @@ def greedy_distinct(df: DataFrame, ident: str, digest: str, *order: Column, roun
     key = F.when(V.blank(F.col(ident)), F.concat(F.lit("~"), F.col("_n").cast("string"))).otherwise(F.concat(F.lit("="), F.col(ident).cast("string")))
     numbered = df.withColumn("_o", F.struct(*order)).withColumn("_n", F.xxhash64("_o", *columns))
     state = numbered.select("*", key.alias("_id"), F.col(digest).cast("string").alias("_h"), F.lit(None).cast("boolean").alias("_kept")).checkpoint()
-    for _ in range(rounds):
+    while True:
         by_id, by_hash = Window.partitionBy("_id"), Window.partitionBy("_h")
         open_ = F.col("_kept").isNull()
         first = F.min(F.when(open_, F.col("_o")))
@@ -87,4 +88,3 @@ def greedy_distinct(df: DataFrame, ident: str, digest: str, *order: Column, roun
         state = x.withColumn("_kept", F.when(F.col("_kept").isNull() & (F.col("_i") | F.col("_j")), False).otherwise(F.col("_kept"))).drop("_i", "_j").checkpoint()
         if state.where("_kept IS NULL").isEmpty():
             return state.where("_kept").select(*columns)
-    raise ValueError(f"undecided after {rounds} rounds")

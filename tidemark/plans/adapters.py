@@ -15,6 +15,7 @@ _C = "lpad(CAST(l_linenumber * 13 % 100 AS STRING), 2, '0')"
 _Y, _M, _D = "CAST(year(l_shipdate) AS STRING)", "lpad(CAST(month(l_shipdate) AS STRING), 2, '0')", "lpad(CAST(day(l_shipdate) AS STRING), 2, '0')"
 _RATING = "1 + CAST(floor(l_quantity) AS BIGINT) % 5"
 
+_UNKNOWN = "CAST(l_partkey + 100000000 AS STRING)"
 _WHOLE = "CAST(CAST(floor(p_retailprice) AS BIGINT) AS STRING)"
 _LD = f"""'<script type="application/ld+json">{{"@graph": [{{"name": "decoy", "price": 1}}, {{"@type": ["Thing", "Product"], "name": "' || p_name || '", "brand": {{"name": "' || p_brand || '"}}, "offers": [{{"price": "' || {_WHOLE} || '.50", "priceCurrency": "eur"}}], "aggregateRating": {{"ratingValue": 4.5, "ratingCount": "1,2' || lpad(CAST(p_size AS STRING), 2, '0') || '"}}}}]}}</script>'"""
 _NEXT = f"""'<script id="__NEXT_DATA__">{{"props": {{"list": [{{"title": "decoy", "price": 1}}, {{"data": {{"displayName": "' || p_name || '", "salePrice": ' || {_WHOLE} || ', "sku": "s", "brand_name": "' || p_brand || '", "category": {{"label": "' || p_type || '"}}}}}}]}}}}</script>'"""
@@ -28,8 +29,12 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "product_id": "CAST(p_partkey AS STRING)", "product_name": "p_name", "brand": "p_brand", "category": "p_type", "price": "p_retailprice", "currency": "'USD'",
         "source_group": "CASE WHEN p_size % 3 = 0 THEN 'marketplace' WHEN p_size % 3 = 1 THEN 'simulation' END",
     }),
-    "prices": ("lineitem", {"price_id": _ID, "product_id": "CAST(l_partkey AS STRING)", "price": "l_extendedprice", "timestamp": "CAST(l_shipdate AS TIMESTAMP)", "currency": "'USD'"}),
-    "reviews": ("lineitem", {"review_id": _ID, "product_id": "CAST(l_partkey AS STRING)", "rating": f"CAST({_RATING} AS DOUBLE)", "review_date": "CAST(l_shipdate AS TIMESTAMP)", "review_text": "l_returnflag"}),
+    "prices": ("lineitem", {"price_id": _ID, "product_id": f"CASE WHEN l_suppkey % 20 = 3 THEN {_UNKNOWN} ELSE CAST(l_partkey AS STRING) END", "price": "l_extendedprice", "timestamp": "CAST(l_shipdate AS TIMESTAMP)", "currency": "'USD'"}),
+    # some products are in no catalog, some catalog products have no review, some days with reviews have no price
+    "reviews": ("lineitem", {
+        "review_id": _ID, "product_id": f"CASE WHEN l_suppkey % 20 = 7 OR l_partkey % 50 = 11 THEN {_UNKNOWN} ELSE CAST(l_partkey AS STRING) END", "rating": f"CAST({_RATING} AS DOUBLE)",
+        "review_date": "CAST(CASE WHEN l_suppkey % 20 = 5 THEN l_shipdate + INTERVAL 3 DAY ELSE l_shipdate END AS TIMESTAMP)", "review_text": "l_returnflag",
+    }),
     "raw_reviews": ("lineitem", {
         "review_id": f"CASE WHEN l_suppkey % 97 = 3 THEN ' ' ELSE {_ID} END",
         "product_id": "CASE WHEN l_suppkey % 89 = 5 THEN NULL ELSE CAST(l_partkey AS STRING) END",

@@ -198,11 +198,20 @@ def stream_tumbling_window(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(spark.read.parquet(f"{at}/out"))
 
 
-@query(f"{with_views('stream_reviews')} SELECT DISTINCT source_group, review_id, product_id FROM stream_reviews")
+_COPY = "CAST(review_id AS BIGINT) % 5"
+
+
+@query(f"""{with_views('stream_reviews')} SELECT source_group, review_id, product_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') AS at FROM stream_reviews
+UNION ALL SELECT source_group, review_id, product_id, strftime(event_time + INTERVAL 400 DAY, '%Y-%m-%d %H:%M:%S') FROM stream_reviews WHERE {_COPY} = 0 AND event_time + INTERVAL 20 MINUTE <= (SELECT max(event_time) FROM stream_reviews)""")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of which every fifth comes twice; after a restart come copies that are too late, and copies of a later time, whose ids are forgotten but for the newest."""
     at = folder(spark)
-    _drained(streams.distinct_reviews(_stream(spark, sf)).select("source_group", "review_id", "product_id"), "append", at)
-    return spark.read.parquet(f"{at}/out").select("source_group", "review_id", "product_id")
+    rows = frame(spark, sf, "stream_reviews").select("source_group", "review_id", "product_id", "event_time")
+    later = rows.where(f"{_COPY} = 0").withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 400 DAY"))
+    for part in (rows.union(rows.where(f"{_COPY} = 0")), later.union(rows.where(f"{_COPY} = 1"))):
+        part.write.mode("append").parquet(f"{at}/in")
+        _drained(streams.distinct_reviews(spark.readStream.schema(rows.schema).parquet(f"{at}/in")), "append", at)
+    return spark.read.parquet(f"{at}/out").select("source_group", "review_id", "product_id", text("event_time", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query(f"{with_views('stream_reviews')} SELECT strftime(time_bucket(INTERVAL 60 SECONDS, event_time), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS event_count, count(value) AS sample_size, {rounded('avg(value)')} AS mean_value, {rounded('count(*) / 60', 4)} AS rate_per_second FROM stream_reviews GROUP BY 1")
