@@ -83,3 +83,15 @@ def nearest(df: DataFrame, value: Column, shares: dict[str, float], big: int = B
     asked = total.select("_all", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.greatest(F.ceil(F.col("n") * F.lit(float(s))) - 1, F.lit(0)).alias("at")) for k, s in shares.items()])).alias("x")).select("_all", "x.k", "x.at")
     found = at_ranks(counts, asked.select("_all", "at").distinct(), ["_all"], big, ranges).join(asked, ["_all", "at"])
     return found.agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(k) for k in shares])
+
+
+def numbered(df: DataFrame, at: str, *order: str) -> DataFrame:
+    """df with position, from 0 by order over the whole table: written to at in range partitions, whose sizes give each one's first number. order must tell rows apart."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread.withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
+    rows = df.sparkSession.read.parquet(at)
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a partition
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(sizes, part == F.col("_part")).withColumn("position", F.col("_at") + F.col("_shift")).select(*df.columns, "position")

@@ -11,7 +11,8 @@ from tidemark.operators import cleaning, silver
 from tidemark.plans.adapters import frame, with_views
 from tidemark.plans.commerce import _PARSED, _SPLIT
 from tidemark.plans.scratch import folder
-from tidemark.sources import files, published
+from tidemark.sources import delimited, files, published
+from tidemark.streaming import replay
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +107,25 @@ def published_marts(spark: SparkSession, sf: str) -> DataFrame:
     mart = frame(spark, sf, "products").groupBy(F.col("brand").alias("product_id")).agg(F.count("*").alias("product_count")).withColumn("run_id", F.lit("run-1"))
     published.publish_marts({"brands": mart}, {"brands": ["product_id"]}, at, "run-1")
     return published.read_group(spark, at, "run-1")["brands"].select("run_id", "product_id", "product_count")
+
+
+_WRITTEN = "p_name || ' é, \"x\"; y'"
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS product_id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE {_WRITTEN} END AS product_name, CASE WHEN p_partkey % 3 = 2 THEN p_brand END AS brand FROM part")
+def delimited_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Products written in three ways (commas in UTF-8, semicolons in ISO-8859-1, tabs and one more column) and read by what the files themselves show."""
+    at = folder(spark)
+    parts = spark.read.parquet(f"{sf}/part.parquet").selectExpr("CAST(p_partkey AS STRING) AS product_id", f"CASE WHEN p_size % 7 = 0 THEN NULL ELSE {_WRITTEN} END AS product_name", "p_brand AS brand", "p_partkey % 3 AS way")
+    for way, (sep, encoding, columns) in enumerate(((",", "UTF-8", ["product_id", "product_name"]), (";", "ISO-8859-1", ["product_name", "product_id"]), ("\t", "UTF-8", ["product_id", "product_name", "brand"]))):
+        parts.where(F.col("way") == way).select(columns).write.options(header="true", sep=sep, encoding=encoding, escape='"').csv(f"{at}/{way}")
+    return delimited.read(spark, at).select("product_id", "product_name", "brand")
+
+
+@query("SELECT p_partkey AS product_id, (row_number() OVER (ORDER BY p_partkey) - 1) // CAST(ceil((SELECT count(*) FROM part) / 3) AS BIGINT) AS batch FROM part")
+def paced_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Products sent as a stream in three triggers, in order, at most a third of them each."""
+    at = folder(spark)
+    n = replay.store(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("product_id")), at, "product_id")
+    replay.replay(spark, at, lambda batch, i: batch.write.mode("overwrite").parquet(f"{at}/out/batch={i}"), f"{at}/check", per_trigger=-(-n // 3), every="0 seconds")
+    return spark.read.schema("product_id long, position long, batch long").parquet(f"{at}/out").select("product_id", "batch")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources import delimited
+
 # Identity columns that are text in every format.
 IDENTITIES = ("product_id", "review_id", "user_id", "price_id", "event_id", "customer_id", "seller_id")
 
@@ -40,19 +42,18 @@ def _any(spark: SparkSession, paths: tuple[str, ...], pattern: str) -> bool:
     return not names.isEmpty()
 
 
-def load(spark: SparkSession, path: str, kind: str | None = None, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV, TSV, JSON, JSON lines or Parquet file or folder; identity columns are text. CSV has a header and text columns only."""
+def load(spark: SparkSession, path: str, kind: str | None = None, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """A CSV, TSV, JSON, JSON lines or Parquet file or folder; identity columns are text. CSV has a header and text columns only; its encoding and separator are found if they aren't stated."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv", "txt"):
-        df = spark.read.option("header", "true").option("sep", sep or ("\t" if kind != "csv" else ",")).option("encoding", encoding).option("multiLine", "true").csv(path)
-    elif kind == "parquet":
+        return delimited.read(spark, path, encoding=encoding, separator=sep or ("\t" if kind == "tsv" else None), pattern="*")
+    if kind == "parquet":
         df = spark.read.parquet(path)
     elif kind in ("json", "jsonl", "ndjson"):
         df = spark.read.option("multiLine", str(kind == "json").lower()).option("mode", "FAILFAST").json(path)
     else:
         raise ValueError(f"unknown kind {kind}")
-    mark = "﻿"
-    renamed = df.toDF(*[c.lstrip(mark).strip() for c in df.columns])
+    renamed = df.toDF(*[c.lstrip(delimited.MARK).strip() for c in df.columns])
     return renamed.withColumns({c: F.col(c).cast("string") for c in IDENTITIES if c in renamed.columns})
 
 

@@ -43,6 +43,13 @@ def from_files(spark: SparkSession, path: str, per_trigger: int | None = None) -
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("topic"))
 
 
+def from_json_files(spark: SparkSession, path: str, schema: str = MESSAGE, per_trigger: int | None = None, multi_line: bool = True) -> DataFrame:
+    """JSON documents (an object or an array a file) or lines of that schema as value, nulls included, with the file's path; other fields are left out."""
+    reader = spark.readStream.schema(schema).option("multiLine", str(multi_line).lower()).option("recursiveFileLookup", "true")
+    rows = (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).json(path)
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"), F.col("_metadata.file_path").alias("topic"))
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Messages (value: JSON, flat or with a payload) as columns; a payload's fields are authoritative, nulls included.
 
