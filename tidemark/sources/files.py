@@ -115,6 +115,71 @@ def amplified(base: DataFrame, n: int, ident: str, prefix: str) -> DataFrame:
     return base.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn(ident, F.concat_ws("-", F.lit(prefix), F.col(ident), "_copy")).drop("_copy") if copies else base
 
 
+def spread(i: Column, share: float) -> Column:
+    """Whether row i (from 0) is one of a share of rows, evenly spread: of the first n rows always floor(n * share) are."""
+    exact = F.lit(str(share)).cast("decimal(20,12)")
+    upto = lambda x: F.floor(x.cast("decimal(18,0)") * exact)
+    return upto(i + 1) > upto(i)
+
+
+# The first time of a simulation, seconds between its rows, values of dirty rows.
+SIMULATED_FROM, SIMULATED_EVERY = 1_790_841_600, 2
+DIRTY = (("rating", 99.0), ("price", -50000.0))
+
+
+def simulated(base: DataFrame, n: int, ident: str, prefix: str, order: list[str], at: str, dirty: float = 0.01) -> DataFrame:
+    """n rows from base's in turn with ids of their own; copies get new times, a share of rows an impossible rating or price, evenly spread; the first two rows stand once more, if there are five.
+
+    Written below at on the way, to number base's rows by order.
+    """
+    from tidemark.operators import ranks
+
+    if not 0 <= dirty <= 1 or n < 0:
+        raise ValueError("dirty is a share, n no negative number")
+    size = base.count()
+    if not size or not n:
+        return base.limit(0)
+    numbers = base.sparkSession.range(n).select("id", (F.col("id") % size).alias("position"))
+    rows = ranks.numbered(base, f"{at}/base", *order).join(numbers, "position")
+    new = {ident: F.format_string(f"{prefix}_sim_%07d", "id")}
+    clock = next((c for c in ("review_date", "timestamp") if c in base.columns), None)
+    if clock:
+        sent = F.date_format(F.timestamp_seconds(F.lit(SIMULATED_FROM) + F.col("id") * SIMULATED_EVERY), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        new[clock] = F.when(F.col("id") >= size, sent).otherwise(F.col(clock).cast("string"))
+    value = next(((c, v) for c, v in DIRTY if c in base.columns), None)
+    if value:
+        kind = base.schema[value[0]].dataType
+        new[value[0]] = F.when(spread(F.col("id"), dirty), F.lit(value[1]).cast(kind)).otherwise(F.col(value[0]))
+    made = rows.withColumns(new)
+    return (made.union(made.where("id < 2")) if n >= 5 else made).select(base.columns)
+
+
+def make_prices(spark: SparkSession, products: int, days: int = 30, seed: int = 42, glitch_every: int = 7) -> DataFrame:
+    """A price a product and day that moves by up to 2 percent about its level; every so many products have one day at a tenth of it."""
+    base = 50 + 1950 * _uniform(seed + 3, "p")
+    day = spark.range(products).withColumnRenamed("id", "p").withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+    glitch = (F.col("p") % glitch_every == 0) & (F.col("d") == F.floor(_uniform(seed + 5, "p") * days))
+    price = F.round(base * (0.98 + 0.04 * _uniform(seed + 7, "p", "d")) * F.when(glitch, 0.1).otherwise(1.0), 2)
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("d") * 86400)
+    return day.select(F.format_string("PR%06d%03d", "p", "d").alias("price_id"), F.format_string("P%06d", "p").alias("product_id"), price.alias("price"), F.lit("USD").alias("currency"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), glitch.alias("glitch"))
+
+
+def make_bursts(spark: SparkSession, products: int, hours: int = 48, seed: int = 42, burst_every: int = 5, size: int = 40) -> DataFrame:
+    """One or two reviews a product and hour; every so many products have one hour, in the second half, of many reviews with one star."""
+    hour = spark.range(products).withColumnRenamed("id", "p").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(hours - 1))))
+    burst = (F.col("p") % burst_every == 0) & (F.col("h") == hours // 2 + F.floor(_uniform(seed + 5, "p") * (hours - hours // 2)))
+    n = F.when(burst, size).otherwise(1 + F.floor(_uniform(seed + 7, "p", "h") * 2)).cast("int")
+    rows = hour.withColumn("burst", burst).withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    at = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("h") * 3600 + F.col("i"))
+    stars = F.when(F.col("burst"), 1).otherwise(3 + F.floor(_uniform(seed + 9, "p", "h", "i") * 3))
+    return rows.select(F.format_string("R%06d-%03d-%03d", "p", "h", "i").alias("review_id"), F.format_string("P%06d", "p").alias("product_id"), stars.cast("string").alias("rating"), F.lit("text").alias("review_text"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("review_date"), "burst")
+
+
+def stream_events(reviews: DataFrame, source: str = "simulation") -> DataFrame:
+    """value: reviews as messages of a stream."""
+    return records(envelope(reviews, "NEW_REVIEW", source, "review_date"))
+
+
 def parquet_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet table, or None where there is no such path; any other failure is raised."""
     from pyspark.errors import AnalysisException

@@ -211,13 +211,37 @@ def write_bronze(df: DataFrame, path: str, clock: str) -> None:
     df.withColumns(part).write.mode("append").partitionBy(*part).json(path)
 
 
-def publish_marts(frames: dict[str, DataFrame], grains: dict[str, list[str]], path: str, run_id: str, reports: list[dict] | None = None) -> dict[str, int]:
-    """Publishes a run's marts after all of them are found sound and, with reports, the quality gate lets the run pass; nothing is written otherwise."""
+def consumed_faults(consumed: dict[str, DataFrame], reports: list[dict], run_id: str, source_runs: dict[str, str] | None = None) -> list[str]:
+    """Why quality reports don't describe the frames that marts were made of: each needs rows and one report of its run with just as many.
+
+    source_runs: the run that made a frame, where it isn't run_id.
+    """
+    why = []
+    for name, df in consumed.items():
+        run = (source_runs or {}).get(name, run_id)
+        mine = [r for r in reports if r.get("dataset") == name and r.get("source_run_id", r.get("run_id")) == run]
+        rows = df.count()
+        if not rows:
+            why.append(f"{name}: consumed, but empty")
+        elif len(mine) != 1:
+            why.append(f"{name}: {len(mine)} reports of run {run}")
+        elif mine[0].get("total") != rows and mine[0].get("valid") != rows:
+            why.append(f"{name}: {rows} rows consumed, {mine[0].get('total')} measured")
+    return why
+
+
+def publish_marts(frames: dict[str, DataFrame], grains: dict[str, list[str]], path: str, run_id: str, reports: list[dict] | None = None, consumed: dict[str, DataFrame] | None = None, source_runs: dict[str, str] | None = None) -> dict[str, int]:
+    """Publishes a run's marts after all of them are found sound and, with reports, the quality gate lets the run pass; nothing is written otherwise.
+
+    consumed: the frames that the marts were made of, which the reports must describe.
+    """
     from tidemark.operators.marts import require_sound
     from tidemark.operators.quality import gate
 
     if reports is not None and (why := gate(reports, run_id=run_id)):
         raise ValueError("; ".join(why))
+    if consumed is not None and (why := consumed_faults(consumed, reports or [], run_id, source_runs)):
+        raise ValueError("; ".join(why))
     for name, df in frames.items():
         require_sound(df, grains[name])
         if "run_id" in df.columns and not df.where(F.col("run_id") != run_id).isEmpty():
@@ -225,8 +249,42 @@ def publish_marts(frames: dict[str, DataFrame], grains: dict[str, list[str]], pa
     return publish_group(frames, path, run_id)
 
 
-def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], **options: str) -> None:
-    """A database table's rows replaced by the union with df, where df's rows win: written beside, in batches, for the database to swap."""
-    spark = df.sparkSession
-    old = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-    merged(old, df, keys).write.format("jdbc").options(url=url, dbtable=f"{table}_next", batchsize="1000", truncate="true", **options).mode("overwrite").save()
+def publish_articles(articles: DataFrame, path: str, run_id: str, min_score: float = 90.0) -> dict:
+    """Publishes a run's articles (newest versions), daily statistics and quarantine as one group, and returns its manifest.
+
+    A batch without a valid article, or of a lower score, changes nothing in use: its
+    quarantine and quality stay under _attempts. A run is published once.
+    """
+    from tidemark.operators import articles as A
+
+    spark = articles.sparkSession
+    if not 0 <= min_score <= 100:
+        raise ValueError("the score is between 0 and 100")
+    if run_id in {m["run_id"] for m in article_runs(spark, path)}:
+        raise ValueError(f"run {run_id} is published already")
+    judged = A.judged(articles)
+    current, counts = A.versions(articles)
+    quality = counts.first().asDict()
+    bad = judged.where("reason IS NOT NULL")
+    if not quality["valid"] or quality["dq_score"] < min_score:
+        at = f"{path}/_attempts/{run_id}-{uuid.uuid4().hex[:8]}"
+        bad.write.json(f"{at}/quarantine")
+        counts.write.json(f"{at}/quality")
+        raise ValueError(f"quality {quality['dq_score']} is below {min_score}: what is in use stays")
+    frames = {"articles": current, "article_daily_stats": A.daily_stats(current), "quarantine": bad}
+    versions = {name: publish(df.withColumn("run_id", F.lit(run_id)), f"{path}/{name}", operation_id=run_id) for name, df in frames.items()}
+    manifest = {"run_id": run_id, "tables": versions, "quality": quality, "required_score": min_score, "status": "complete"}
+    write_commit(spark, f"{path}/_manifests", {"version": len(article_runs(spark, path)), "operation": "articles", "operation_id": run_id, **manifest})
+    return manifest
+
+
+def article_runs(spark: SparkSession, path: str) -> list[dict]:
+    """The manifests of published runs, oldest first; the last one names the versions in use."""
+    return history(spark, f"{path}/_manifests")
+
+
+def read_articles(spark: SparkSession, path: str, name: str = "articles") -> DataFrame:
+    runs = article_runs(spark, path)
+    if not runs:
+        raise KeyError(f"no articles are published at {path}")
+    return read(spark, f"{path}/{name}", runs[-1]["tables"][name])
