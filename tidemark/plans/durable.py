@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import quality
 from tidemark.plans.adapters import frame, rounded, with_views
 from tidemark.plans.scratch import folder
-from tidemark.sources import keyed, published
+from tidemark.sources import generations, keyed, published
 from tidemark.streaming import arrival
 from tidemark.streaming import reviews as streams
 
@@ -98,3 +98,50 @@ def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
     for n, y in enumerate([r[0] for r in prices.select("y").distinct().orderBy(F.desc("y")).collect()]):
         keyed.merge(prices.where(F.col("y") == y).drop("y"), at, ["price_id"], "timestamp", "product_id", "price", batch_id=n)
     return keyed.read(spark, at).select("price_id", "product_id", "price")
+
+
+_DAILY = "SELECT product_id, count(*) AS n, {total} AS total FROM prices GROUP BY 1"
+
+
+@query(f"{with_views('prices')} {_DAILY.format(total=rounded('sum(price)'))}")
+def generation_in_use(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals rebuilt twice and promoted; then a plan of other settings is promoted and taken back, and one whose replays differ is refused."""
+    at = folder(spark)
+    prices = frame(spark, sf, "prices")
+
+    def build(times: int):
+        return lambda x: {"totals": x["prices"].groupBy("product_id").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(28,10)") * times).alias("total"))}
+
+    plans = {t: generations.plan({"prices": prices}, {"times": t}) for t in (1, 2)}
+    for name, plan, times in (("a", 1, 1), ("b", 1, 1), ("c", 2, 2), ("d", 2, 2), ("e", 2, 3)):
+        generations.replay(spark, at, name, plans[plan], {"prices": prices}, build(times))
+    generations.promote(spark, at, "a", "b", expected=None)
+    generations.promote(spark, at, "c", "d", expected="a")
+    try:
+        generations.promote(spark, at, "c", "e", expected="c")
+        raise AssertionError("replays that differ were promoted")
+    except generations.Refused:
+        generations.rollback(spark, at)
+    return generations.read(spark, at, "totals").select("product_id", "n", F.round("total", 2).cast("double").alias("total"))
+
+
+_BROKEN = {
+    "INVALID_TYPE_RATING": ("rating", "'bad'"), "INVALID_TYPE_TIMESTAMP": ("review_date", "'soon'"), "MISSING_REVIEW_ID": ("review_id", "' '"), "MISSING_PRODUCT_ID": ("product_id", "NULL"),
+    "MISSING_REVIEW_TEXT": ("review_text", "''"), "INVALID_RATING_OUT_OF_RANGE": ("rating", "'9'"), "MISSING_EVENT_TIME": ("review_date", "NULL"), "INVALID_SOURCE_METADATA": ("acquisition_method", "'generated'"),
+}
+
+
+@query("SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_BROKEN)) + " END AS reason, 0 AS leaks, CASE WHEN event_id % 9 < 8 THEN event_type END AS kept FROM events")
+def stream_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with one fault of each kind and personal fields three levels deep: their reasons, and what the quarantine shows of them."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    plain = {"review_id": "CAST(event_id AS STRING)", "product_id": "event_type", "rating": "'4'", "review_text": "'t'", "review_date": "CAST(ts AS STRING)", "source_group": "'marketplace'", "acquisition_method": "'live'"}
+    made = {c: "CASE event_id % 9 " + " ".join(f"WHEN {i} THEN {v}" for i, (f, v) in enumerate(_BROKEN.values()) if f == c) + f" ELSE {x} END" if any(f == c for f, _ in _BROKEN.values()) else x for c, x in plain.items()}
+    deep = "named_struct('id', event_id, 'list', array(named_struct('Email', 'secret', 'contact', named_struct('ip_address', 'secret', 'kind', event_type)))) AS trace"
+    value = e.selectExpr("event_id", *[f"{x} AS {c}" for c, x in made.items()], "'secret' AS user_id", deep)
+    fields = F.struct(*[c for c in value.columns if c != "event_id"])
+    messages = value.select(F.to_json(F.struct(fields.alias("payload"), F.lit("secret").alias("avatar_url"))).alias("value"))
+    good, bad = streams.split(streams.parsed(messages))
+    at = lambda path: F.get_json_object("payload", path)
+    shown = bad.select(at("$.trace.id").cast("long").alias("event_id"), "reason", F.when(F.concat("payload", F.coalesce("envelope", F.lit(""))).contains("secret"), 1).otherwise(0).alias("leaks"), at("$.trace.list[0].contact.kind").alias("kept"))
+    return good.select(F.col("review_id").cast("long").alias("event_id"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("leaks"), F.lit(None).cast("string").alias("kept")).union(shown)

@@ -129,3 +129,29 @@ def paced_replay(spark: SparkSession, sf: str) -> DataFrame:
     n = replay.store(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("product_id")), at, "product_id")
     replay.replay(spark, at, lambda batch, i: batch.write.mode("overwrite").parquet(f"{at}/out/batch={i}"), f"{at}/check", per_trigger=-(-n // 3), every="0 seconds")
     return spark.read.schema("product_id long, position long, batch long").parquet(f"{at}/out").select("product_id", "batch")
+
+
+_NESTED = {
+    "required": ["review"],
+    "properties": {
+        "review": {"type": "object", "required": ["product_id"], "properties": {"rating": {"type": "number", "minimum": 1, "maximum": 5}}},
+        "flags": {"type": "array", "items": {"type": "object", "properties": {"purchase": {"enum": ["true", "false"]}, "texts": {"type": "array", "items": {"type": "string", "minLength": 1}}}}},
+    },
+}
+
+
+@query(f"""{with_views('raw_reviews')} SELECT review_id, concat_ws(',', CASE WHEN TRY_CAST(rating AS DOUBLE) IS NULL THEN 'type(review.rating)' END, CASE WHEN NOT coalesce(TRY_CAST(rating AS DOUBLE) BETWEEN 1 AND 5, false) THEN 'limits(review.rating)' END,
+ CASE WHEN product_id IS NULL THEN 'required(review.product_id)' END, CASE WHEN verified_purchase NOT IN ('true', 'false') THEN 'enum(flags[1].purchase)' END, CASE WHEN trim(review_text) = '' THEN 'length(flags[1].texts[1])' END) AS faults FROM raw_reviews""")
+def nested_schema(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of a schema of objects in arrays, which name the places where they are broken."""
+    rows = frame(spark, sf, "raw_reviews").selectExpr("review_id", "named_struct('review', named_struct('product_id', product_id, 'rating', rating), 'flags', array(named_struct('purchase', 'true', 'texts', array('x')), named_struct('purchase', verified_purchase, 'texts', array('y', review_text)))) AS r")
+    return rows.select("review_id", F.array_join(R.schema_faults(_NESTED, F.col("r"), rows.schema["r"].dataType), ",").alias("faults"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS size FROM part), i AS (SELECT unnest(range(0, (SELECT 2 * count(*) + 5 FROM part))) AS i),
+r AS (SELECT i, CASE WHEN floor((i + 1) * 0.03::DECIMAL(20, 12)) > floor(i * 0.03::DECIMAL(20, 12)) THEN -50000.0 ELSE p_retailprice END AS price FROM i JOIN b ON i % size = k)
+SELECT printf('part_sim_%07d', i) AS product_id, CAST(price AS DOUBLE) AS price FROM r UNION ALL SELECT printf('part_sim_%07d', i), CAST(price AS DOUBLE) FROM r WHERE i < 2""")
+def simulated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Twice the products and five more, three in a hundred with an impossible price, the first two rows once more."""
+    base = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_partkey").alias("n"))
+    return files.simulated(base, 2 * base.count() + 5, "product_id", "part", ["n"], folder(spark), 0.03).select("product_id", "price")
