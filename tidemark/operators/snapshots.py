@@ -21,6 +21,28 @@ def compared(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, change.alias("change")).where("change IS NOT NULL")
 
 
+def comparison_report(tables: dict[str, tuple[DataFrame, DataFrame, list[str]]], examples: int = 10) -> DataFrame:
+    """A row a table (before, after, key): rows before and after, keys added, removed and changed, the first examples of each, status equal or changed. Rows that repeat make it changed too."""
+    out = None
+    for name, (before, after, key) in sorted(tables.items()):
+        kinds = ("added", "removed", "changed")
+        # a bounded list of the least keys: the sort keeps as many a task as it gives
+        shown = compared(before, after, key).select("change", F.to_json(F.struct(*key)).alias("k"))
+        counts = shown.groupBy("change").agg(F.count("*").alias("n"))
+        counts = counts.agg(*[F.coalesce(F.max(F.when(F.col("change") == k, F.col("n"))), F.lit(0)).alias(f"{k}_keys") for k in kinds])
+        least = None
+        for k in kinds:
+            few = shown.where(F.col("change") == k).orderBy("k").limit(examples).agg(F.array_sort(F.collect_list("k")).alias(f"{k}_examples"))
+            least = few if least is None else least.crossJoin(few)  # one row each
+        sizes = fingerprint(before).select(F.col("row_count").alias("rows_before"), F.col("digest_sum").alias("_b")).crossJoin(fingerprint(after).select(F.col("row_count").alias("rows_after"), F.col("digest_sum").alias("_a")))
+        row = sizes.crossJoin(counts).crossJoin(least).select(
+            F.lit(name).alias("table"), "rows_before", "rows_after", *[f"{k}_keys" for k in kinds], *[f"{k}_examples" for k in kinds],
+            F.when((F.col("_a") == F.col("_b")) & (F.col("rows_before") == F.col("rows_after")), "equal").otherwise("changed").alias("status"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 of a row's fields as text in name order; null differs from the empty text."""
     cells = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in sorted(df.columns)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.functions import values as V
+from tidemark.operators import alerts, marts, quality, serving, snapshots
 from tidemark.plans.adapters import frame, rounded, with_views
 from tidemark.plans.scratch import folder
 from tidemark.sources import generations, keyed, published
@@ -145,3 +146,59 @@ def stream_reasons(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda path: F.get_json_object("payload", path)
     shown = bad.select(at("$.trace.id").cast("long").alias("event_id"), "reason", F.when(F.concat("payload", F.coalesce("envelope", F.lit(""))).contains("secret"), 1).otherwise(0).alias("leaks"), at("$.trace.list[0].contact.kind").alias("kept"))
     return good.select(F.col("review_id").cast("long").alias("event_id"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("leaks"), F.lit(None).cast("string").alias("kept")).union(shown)
+
+
+_NOW = "TIMESTAMP '1998-08-03 00:00:00'"
+
+
+@query(f"""{with_views('runs')}, r AS (SELECT pipeline, source, status, ended_at, run FROM runs), s AS (SELECT pipeline, source, arg_max(status, struct_pack(e := ended_at, r := run)) AS last_status, max(CASE WHEN status = 'success' THEN ended_at END) AS last_success FROM r GROUP BY 1, 2)
+SELECT pipeline, source, 'failed' AS alert, 'critical' AS severity FROM s WHERE last_status = 'failed' UNION ALL SELECT pipeline, source, 'stale', 'warning' FROM s WHERE epoch({_NOW}) - epoch(last_success) > 93600 UNION ALL SELECT pipeline, source, 'never_succeeded', 'warning' FROM s WHERE last_success IS NULL""")
+def pipeline_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Pipelines whose last run failed, or that have had no success for 26 hours."""
+    runs = frame(spark, sf, "runs")
+    status = runs.groupBy("pipeline", "source").agg(F.max_by("status", F.struct("ended_at", "run")).alias("last_status"), F.max(F.when(F.col("status") == "success", F.col("ended_at"))).alias("last_success"), F.min("ended_at").alias("expected_since"))
+    return alerts.pipeline_alerts(status, F.expr(_NOW))
+
+
+@query("""WITH e AS (SELECT 'consumer_lag' AS metric, event_type AS labels, CAST(ts AS TIMESTAMP) AS t, event_id, CASE WHEN event_id % 97 = 5 THEN 0 ELSE 900 + value * 10 END AS v FROM events),
+n AS (SELECT labels, max(t) AS newest, arg_max(v, t) AS v, max(CASE WHEN NOT v > 1000 THEN t END) AS broken FROM e GROUP BY 1),
+s AS (SELECT n.labels, newest, n.v, min(t) AS since FROM n JOIN e ON e.labels = n.labels AND (broken IS NULL OR e.t > broken) GROUP BY 1, 2, 3)
+SELECT 'consumer_backlog' AS alert, labels, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, v AS value FROM s WHERE epoch(date_trunc('second', newest)) - epoch(date_trunc('second', since)) >= 600""")
+def metric_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as samples of a backlog: kinds that have been above the threshold for ten minutes and still are."""
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("'consumer_lag' AS metric", "event_type AS labels", "CAST(ts AS TIMESTAMP) AS at", "CASE WHEN event_id % 97 = 5 THEN 0 ELSE 900 + value * 10 END AS value")
+    return alerts.fired(e).select("alert", "labels", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "value")
+
+
+_LEFT, _RIGHT = "CAST(product_id AS BIGINT) % 13 > 0", "CAST(product_id AS BIGINT) % 17 > 0"
+
+
+@query(f"""{with_views('products')}, b AS (SELECT product_id, brand, price FROM products WHERE {_LEFT}), a AS (SELECT product_id, brand, CASE WHEN CAST(product_id AS BIGINT) % 11 = 0 THEN price + 1 ELSE price END AS price FROM products WHERE {_RIGHT}),
+d AS (SELECT coalesce(a.product_id, b.product_id) AS k, CASE WHEN b.product_id IS NULL THEN 'added' WHEN a.product_id IS NULL THEN 'removed' WHEN a.price <> b.price THEN 'changed' END AS c FROM a FULL JOIN b ON a.product_id = b.product_id)
+SELECT 'products' AS table_name, (SELECT count(*) FROM b) AS rows_before, (SELECT count(*) FROM a) AS rows_after, sum(CASE WHEN c = 'added' THEN 1 ELSE 0 END)::BIGINT AS added_keys, sum(CASE WHEN c = 'removed' THEN 1 ELSE 0 END)::BIGINT AS removed_keys, sum(CASE WHEN c = 'changed' THEN 1 ELSE 0 END)::BIGINT AS changed_keys,
+ (SELECT string_agg('{{"product_id":"' || k || '"}}', ' ' ORDER BY '{{"product_id":"' || k || '"}}') FROM (SELECT k FROM d WHERE c = 'changed' ORDER BY '{{"product_id":"' || k || '"}}' LIMIT 10)) AS changed_examples, 'changed' AS status FROM d
+UNION ALL SELECT 'same', count(*), count(*), 0, 0, 0, '', 'equal' FROM b""")
+def snapshot_report(spark: SparkSession, sf: str) -> DataFrame:
+    products = frame(spark, sf, "products").select("product_id", "brand", "price")
+    after = products.where(_RIGHT).withColumn("price", F.when(F.expr("CAST(product_id AS BIGINT) % 11 = 0"), F.col("price") + 1).otherwise(F.col("price")))
+    before = products.where(_LEFT)
+    out = snapshots.comparison_report({"products": (before, after, ["product_id"]), "same": (before, before, ["product_id"])})
+    return out.select(F.col("table").alias("table_name"), "rows_before", "rows_after", "added_keys", "removed_keys", "changed_keys", F.array_join("changed_examples", " ").alias("changed_examples"), "status")
+
+
+@query(f"{with_views('raw_reviews')} SELECT review_id, count(*) AS n FROM raw_reviews GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return marts.repeated(frame(spark, sf, "raw_reviews"), "review_id")
+
+
+@query(f"{with_views('raw_prices')} SELECT price_id, sha256('{{{{\"price_id\":\"' || price_id || '\",\"product_id\":\"' || product_id || '\"}}}}') AS digest FROM raw_prices".replace("{{", "{").replace("}}", "}"))
+def record_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """A row's own digest over its fields in name order."""
+    return frame(spark, sf, "raw_prices").select("price_id", V.record_digest("product_id", "price_id").alias("digest"))
+
+
+@query(f"{with_views('products')} SELECT product_id, product_name FROM products WHERE contains(lower(product_name), 'a') AND lower(source_group) = 'marketplace' AND price >= 1000")
+def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A text in any case, an equality in any case, a floor, and all that is found."""
+    rows = frame(spark, sf, "products").withColumn("rating", F.col("price"))
+    return serving.find(rows, "A", ["product_name"], min_rating=1000, filters={"source_group": "MarketPlace"}, limit=2**31 - 1).select("product_id", "product_name")
