@@ -197,8 +197,8 @@ def record_ids(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "raw_prices").select("price_id", V.record_digest("product_id", "price_id").alias("digest"))
 
 
-@query(f"{with_views('products')} SELECT product_id, product_name FROM products WHERE contains(lower(product_name), 'a') AND lower(source_group) = 'marketplace' AND price >= 1000")
+@query(f"{with_views('products')} SELECT product_id, product_name FROM products WHERE contains(lower(product_name), 'a') AND lower(source_group) = 'marketplace' AND price >= 910")
 def filtered_search(spark: SparkSession, sf: str) -> DataFrame:
     """A text in any case, an equality in any case, a floor, and all that is found."""
     rows = frame(spark, sf, "products").withColumn("rating", F.col("price"))
-    return serving.find(rows, "A", ["product_name"], min_rating=1000, filters={"source_group": "MarketPlace"}, limit=2**31 - 1).select("product_id", "product_name")
+    return serving.find(rows, "A", ["product_name"], min_rating=910, filters={"source_group": "MarketPlace"}, limit=2**31 - 1).select("product_id", "product_name")
