@@ -140,7 +140,7 @@ def test_url_edges(spark):
     assert not urlfilters.judge(capture(spark, (1, "http://x.org", D(2024, 1, 1))), entries(spark)).first().blocked
 
 
-@pytest.mark.parametrize("name", ["op3_lines", "op10_urls"])
+@pytest.mark.parametrize("name", ["op3_lines", "op10_urls", "op12_merkle"])
 def test_native_queries_against_sql(spark, name):
     from tidemark.llm.queries import ORACLES, QUERIES
 
