@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +100,6 @@ def test_brown_rare_words_way_gives_the_same(docs, monkeypatch):
     """With a tiny head most words are counted by the join."""
     whole = {r.doc_id: r for r in brown.score(docs, fold(7) == 2).collect()}
     monkeypatch.setattr(brown, "HEAD", 64)
-    monkeypatch.setattr(brown, "CONTEXT", 32)
     monkeypatch.setattr(brown, "CORE", 16)
     for r in brown.score(docs, fold(7) == 2).collect():
         assert (r.n_known, r.n_tokens) == (whole[r.doc_id].n_known, whole[r.doc_id].n_tokens) and math.isclose(r.base_score, whole[r.doc_id].base_score, rel_tol=1e-9)
@@ -154,3 +154,92 @@ def test_rows_that_repeat_dont_change_the_fit(spark):
     train = spark.createDataFrame([(i, f"{'the of and' if i % 2 else 'le de et'} {i}", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
     one, two = language.fit(train), language.fit(train.union(train.limit(7)).repartition(3))
     assert (one.logits == two.logits).all() and one.languages == two.languages
+
+
+def test_brown_gains_against_moving_each_word(spark):
+    """The gain of every move equals the likelihood of the bigrams counted anew after it, less that before."""
+    rng = np.random.default_rng(4)
+    words, classes = 30, 6
+    bigrams = rng.poisson(rng.gamma(0.3, 6, (words, words))).astype(float)
+    of = np.concatenate([[0], 2 + rng.integers(0, classes - 2, words - 1)])
+    counts = bigrams.sum(0)
+
+    def likelihood(of):
+        one = np.eye(classes)[of]
+        x = one.T @ bigrams @ one
+        return sum(v * math.log(v) for v in x.ravel() if v) - 2 * sum(v * math.log(v) for v in one.T @ counts if v)
+
+    one = np.eye(classes)[of]
+    apart = bigrams - np.diag(np.diag(bigrams))
+    some = np.arange(1, words)
+    got = brown.gains((apart @ one)[some], (apart.T @ one)[some], np.diag(bigrams)[some], counts[some], of[some], one.T @ bigrams @ one, one.T @ counts)
+    assert np.isneginf(got[:, :2]).all()
+    for row, w in enumerate(some):
+        for b in range(2, classes):
+            moved = of.copy()
+            moved[w] = b
+            assert math.isclose(got[row, b] - got[row, of[w]], likelihood(moved) - likelihood(of), rel_tol=1e-8, abs_tol=1e-6)
+
+
+def test_brown_words_beyond_the_core_go_where_their_neighbours_say(spark, monkeypatch):
+    """Two kinds of words alternate; those beyond the core, whose endings say nothing, join their kind's classes."""
+    monkeypatch.setattr(brown, "CORE", 40)
+    rng = np.random.default_rng(6)
+    names = rng.permutation([f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "rstvwxzpqj"])
+    kinds = names[:150], names[150:300]
+    share = 1 / np.arange(1, 151)
+    share /= share.sum()
+    texts = [" ".join(rng.choice(kinds[i % 2], p=share) for i in range(60)) for _ in range(1200)]
+    df = spark.createDataFrame(list(enumerate(map(str, texts))), "doc_id long, text string").repartition(4).cache()
+    m = brown.train(df, brown.word_counts(df))
+    at = {int(h): k for k, h in enumerate(m.hashes)}
+    hashes = brown.tokens(pa.array([" ".join(kinds[0]) + " " + " ".join(kinds[1])])).hashes[:-1]
+    rank, group = np.array([at[int(h)] for h in hashes]), np.repeat([0, 1], 150)
+    assert (m.counts[rank] >= brown.MIN_COUNT).all()
+    mass = np.zeros((2, len(m.masses)))
+    np.add.at(mass, (group, m.classes[rank]), m.counts[rank])
+    late = rank >= 40
+    assert late.sum() > 200 and (mass.argmax(0)[m.classes[rank[late]]] == group[late]).mean() > 0.98
+    df.unpersist()
+
+
+def test_brown_score_against_a_loop(docs, rows):
+    """Probabilities of every token, one after another, from the model's classes and counts of the training texts."""
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    train = [x for d, x, *_ in rows if not held(d)]
+    m = brown.train(docs.where(fold(7) != 2), brown.word_counts(docs.where(fold(7) != 2)))
+    counts = Counter(t for x in train for t in tokens(x))
+    at = {int(h): k for k, h in enumerate(m.hashes)}
+
+    def classes(x):
+        t = brown.tokens(pa.array([x]))
+        return [int(m.classes[at[int(h)]]) if int(h) in at else int(m.by_ending[e]) for h, e in zip(t.hashes, t.endings, strict=True)]
+
+    pairs, mass, single = Counter(), Counter(), Counter()
+    for x in train:
+        cs = classes(x)
+        pairs.update(zip([brown.END, *cs], cs))
+        mass.update(cs)
+    for x in {t for t, c in counts.items() if c == 1 and isinstance(t, str)}:
+        single[int(m.by_ending[brown.tokens(pa.array([x])).endings[0]])] += 1
+    total, after = sum(mass.values()), Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+    got = {r.doc_id: r.score for r in brown.score(docs, fold(7) == 2).collect()}
+    for d, x, *_ in rows:
+        want, a = 0.0, brown.END
+        for t, c in zip(tokens(x), classes(x), strict=True):
+            share = mass[c] / total
+            unknown = min(max((single[c] + 0.5) / (mass[c] + 1), 1e-6), 0.5)
+            want += math.log10(max((pairs[a, c] + brown.BACK_OFF * share) / (after[a] + brown.BACK_OFF), 1e-12))
+            want += math.log10((1 - unknown) * counts[t] / max(mass[c], 1)) if counts[t] else math.log10(unknown)
+            a = c
+        assert math.isclose(got[d], want, rel_tol=1e-6), d
+
+
+def test_brown_head_holds_whole_ranges_of_counts(spark, monkeypatch):
+    rows = [(k, 0, c) for k, c in enumerate([50, 40, 30, 9, 9, 9, 4, 4, 4, 4, 1, 1, 1])] + [(int(brown.END_HASH.view(np.int64)), 0, 2)]
+    df = spark.createDataFrame(rows, "h long, ending int, c long")
+    for size, want in ((10, [2, 4, 4, 4, 4, 9, 9, 9, 30, 40, 50]), (9, [2, 9, 9, 9, 30, 40, 50]), (14, sorted(c for _, _, c in rows)), (0, [2])):
+        monkeypatch.setattr(brown, "HEAD", size)
+        assert sorted(r.c for r in brown.frequent(df).collect()) == want

@@ -1,17 +1,21 @@
 """Scoring by a class-based n-gram model whose classes come from exchange clustering.
 
-Words are counted over all training texts. The most frequent CORE words are clustered by
-exchange: from their bigram counts, each word in turn moves to the class that raises the
-likelihood of the class bigrams most. Words of the next ranks (to CONTEXT) join the class
-their neighbours' classes make likeliest, by the same likelihood, from counts over all
-training texts; rarer and unknown words take the class that most tokens with their ending
-have. A token's probability is the class transition, interpolated with the class's share,
-times the word's share of its class; the share of unknown words of a class is that of the
-words it has seen once (Good and Turing), taken from its known ones. The probabilities
-of the known words and of one unknown type sum to one.
-
-Only bounded tables are collected and broadcast: the HEAD most frequent words with counts
-and classes, a class per ending, the class transitions. Counts of all other words stay
+Words are counted over all training texts. Exchange clustering moves each word to the class
+that raises the likelihood of the class bigrams most. It starts with the CORE most frequent
+words, one after another, from their bigram counts; then every word of the head that occurs
+MIN_COUNT times is placed, and in each of ROUNDS further passes over all training texts half
+of the words, the core's too, are exchanged again: a pass counts each word's neighbours by
+their present classes, tasks work out the exact gain of every move against the class bigrams
+as they stand, and the round with the highest likelihood holds. The head is the most frequent
+words, as many as HEAD takes without parting words of nearly equal counts. Rarer and unknown
+words take the class that most tokens with their ending have. A token's probability is the
+class transition, interpolated with the class's share, times the word's share of its class;
+the share of unknown words of a class is that of the words it has seen once (Good and
+Turing), taken from its known ones. The probabilities of the known words and of one unknown
+type sum to one.
+
+Only bounded tables are collected and broadcast: the head with counts and classes, a class
+per ending, the class transitions. Neighbour counts and counts of all other words stay
 distributed; documents' rare tokens are joined with them by word. Words are known by a
 64-bit hash.
 
@@ -32,12 +36,16 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, text_blocks
+from tidemark.llm.common import drop, saved, text_blocks, thrifty
 from tidemark.llm.words import block_words, mix
 
-HEAD, CONTEXT, CORE, CLASSES, SWEEPS = 1 << 18, 1 << 14, 1 << 10, 48, 6
+HEAD, CORE, CLASSES, SWEEPS, ROUNDS = 1 << 18, 1 << 10, 48, 6, 4
+#: A word that occurs less often shows too few neighbours to be clustered by them.
+MIN_COUNT = 4
 ENDINGS = 1 << 12
-END, OTHER = 0, 1  # classes of the end and, while clustering, of words outside the core
+END, OTHER = 0, 1  # classes of the end and, while clustering, of words that aren't clustered (yet)
+#: Words whose gains are worked out at a time.
+CHUNK = 512
 END_HASH = mix(np.array([0x0E0D], np.uint64))[0]
 #: Weight of a class's share in its transitions.
 BACK_OFF = 20.0
@@ -143,8 +151,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return partial.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def summed_cells(texts: DataFrame, cells: int, add: Callable[[Tokens, np.ndarray], None]) -> np.ndarray:
-    """A table of counts, at most cells of them: each task adds up its own, then tasks' counts are summed by cell."""
+def cell_sums(texts: DataFrame, cells: int, add: Callable[[Tokens, np.ndarray], None], unit: int = 1) -> DataFrame:
+    """unit, cell, n: a table of counts, at most cells of them. Each task adds up its own, then tasks' counts are summed by cell, all cells of a unit (so many in a row) in one place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int32)
@@ -153,11 +161,17 @@ def summed_cells(texts: DataFrame, cells: int, add: Callable[[Tokens, np.ndarray
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 17):
             some = at[k : k + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((some // unit).astype(np.int32)), pa.array((some % unit).astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["unit", "cell", "n"])
+
+    partial = texts.select("text").mapInArrow(thrifty(run), "unit int, cell int, n long")
+    return (partial.repartition("unit") if unit > 1 else partial).groupBy("unit", "cell").agg(F.sum("n").alias("n"))
+
 
-    got = texts.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+def summed_cells(texts: DataFrame, cells: int, add: Callable[[Tokens, np.ndarray], None]) -> np.ndarray:
+    """cell_sums() of a small table, collected."""
+    got = cell_sums(texts, cells, add).toArrow()
     out = np.zeros(cells)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    out[got.column("unit").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
@@ -201,6 +215,150 @@ def exchange(bigrams: np.ndarray, counts: np.ndarray, classes: int, sweeps: int)
     return of
 
 
+def gains(right: np.ndarray, left: np.ndarray, own: np.ndarray, counts: np.ndarray, of: np.ndarray, grid: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """Of each word (a row) what the likelihood gains if it joins each class (a column), once taken out of its own.
+
+    right, left: its neighbours after and before it by class, itself left out; own: how often it follows itself. No two words move together.
+    """
+    m, classes = right.shape
+    rows = np.arange(m)
+    out = np.zeros((m, classes))
+    for here, back, table in ((right, left, grid), (left, right, grid.T)):
+        w, c = np.nonzero(here)
+        n = here[w, c][:, None]
+        base = table[:, c].T.copy()  # of every class, its bigrams with the neighbours' class
+        base[np.arange(len(w)), of[w]] -= n[:, 0]
+        same = np.flatnonzero(c == of[w])
+        base[same] -= back[w[same]]
+        base[same, c[same]] -= own[w[same]]
+        base = np.maximum(base, 0)
+        change = _f(base + n) - _f(base)
+        starts = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, int)
+        if len(starts):
+            out[w[starts]] += np.add.reduceat(change, starts)
+    diagonal = np.tile(np.diag(grid), (m, 1))
+    diagonal[rows, of] -= right[rows, of] + left[rows, of] + own
+    diagonal = np.maximum(diagonal, 0)
+    out -= _f(diagonal + right) + _f(diagonal + left) - 2 * _f(diagonal)
+    out += _f(diagonal + right + left + own[:, None]) - _f(diagonal)
+    rest = np.tile(mass, (m, 1))
+    rest[rows, of] -= counts
+    rest = np.maximum(rest, 0)
+    out -= 2 * (_f(rest + counts[:, None]) - _f(rest))
+    out[:, :OTHER + 1] = -np.inf
+    return out
+
+
+def before(x: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """What stands before each token; start (the end) before a text's first."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first[:-1]] = start
+    return out
+
+
+def neighbours(texts: DataFrame, sent: Broadcast, words: int, of: np.ndarray) -> DataFrame:
+    """unit, cells: of each of the first words of the broadcast head, how often which class stands before it (cell: the class), after it (CLASSES more), and itself (2 * CLASSES)."""
+    classes = texts.sparkSession.sparkContext.broadcast(np.append(of, OTHER).astype(np.int64))
+    unit = 2 * CLASSES + 1
+
+    def add(t: Tokens, cells: np.ndarray) -> None:
+        at = _index(sent).find(t.hashes).astype(np.int64)
+        at = np.where((at < 0) | (at >= words), words, at)
+        prior, mine = before(at, t.first, END), classes.value[at]
+        theirs, twice = classes.value[prior], at == prior
+        keys = np.concatenate([(at * unit + theirs)[(at < words) & ~twice], (prior * unit + CLASSES + mine)[(prior < words) & ~twice], (at * unit + 2 * CLASSES)[(at < words) & twice]])
+        found, n = np.unique(keys, return_counts=True)
+        cells[found] += n.astype(np.int32)
+
+    return cell_sums(texts, words * unit, add, unit).groupBy("unit").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # at most one unit's cells
+
+
+def _class_bigrams(seen: DataFrame, of: np.ndarray) -> np.ndarray:
+    """Bigrams of classes from neighbours(); the cell of OTHER with itself stays 0."""
+    classes = seen.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, CLASSES))
+        for batch in batches:
+            word, cell, n = _cells(batch)
+            mine = classes.value[word]
+            after, own = (cell >= CLASSES) & (cell < 2 * CLASSES) & (mine != OTHER), cell == 2 * CLASSES
+            np.add.at(total, (mine[after], cell[after] - CLASSES), n[after])
+            np.add.at(total, (mine[own], mine[own]), n[own])
+            other = (cell == OTHER) & (mine != OTHER)
+            np.add.at(total, (np.full(int(other.sum()), OTHER), mine[other]), n[other])
+        total[OTHER, OTHER] = 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at].astype(np.int64))], names=["cell", "n"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in seen.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, cell and count of every entry of rows of neighbours()."""
+    lists = batch.column(1)
+    flat = lists.flatten()
+    word = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+    return word, flat.field("cell").to_numpy(), flat.field("n").to_numpy()
+
+
+def _moved(seen: DataFrame, of: np.ndarray, counts: np.ndarray, grid: np.ndarray, turn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The classes after one exchange of the words whose turn it is, each against the bigrams as they stand."""
+    mass = np.bincount(of, counts, CLASSES)
+    state = seen.sparkSession.sparkContext.broadcast((of, counts, grid, mass))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, grid, mass = state.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(k, CHUNK)
+                words = part.column(0).to_numpy()
+                word, cell, n = _cells(part)
+                row = np.repeat(np.arange(len(words)), part.column(1).value_lengths().to_numpy())
+                dense = np.zeros((len(words), 2 * CLASSES + 1))
+                dense[row, cell] = n
+                mine = turn(words)
+                words, dense, own = words[mine], dense[mine], of[words[mine]]
+                gain = gains(dense[:, CLASSES : 2 * CLASSES], dense[:, :CLASSES], dense[:, -1], counts[words], own, grid, mass)
+                gain[:, mass == 0] = -np.inf  # all words would take an empty class at once
+                best = gain.argmax(1)
+                moves = gain[np.arange(len(words)), best] > gain[np.arange(len(words)), own] + 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(words[moves]), pa.array(best[moves].astype(np.int32))], names=["word", "class"])
+
+    got = seen.mapInArrow(run, "word int, class int").toArrow()  # at most one row a word of the head
+    out = of.copy()
+    out[got.column("word").to_numpy()] = got.column("class").to_numpy()
+    return out
+
+
+def clustered(texts: DataFrame, sent: Broadcast, counts: np.ndarray, core_class: np.ndarray) -> np.ndarray:
+    """Classes of the first len(counts) words of the broadcast head, of which the core's are given; word 0 is the end."""
+    words, core = len(counts), len(core_class)
+    of = np.full(words, OTHER)
+    of[:core] = core_class
+    best, highest = of, -np.inf
+    for k in range(ROUNDS + 2):  # the first places words, the last only measures
+        seen = saved(neighbours(texts, sent, words, of))
+        grid = _class_bigrams(seen, of)
+        mass = np.bincount(of, counts, CLASSES)
+        mass[OTHER] = 0
+        likelihood = _f(grid).sum() - 2 * _f(mass).sum()
+        if k and likelihood <= highest:
+            drop(seen)
+            break
+        if k:
+            best, highest = of, likelihood
+        if k <= ROUNDS:
+            turn = (lambda w: (w >= core) & (w > 0)) if not k else (lambda w, k=k: ((w + k) % 2 == 0) & (w > 0))
+            of = _moved(seen, of, counts, grid, turn)
+        drop(seen)
+    return best
+
+
 class Model(NamedTuple):
     hashes: np.ndarray  # of the head words
     counts: np.ndarray
@@ -217,25 +375,33 @@ class Model(NamedTuple):
         return at, np.where(at >= 0, self.classes[at] if len(self.classes) else 0, self.by_ending[t.endings])
 
 
+def frequent(vocabulary: DataFrame) -> DataFrame:
+    """The most frequent words, at most HEAD and the end: the words of whole ranges of counts, of which a histogram tells how many fit."""
+    ranged = vocabulary.withColumn("range", F.floor(64 * F.log2("c")))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n")).orderBy(F.desc("range")).collect()  # 64 ranges for each doubling of a count
+    least, held = None, 0
+    for r in sizes:
+        held += r["n"]
+        if held > HEAD:
+            break
+        least = r["range"]
+    end = F.col("h") == F.lit(int(END_HASH.view(np.int64)))
+    return ranged.where(end if least is None else (F.col("range") >= least) | end).drop("range")
+
+
 def train(texts: DataFrame, vocabulary: DataFrame) -> Model:
     """texts: the training texts; vocabulary: h, ending, c, their word_counts()."""
     spark = texts.sparkSession
     total = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
+    head = frequent(vocabulary).toArrow()
     hashes, counts, endings = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy(), head.column("ending").to_numpy()
     order = np.lexsort((hashes, -counts, hashes != END_HASH))  # the end first
     hashes, counts, endings = hashes[order], counts[order], endings[order]
     if not len(hashes):
         return Model(hashes, counts, np.zeros(0, int), np.full(ENDINGS, 2), np.full((CLASSES, CLASSES), -np.log10(CLASSES)), np.zeros(CLASSES), np.ones(CLASSES), 0, 0)
-    core, context = min(CORE, len(hashes)), min(CONTEXT, len(hashes))
-    sent = spark.sparkContext.broadcast(hashes[:context])
-
-    def before(x: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
-        """What stands before each token; start (the end) before a text's first."""
-        out = np.empty_like(x)
-        out[1:] = x[:-1]
-        out[first[:-1]] = start
-        return out
+    core, words = min(CORE, len(hashes)), max(1, int((counts >= MIN_COUNT).sum()) + (counts[0] < MIN_COUNT))
+    core = min(core, words)
+    sent = spark.sparkContext.broadcast(hashes[:words])
 
     def core_bigrams(t: Tokens, cells: np.ndarray) -> None:
         at = _index(sent).find(t.hashes)
@@ -245,33 +411,12 @@ def train(texts: DataFrame, vocabulary: DataFrame) -> Model:
 
     bigrams = summed_cells(texts, (core + 1) ** 2, core_bigrams).reshape(core + 1, core + 1)
     core_class = exchange(bigrams, bigrams.sum(0), CLASSES, SWEEPS)
-    core_sent = spark.sparkContext.broadcast(core_class)
-
-    def contexts(t: Tokens, cells: np.ndarray) -> None:
-        at = _index(sent).find(t.hashes)
-        known = core_sent.value[np.where((at < 0) | (at >= core), core, at)]
-        prior, middle = before(known, t.first, END), (at >= core) & (at < context)
-        follows = np.empty_like(known)
-        follows[:-1], follows[-1] = known[1:], END
-        base = (at[middle].astype(np.int64) - core) * 2 * CLASSES
-        found, n = np.unique(np.concatenate([base + prior[middle], base + CLASSES + follows[middle]]), return_counts=True)
-        cells[found] += n.astype(np.int32)
-
     classes = np.full(len(hashes), -1)
-    classes[:core] = core_class[:core]
-    if context > core:
-        seen = summed_cells(texts, (context - core) * 2 * CLASSES, contexts).reshape(context - core, 2, CLASSES)
-        one = np.eye(CLASSES)[core_class]
-        grid = one.T @ bigrams @ one + 0.05
-        mass = grid.sum(0)
-        ahead, behind = np.log(grid / mass[:, None]), np.log(grid / mass[:, None])
-        fit = seen[:, 0] @ ahead + seen[:, 1] @ behind.T - counts[core:context, None] * np.log(mass)
-        fit[:, :2] = -np.inf
-        classes[core:context] = fit.argmax(1)
+    classes[:words] = clustered(texts, sent, counts[:words], core_class[:core])
     votes = np.zeros((ENDINGS, CLASSES))
-    np.add.at(votes, (endings[1:context], classes[1:context]), counts[1:context])
+    np.add.at(votes, (endings[1:words], classes[1:words]), counts[1:words])
     by_ending = np.where(votes.sum(1) > 0, votes.argmax(1), int(votes.sum(0).argmax()) if votes.any() else 2)
-    classes[context:] = by_ending[endings[context:]]
+    classes[words:] = by_ending[endings[words:]]
     model = Model(hashes, counts, classes, by_ending, np.zeros((CLASSES, CLASSES)), np.zeros(CLASSES), np.zeros(CLASSES), int(total["n"]), int(total["v"]))
     whole = spark.sparkContext.broadcast(model)
 
