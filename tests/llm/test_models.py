@@ -68,6 +68,68 @@ def test_quality_edges(spark, docs, none):
     assert quality.classify(none, labels, fold(5) == 0).isEmpty()
 
 
+def test_quality_statistics_against_a_loop(rows):
+    """Every statistic, one text after another, word by word."""
+    letters = set(range(65, 91)) | set(range(97, 123)) | set(range(128, 256))
+    kinds = {"upper": set(range(65, 91)), "digit": set(b"0123456789"), "punctuation": set(b",;:'\"()-"), "symbol": set(b"#*$%&<>{}[]=+~^_\\/@"), "bar": set(b"|"), "exclaim": set(b"!?"), "stop": set(b"."), "other_bytes": set(range(128, 256))}
+    extra = ["THE END. THE END.\n\nthe the THE", "a|b #x $1 (c); d! e?\nsame\nsame\nsame\n", "A", "été ÉTÉ 12 1a __ antidisestablishment"]
+    texts = [r[1] for r in rows] + extra
+
+    def loop(text):
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        n, sizes, low = len(words), [len(w) for w in words], [w.lower() for w in words]
+        some, chars = max(n, 1), max(sum(sizes), 1)
+        mean = chars / some
+        lines = [x for x in raw.split(b"\n") if x]
+        out = {k: sum(b in v for b in raw) / chars for k, v in kinds.items()}
+        out |= {"words": math.log1p(n), "mean_length": math.log1p(mean) if n else 0.0, "length_spread": math.log1p(math.sqrt(max(sum(x * x for x in sizes) / some - mean**2, 0)))}
+        out |= {"lines": math.log1p(len(lines)), "line_words": math.log1p(n / max(len(lines), 1)), "repeat_lines": 1 - len(set(lines)) / len(lines) if lines else 0.0}
+        out |= {"distinct": len(set(low)) / some, "long_words": sum(x > 12 for x in sizes) / some, "short_words": sum(x <= 3 for x in sizes) / some}
+        out |= {"upper_words": sum(len(w) > 1 and all(b in kinds["upper"] for b in w) for w in words) / some, "symbol_words": sum(any(b in kinds["symbol"] for b in w) for w in words) / some}
+        out |= {"bare_words": sum(not any(b in letters for b in w) for w in words) / some, "repeat_next": sum(a == b for a, b in zip(low, low[1:], strict=False)) / some}
+        for k in quality.SHARES:
+            share = min(max(out[k], 0), 1)
+            out[k] = math.log((share + 0.002) / (1.002 - share))
+        return [min(max(out[k], -quality.CLIP), quality.CLIP) for k in quality.NAMES]
+
+    got = quality.statistics(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(row, loop(text), atol=1e-5), (text or "")[:80]
+
+
+def test_quality_scores_against_a_loop(spark, docs, rows):
+    """Sums, shrinkage and densities written out; slope and offset are the model's own."""
+    labels = {i: i % 2 for i in range(0, 160, 3)}
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    x = {r[0]: v for r, v in zip(rows, quality.statistics(pa.array([r[1] for r in rows])), strict=True)}
+    d = len(quality.NAMES)
+    parts = [np.array([x[i] for i, y in labels.items() if y == k and not held(i)]) for k in (0, 1)]
+    spread = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, spread, strict=True)) / sum(map(len, parts))
+    spread = [0.9 * c + 0.1 * pooled for c in spread]
+    spread = [0.9 * c + 0.1 * np.diag(np.diag(c)) + 1e-3 * np.eye(d) for c in spread]
+    density = lambda v, k: -0.5 * (v - parts[k].mean(0)) @ np.linalg.inv(spread[k]) @ (v - parts[k].mean(0)) - 0.5 * np.linalg.slogdet(spread[k])[1]
+    table = spark.createDataFrame([(i, y, 0) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    twice = docs.union(docs.where("doc_id % 2 = 0"))  # repeated rows don't change the fit
+    got = quality.classify(twice, table, fold(5) == 0).collect()
+    known = {i for i in labels if not held(i)}
+    frame = spark.createDataFrame([(int(i), [float(a) for a in x[i]], labels[i]) for i in sorted(known)], "doc_id long, x array<double>, label int")
+    model = quality.fit(frame)
+    assert len(got) == len(rows) + sum(r[0] % 2 == 0 for r in rows)
+    for r in got:
+        z = model.slope * (density(x[r.doc_id], 1) - density(x[r.doc_id], 0)) + model.offset
+        assert math.isclose(r.score, 1 / (1 + math.exp(-min(max(z, -30), 30))), rel_tol=1e-4, abs_tol=1e-9)
+
+
+def test_quality_fit_repeats_where_ids_share_texts(spark, docs):
+    """Other texts under an id that is there already: any order of rows gives the same scores."""
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    other = docs.withColumn("text", F.reverse("text"))
+    a, b = (quality.classify(d, labels, fold(5) == 0).groupBy("doc_id").agg(F.sort_array(F.collect_list("score")).alias("s")).collect() for d in (docs.union(other), other.repartition(5).union(docs)))
+    assert {r.doc_id: [round(v, 9) for v in r.s] for r in a} == {r.doc_id: [round(v, 9) for v in r.s] for r in b}
+
+
 def test_discriminant_on_known_densities():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(4000, 3)), rng.normal(size=(4000, 3)) * [1, 2, 0.5] + 1

@@ -10,7 +10,8 @@ and offset are calibrated on a bounded sample of training rows.
 
 Null and empty texts have the statistics of a text of no words and are scored like any
 other. Labels that are null count as none; of several labels of a document the highest
-counts. Repeated rows get one result each. If a class has no training row, every score is
+counts. Repeated rows get one result each; of rows that share an id the fit takes the one
+whose statistics are smallest, component by component in order. If a class has no training row, every score is
 the share of label 1 among training rows (0.5 without any).
 """
 
@@ -125,7 +126,9 @@ def difference(model: Model, x: np.ndarray) -> np.ndarray:
     """Of the log densities of class 1 and class 0."""
     density = []
     for k in range(2):
-        z = np.linalg.solve(model.factors[k], (x - model.means[k]).T)
+        z = (x - model.means[k]).T
+        for i, row in enumerate(model.factors[k]):  # forward substitution, in place
+            z[i] = (z[i] - row[:i] @ z[:i]) / row[i]
         density.append(-0.5 * (z**2).sum(0) - 0.5 * model.log_dets[k])
     return density[1] - density[0]
 
@@ -206,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     x = saved(features(docs))  # a few hundred bytes a document; spares reading the texts again
-    train = x.where(~held_out).dropDuplicates(["doc_id"]).join(known, "doc_id")
+    train = x.where(~held_out).groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(fit(saved(train), **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
