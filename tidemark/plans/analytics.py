@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import anomaly, descriptive, marts, serving, trends
+from tidemark.operators import anomaly, descriptive, marts, quality, serving, trends
 from tidemark.plans.adapters import VIEWS, frame, rounded, with_views
 from tidemark.plans.scratch import folder
 from tidemark.streaming import reviews as streams
@@ -79,12 +81,23 @@ def price_volatility(spark: SparkSession, sf: str) -> DataFrame:
 _DAILY = f"m AS (SELECT CAST(review_date AS DATE) AS date, product_id, count(*) AS review_count, {rounded('avg(rating)')} AS avg_rating FROM reviews GROUP BY 1, 2)"
 
 
-@query(f"""{with_views('products', 'reviews')}, {_DAILY} SELECT CAST(sum(review_count) AS BIGINT) AS total_reviews, count(DISTINCT product_id) AS total_products, {rounded('sum(avg_rating * review_count) / sum(review_count)')} AS avg_rating,
-(SELECT count(DISTINCT brand) FROM products WHERE product_id IN (SELECT product_id FROM m)) AS total_brands, CAST(95.5 AS DOUBLE) AS avg_dq_score FROM m""")
+_SCORE = "SELECT 100.0 * (sum(n) - sum(greatest(n - 1, q))) / sum(n) AS s FROM (SELECT k, count(*) AS n, sum(CASE WHEN unfit THEN 1 ELSE 0 END) AS q FROM {flags} GROUP BY 1)"
+
+
+@query(f"""{with_views('products', 'reviews', 'prices', 'raw_prices')}, {_DAILY},
+d1 AS (SELECT review_id AS k, product_id IS NULL OR coalesce(rating NOT BETWEEN 2 AND 5, false) AS unfit FROM reviews), d2 AS (SELECT price_id AS k, product_id IS NULL OR coalesce(price NOT BETWEEN 5000 AND 50000, false) AS unfit FROM prices),
+d3 AS (SELECT price_id AS k, coalesce(trim(brand), '') = '' OR coalesce(trim(category), '') = '' AS unfit FROM raw_prices)
+SELECT CAST(sum(review_count) AS BIGINT) AS total_reviews, count(DISTINCT product_id) AS total_products, {rounded('sum(avg_rating * review_count) / sum(review_count)')} AS avg_rating,
+(SELECT count(DISTINCT brand) FROM products WHERE product_id IN (SELECT product_id FROM m)) AS total_brands,
+(SELECT {rounded('avg(s)')} FROM (SELECT {rounded('s')} AS s FROM ({" UNION ALL ".join(_SCORE.format(flags=d) for d in ("d1", "d2", "d3"))}))) AS avg_dq_score FROM m""")
 def kpi_summary(spark: SparkSession, sf: str) -> DataFrame:
     products, reviews = both(spark, sf)
-    scores = spark.range(2).select((F.lit(95.0) + F.col("id")).alias("dq_score"))
-    return descriptive.kpi_summary(marts.product_daily_stats(reviews), marts.brand_daily_stats(reviews, products), scores)
+    scores = [
+        quality.evaluate(reviews, "reviews", "review_id", ["review_id", "product_id"], {}, {"rating": (2, 5)}),
+        quality.evaluate(frame(spark, sf, "prices"), "prices", "price_id", ["price_id", "product_id"], {}, {"price": (5000, 50000)}),
+        quality.evaluate(frame(spark, sf, "raw_prices"), "raw_prices", "price_id", ["price_id", "brand", "category"], {}, {}),
+    ]
+    return descriptive.kpi_summary(marts.product_daily_stats(reviews), marts.brand_daily_stats(reviews, products), reduce(DataFrame.unionByName, scores))
 
 
 @query(f"{with_views('runs')} SELECT pipeline, source, run, strftime(ended_at, '%Y-%m-%d') AS ended_at FROM runs r WHERE ended_at = (SELECT max(ended_at) FROM runs s WHERE s.pipeline = r.pipeline)")
