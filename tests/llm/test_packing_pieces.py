@@ -5,6 +5,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import packing, pieces
@@ -57,6 +58,35 @@ def test_loss_limit(spark, docs):
     assert max(loss.values()) <= 128 and all(loss[r.sequence_id] == r.loss_tokens for r in got)
 
 
+@pytest.mark.parametrize("powers", [True, False])
+def test_turns_under_three_limits(spark, sf, powers):
+    """Turns of conversations, of which the assistant's bear loss: each limit is the one that closes some sequences, none is passed, every token is placed once."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("row_number() OVER (ORDER BY conv_id, turn, role, text) AS doc_id", "text", "role = 'assistant' AS bears").cache()
+    limits = {"max_tokens": 160, "max_segments": 3, "max_loss_tokens": 60}
+    got = packing.pack(turns, WORDS, loss_column="bears", powers=powers, **limits).collect()
+    bears = {r.doc_id: bool(r.bears) for r in turns.collect()}
+    parts, sums = defaultdict(list), defaultdict(lambda: np.zeros(3, int))
+    for r in got:
+        parts[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        sums[r.sequence_id] += (r.length, 1, r.length * bears[r.doc_id])
+    for pieces in parts.values():
+        at = 0
+        for start, length, _ in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == pieces[0][2]
+    assert set(parts) == set(bears)
+    used = np.array(list(sums.values())) / list(limits.values())
+    assert used.max() <= 1 and (used.max(0) > 0.95).all()
+    totals = [int(v[0]) for v in sums.values()]
+    if powers:  # nothing is padded
+        assert all(n == limits["max_tokens"] or n & (n - 1) == 0 for n in totals)
+    else:  # nearly as few sequences as the tightest limit allows
+        least = np.array(list(sums.values())).sum(0) / list(limits.values())
+        assert len(sums) <= 1.15 * least.max() + 1
+    turns.unpersist()
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 

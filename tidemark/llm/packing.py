@@ -115,9 +115,9 @@ def tokenizer(path: str) -> WordTokenizer:
 class Packer:
     """Collects pieces (example, start, length, bears loss) and gives out closed sequences."""
 
-    def __init__(self, max_tokens: int, max_segments: int, max_loss_tokens: int):
+    def __init__(self, max_tokens: int, max_segments: int, max_loss_tokens: int, powers: bool = True):
         self.limits = np.array([max_tokens, max_segments, max_loss_tokens], float)
-        self.size, self.max_segments, self.max_loss = max_tokens, max_segments, max_loss_tokens
+        self.size, self.max_segments, self.max_loss, self.powers = max_tokens, max_segments, max_loss_tokens, powers
         self.pool: list[tuple[int, int, int, bool]] = []
         self.held = 0  # tokens in the pool
 
@@ -165,7 +165,7 @@ class Packer:
                 pool[i] = (example, start + room, n - room, bears)
                 demand[i] = (n - room, 1, (n - room) * bears)
             used = self.size - int(left[0])
-            if used == self.size or used & (used - 1) == 0:
+            if not self.powers or used == self.size or used & (used - 1) == 0:
                 yield chosen
             else:
                 yield from self._powers(chosen, used)
@@ -193,12 +193,14 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segments: int = 512, max_loss_tokens: int = 4096, end_id: int = 2, loss_column: str | None = None, id_column: str = "doc_id"
+    docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, max_segments: int = 512, max_loss_tokens: int = 4096, end_id: int = 2, loss_column: str | None = None, id_column: str = "doc_id", powers: bool = True
 ) -> DataFrame:
     """Sequences of at most max_tokens, max_segments and max_loss_tokens; one row per piece.
 
     loss_column names a boolean column (null: false) that says whether an example's tokens
-    bear loss, as an assistant's turns do; without it all do.
+    bear loss, as an assistant's turns do; without it all do. powers: a sequence that other
+    limits close before it is full is cut into powers of two, which need no padding; without
+    it such a sequence stays whole, so there are fewer, and the trainer pads them.
     """
 
     @thrifty
@@ -206,7 +208,7 @@ def pack(
         from pyspark import TaskContext
 
         own = tokenizer(tokenizer_path)
-        packer = Packer(max_tokens, max_segments, max_loss_tokens)
+        packer = Packer(max_tokens, max_segments, max_loss_tokens, powers)
         end = np.asarray([end_id], "<u4").tobytes()
         held: dict[int, tuple[int | None, bytes]] = {}
         owed: dict[int, int] = {}
