@@ -35,6 +35,20 @@ def test_greedy_is_not_two_passes(spark):
     assert sorted(r.o for r in snapshots.greedy_distinct(rows, "i", "h", F.col("o")).collect()) == [1, 3]
 
 
+def test_greedy_writes_undecided_rows_only(spark, tmp_path):
+    """Rows alike in everything count once, null digests are alike, and a round carries on only what isn't decided."""
+    rows = [(1, "a", "x"), (1, "a", "x"), (2, "b", None), (3, "c", None), (4, "a", "y"), (5, "d", "y"), (6, "e", "z")]
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        got = snapshots.greedy_distinct(spark.createDataFrame(rows, "o int, i string, h string").repartition(3), "i", "h", F.col("o"))
+        assert sorted(r.o for r in got.collect()) == [1, 2, 5, 6]
+    finally:
+        spark.sparkContext._jsc.sc().setCheckpointDir(before.removeprefix("file:"))
+    written = [spark.read.parquet(str(at)).count() for at in sorted(tmp_path.rglob("_round=*"))]
+    assert written == [5, 1]  # four rows are kept at once, "d" waits for "a"
+
+
 def test_compared_and_fingerprints(spark):
     a = spark.createDataFrame([(1, "x", None), (2, "y", 1), (3, "z", 1)], "k int, s string, n int")
     b = spark.createDataFrame([(1, "x", None), (2, "y", 2), (4, "w", 1)], "k int, s string, n int")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import values as V
 
@@ -86,27 +89,33 @@ def retained(snapshots: DataFrame, days: int = KEEP_DAYS, weeks: int = KEEP_WEEK
 def greedy_distinct(df: DataFrame, ident: str, digest: str, *order: Column) -> DataFrame:
     """Goes through rows by order and keeps one unless its id or its digest stands in a kept row; a blank id never does.
 
-    order must tell all rows apart. Each round decides the rows that come first both among
-    the undecided rows of their id and of their digest, and drops those that share either
-    with a kept row; rounds follow the longest chain of such conflicts, and each decides the
-    first undecided row at least, so they come to an end.
-    Between rounds the state is written to the checkpoint folder.
+    order, then the other columns, tell rows apart; of rows alike in all of them one is kept.
+    Each round decides the rows that come first both among the undecided rows of their id and
+    of their digest, and drops those that share either with a kept row; rounds follow the
+    longest chain of such conflicts, and each decides the first undecided row at least, so they
+    come to an end. A round shuffles the undecided rows only, by id and by digest, and writes
+    what it kept and what is still undecided to the checkpoint folder, once each.
     """
     spark = df.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
         raise ValueError("set a checkpoint folder that all executors share")
+    at = f"{at.rstrip('/')}/greedy-{uuid.uuid4().hex}"
     columns = df.columns
-    key = F.when(V.blank(F.col(ident)), F.concat(F.lit("~"), F.col("_n").cast("string"))).otherwise(F.concat(F.lit("="), F.col(ident).cast("string")))
-    numbered = df.withColumn("_o", F.struct(*order)).withColumn("_n", F.xxhash64("_o", *columns))
-    state = numbered.select("*", key.alias("_id"), F.col(digest).cast("string").alias("_h"), F.lit(None).cast("boolean").alias("_kept")).checkpoint()
+    line = [*order, *[c for c in columns if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]]
+    by_id, by_hash = Window.partitionBy("_id").orderBy(*line), Window.partitionBy(F.col(digest).cast("string")).orderBy(*line)
+    blank = F.col("_id").startswith("~")  # spread by a digest that decides nothing
+    key = F.when(V.blank(F.col(ident)), F.concat(F.lit("~"), F.xxhash64(*columns).cast("string"))).otherwise(F.concat(F.lit("="), F.col(ident).cast("string")))
+    undecided = df.withColumn("_id", key)
+    schema, n = undecided.withColumn("_kept", F.lit(0)).schema, 0
     while True:
-        by_id, by_hash = Window.partitionBy("_id"), Window.partitionBy("_h")
-        open_ = F.col("_kept").isNull()
-        first = F.min(F.when(open_, F.col("_o")))
-        x = state.withColumns({"_i": first.over(by_id), "_j": first.over(by_hash)})
-        x = x.withColumn("_kept", F.when(open_ & (F.col("_o") == F.col("_i")) & (F.col("_o") == F.col("_j")), True).otherwise(F.col("_kept")))
-        taken = F.max(F.coalesce("_kept", F.lit(False)))
-        x = x.withColumns({"_i": taken.over(by_id), "_j": taken.over(by_hash)})
-        state = x.withColumn("_kept", F.when(F.col("_kept").isNull() & (F.col("_i") | F.col("_j")), False).otherwise(F.col("_kept"))).drop("_i", "_j").checkpoint()
-        if state.where("_kept IS NULL").isEmpty():
-            return state.where("_kept").select(*columns)
+        x = undecided.withColumn("_first", blank | (F.rank().over(by_id) == 1))
+        x = x.withColumn("_kept", ((F.row_number().over(by_hash) == 1) & F.col("_first")).cast("int")).drop("_first")
+        x = x.withColumn("_taken", F.first("_kept").over(by_hash))  # a digest's kept row is its first
+        x.where("_kept = 1 OR _taken = 0").drop("_taken").write.partitionBy("_kept").parquet(f"{at}/_round={n}")
+        made = spark.read.schema(schema).parquet(f"{at}/_round={n}")
+        met = made.where("_kept = 1").where(~blank).select("_id")
+        undecided = made.where("_kept = 0").drop("_kept").join(met, "_id", "left_anti").select(*columns, "_id")
+        if undecided.isEmpty():
+            return spark.read.schema(f"{schema.toDDL()}, _round int").parquet(at).where("_kept = 1").select(*columns)
+        n += 1

@@ -129,7 +129,7 @@ def identity_collisions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     folder(spark)
-    rows = frame(spark, sf, "prices").withColumn("digest", F.md5(F.concat_ws("|", "product_id", F.date_format("timestamp", "yyyy-MM"))))
+    rows = frame(spark, sf, "prices").select("price_id", "product_id", "price", "timestamp").withColumn("digest", F.unhex(F.md5(F.concat_ws("|", "product_id", F.date_format("timestamp", "yyyy-MM")))))
     return snapshots.greedy_distinct(rows, "price_id", "digest", F.col("timestamp").cast("long"), F.col("price_id"), F.col("price"), F.col("product_id")).select("price_id", "product_id", "price")
 
 
