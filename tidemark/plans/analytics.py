@@ -250,7 +250,9 @@ def anomaly_counts(spark: SparkSession, sf: str) -> DataFrame:
     return descriptive.anomaly_counts(spark.read.parquet(f"{sf}/events.parquet").selectExpr(kinds))
 
 
-@query(f"{with_views('reviews')}, d AS (SELECT CAST(review_date AS DATE) AS date, count(DISTINCT product_id) AS product_count FROM reviews GROUP BY 1) SELECT strftime(date, '%Y-%m-%d') AS date, product_count FROM d WHERE date = (SELECT max(date) FROM d)")
+# as the category mart counts: products of the catalog with a review that has an id and a rating from 1 to 5
+@query(f"""{with_views('reviews', 'products')}, m AS (SELECT CAST(review_date AS DATE) AS date, category, count(DISTINCT product_id) AS product_count FROM reviews JOIN products USING (product_id) WHERE trim(review_id) <> '' AND rating BETWEEN 1 AND 5 GROUP BY 1, 2)
+SELECT strftime(date, '%Y-%m-%d') AS date, CAST(sum(product_count) AS BIGINT) AS product_count FROM m WHERE date = (SELECT max(date) FROM m) GROUP BY 1""")
 def latest_total(spark: SparkSession, sf: str) -> DataFrame:
     products, reviews = both(spark, sf)
     return descriptive.latest_total(marts.category_daily_stats(reviews, products)).withColumn("date", text("date"))
