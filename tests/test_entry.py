@@ -21,3 +21,11 @@ def test_flagship(spark):
 
     df = e.entry(spark)
     assert {"date", "product_id", "avg_rating", "price_source"} <= set(df.columns) and not df.isEmpty()
+
+
+def test_methods_that_hotspot_does_not_compile_are_split(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    entry.queries()["star_distribution"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"

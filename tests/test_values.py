@@ -81,3 +81,11 @@ def test_schema_rules(spark):
     df = spark.createDataFrame([("1", "5", "USD", "x"), ("", "-1", "EUR", "y"), (None, "abc", None, None)], "id string, price string, unit string, kind string")
     got = [r.f for r in df.select(R.failed(R.schema_rules(schema)).alias("f")).collect()]
     assert got == [[], ["length(id)", "limits(price)", "enum(unit)", "enum(kind)"], ["required(id)", "type(price)", "limits(price)"]]
+
+
+def test_number_reads_what_a_cast_reads(spark):
+    """The shape that is asked for before the cast leaves out no text that a cast reads."""
+    texts = ["1", " 2", "3\t", "\n4", "-5.", "+.5", "6e3", "7E-2", "8d", "9.5F", "0x1p3", "-0X1.8P1", "NaN", "nan", "-Infinity", "inf", "+INF", "", " ", "1-2", "1,5", "1e", "e1", "..", "1 2", "2026-10-01", "12:30", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").try_cast("double").cast("string").alias("want"), V.number(F.col("t")).cast("string").alias("got"))
+    assert [r.got for r in df.collect()] == [r.want for r in df.collect()]
+    assert one(spark, ["31/02/2026", "01/10/2026\n", "2026/10/01T05:06:07Z"], lambda c: F.date_format(V.instant(c), "yyyy-MM-dd HH:mm:ss")) == [None, None, "2026-10-01 05:06:07"]
