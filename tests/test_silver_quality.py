@@ -87,3 +87,17 @@ def test_gate_fails_closed(changes):
 def test_gate_passes():
     assert quality.gate([report()], ["reviews"], "r") == []
     assert quality.gate([]) and quality.gate([report()], ["prices"])
+
+
+def test_reasons_and_codes_are_worked_out_once(spark):
+    """A filter on the reason, or one that an explode implies, isn't copied to the scan with all that it is made of."""
+    from tidemark.streaming import reviews as streams
+
+    rows = silver.standardise(spark.range(3).selectExpr("CAST(id AS STRING) AS review_id", "'p' AS product_id", "'x' AS rating", "'t' AS review_text", "CAST(id AS STRING) AS review_date"), "reviews")
+    messages = spark.range(3).selectExpr("""'{"rating": "' || id || '"}' AS value""")
+    good, bad = silver.split(rows, "reviews")
+    fit, unfit = streams.split(streams.parsed(messages))
+    for df in (good, bad, fit, unfit, silver.error_histogram(rows)):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert max([len(line) for line in text.split("\n") if "Filter " in line], default=0) < 200
+    assert (good.count(), bad.count(), fit.count(), unfit.count()) == (0, 3, 0, 3)

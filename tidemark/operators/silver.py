@@ -106,7 +106,7 @@ def judged(df: DataFrame, dataset: str) -> DataFrame:
     """Standardised rows with quarantine_reason: the first reason that holds, or null."""
     spec = DATASETS[dataset]
     raw = F.trim(f"{spec.value}_raw")
-    number = raw.try_cast("double") if spec.value == "rating" else V.amount(raw)
+    number = V.number(raw) if spec.value == "rating" else V.amount(raw)
     readable = V.finite(number)
     holds = {
         f"INVALID_TYPE_{spec.value.upper()}": ~V.blank(raw) & ~readable,
@@ -117,7 +117,7 @@ def judged(df: DataFrame, dataset: str) -> DataFrame:
     reason = F.when(F.coalesce(holds[spec.reasons[0]], F.lit(False)), F.lit(spec.reasons[0]))
     for name in spec.reasons[1:]:
         reason = reason.when(F.coalesce(holds[name], F.lit(False)), F.lit(name))
-    return df.withColumn("quarantine_reason", reason.when(F.col("normalization_status") == "invalid", F.lit("NORMALIZATION_ERROR")))
+    return df.withColumn("quarantine_reason", V.once(reason.when(F.col("normalization_status") == "invalid", F.lit("NORMALIZATION_ERROR"))))
 
 
 def split(df: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
@@ -189,7 +189,8 @@ def null_counts(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def error_histogram(df: DataFrame) -> DataFrame:
-    return df.select(F.explode("normalization_errors").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    codes = df.select(F.explode_outer("normalization_errors").alias("code")).where("code IS NOT NULL")  # plain explode would work out the codes once more, to filter rows without any
+    return codes.groupBy("code").agg(F.count("*").alias("n"))
 
 
 def reason_histogram(quarantined: DataFrame) -> DataFrame:
