@@ -65,7 +65,7 @@ def parsed(raw: DataFrame) -> DataFrame:
 
 def judged(events: DataFrame) -> DataFrame:
     """Typed rating and event_time, and reason: the first that holds, or null."""
-    number = F.trim("rating").try_cast("double")
+    number = V.number(F.trim("rating"))
     clock = F.coalesce(F.when(~V.blank(F.col("review_date")), F.col("review_date")), F.col("event_time_raw"))
     at = V.instant(clock)
     group, method = F.coalesce("source_group", F.lit("unverified")), F.col("acquisition_method")
@@ -82,7 +82,8 @@ def judged(events: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for name in reversed(REASONS):
         reason = F.when(F.coalesce(holds[name], F.lit(False)), F.lit(name)).otherwise(reason)
-    return events.withColumns({"reason": reason, "event_time": at, "source_group": group, "rating_raw": F.col("rating"), "rating": F.when(number.between(1, 5), number)})
+    events = events.withColumn("reason", V.once(reason))
+    return events.withColumns({"event_time": at, "source_group": group, "rating_raw": F.col("rating"), "rating": F.when(number.between(1, 5), number)})
 
 
 def split(events: DataFrame) -> tuple[DataFrame, DataFrame]:
