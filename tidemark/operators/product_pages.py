@@ -91,7 +91,8 @@ def _walked(roots: str, depth: int) -> str:
     below = f"filter(transform({inside}, (c, i) -> named_struct('path', concat(n.path, array(i)), 'v', c)), c -> {_fields('c.v')} IS NOT NULL OR {_items('c.v')} IS NOT NULL)"
     step = f"CAST(named_struct('seen', concat(a.seen, a.now), 'now', flatten(transform(a.now, n -> {below}))) AS {_WALK})"
     start = f"CAST(named_struct('seen', array(), 'now', coalesce({roots}, array())) AS {_WALK})"
-    return f"aggregate(sequence(1, {depth + 1}), {start}, (a, k) -> {step}, a -> a.seen)"
+    # levels below the last one that holds anything copy nothing
+    return f"aggregate(sequence(1, {depth + 1}), {start}, (a, k) -> CASE WHEN size(a.now) = 0 THEN a ELSE {step} END, a -> a.seen)"
 
 
 def _types(v: str) -> str:
