@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def test_outliers_don_t_depend_on_the_ranges(spark):
     assert whole == cut and whole
 
 
+def test_outliers_read_and_sort_the_prices_once(spark, tmp_path):
+    rows = [(f"p{i % (9 if i < 600 else 1)}", float(1 + i * 7919 % 97), i) for i in range(900)]  # p0 has 367 rows, the others 66 or 67
+    df = spark.createDataFrame(rows, "product_id string, price double, t int").withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    df.union(df.limit(1).withColumns({"product_id": F.lit(None).cast("string"), "price": F.lit(1e6)})).write.parquet(str(tmp_path / "p"))
+    whole, mixed, cut = (anomaly.price_iqr_outliers(spark.read.parquet(str(tmp_path / "p")), factor=0.4, big=big, ranges=5) for big in (50_000, 100, 10))
+    found = {tuple(r) for r in whole.collect()}
+    assert found and {r[1] for r in found} >= {"p0", "p1"} and {tuple(r) for r in mixed.collect()} == found == {tuple(r) for r in cut.collect()}
+    plan = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # once to see that no product is hot, once for the result, where each product is sorted once
+    assert plan.count("FileScan parquet") <= 2 and len(re.findall(r"\bSort \[", plan)) <= 1, plan
+
+
 def test_duplicates_without_a_key_or_order(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), (None, 1), (None, 1), ("b", 1)], "k string, v int")
     got = sorted(((r.k, r.v, r.is_duplicate) for r in quality.flag_duplicates(df, "k").collect()), key=repr)

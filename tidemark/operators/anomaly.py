@@ -6,6 +6,8 @@ Later rows never change earlier rating or volume incidents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,42 +65,68 @@ def price_zscores(prices: DataFrame, threshold: float = Z_THRESHOLD, min_points:
 def price_iqr_outliers(prices: DataFrame, factor: float = IQR_FACTOR, min_points: int = MIN_POINTS, big: int = ranks_.BIG, ranges: int = ranks_.RANGES) -> DataFrame:
     """Prices outside the quartiles of the product's other prices by factor times their distance; flat others give none.
 
-    Works on a product's distinct prices with their counts (combined map-side); the prices of
-    a product that has very many are sorted in ranges, by several tasks. Linear
-    interpolation as usual.
+    Linear interpolation as usual. A product's rows meet in one shuffle and are sorted once;
+    a product of more than big rows is worked out from its distinct prices with their counts
+    (combined map-side), which are sorted in ranges, by several tasks. Both ways give each
+    row the order statistics that its quartiles are made of.
     """
-    rows = _points(prices)
-    counted = rows.groupBy("product_id", "price").agg(F.count("*").alias("c"))
-    placed = ranks_.placed(counted.where("product_id IS NOT NULL").withColumnRenamed("price", "value"), ["product_id"], big, ranges).withColumnRenamed("value", "price")
-    total = placed.groupBy("product_id").agg(F.sum("c").alias("n")).where(F.col("n") >= min_points)
-
-    # order statistics of the others at the fractional ranks of 1/4, 1/2 and 3/4: leaving out the price at sorted
-    # position p moves rank k to k (k < p) or k + 1, so six ranks a product, each in two versions, are all there is
-    ranks = total.select("product_id", "n", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), ((F.col("n") - 2) * q).alias("h")) for q in (0.25, 0.5, 0.75)])).alias("r"))
-    ranks = ranks.select("product_id", "n", F.col("r.q").alias("q"), F.floor("r.h").alias("k"), (F.col("r.h") - F.floor("r.h")).alias("f"))
-    wanted = ranks.select("product_id", F.explode(F.array("k", F.col("k") + 1, F.col("k") + 2)).alias("at")).distinct()
-    spans = placed.select("product_id", "price", (F.col("upto") - F.col("c")).alias("from"), "upto")
-    stats = wanted.join(spans, "product_id").where("at >= from AND at < upto").groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "price"))).alias("at_rank"))
-    lows = ranks.groupBy("product_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("q", F.struct("k", "f")))).alias("of"))
-
-    x = spans.join(lows, "product_id").join(stats, "product_id")
-    position = F.col("upto") - 1  # equal prices are alike: leaving out the last of them is leaving out any
-
-    def quantile(q: float) -> Column:
-        k, f = F.element_at("of", F.lit(q))["k"], F.element_at("of", F.lit(q))["f"]
-        one = F.element_at("at_rank", F.when(k < position, k).otherwise(k + 1))
-        two = F.element_at("at_rank", F.when(k + 1 < position, k + 1).otherwise(k + 2))
-        return F.when(f == 0, one).otherwise(one + f * (two - one))
-
-    scored = x.select("product_id", "price", quantile(0.25).alias("q1"), quantile(0.5).alias("median"), quantile(0.75).alias("q3"), (F.col("n") - 1).alias("baseline_points"))
+    rows = _points(prices).where("product_id IS NOT NULL")
+    large = rows.groupBy("product_id").agg(F.count("*").alias("n")).where(F.col("n") > big).select("product_id")
+    usual = _usual_quartiles(rows.join(F.broadcast(large), "product_id", "left_anti"), min_points)  # one row for more than big rows at most
+    hot = rows.join(F.broadcast(large), "product_id", "left_semi")
+    scored = usual.unionByName(hot.join(_ranged_quartiles(hot, min_points, big, ranges), ["product_id", "price"]))
     gap = F.col("q3") - F.col("q1")
     out = scored.where(gap > 0).where((F.col("price") < F.col("q1") - factor * gap) | (F.col("price") > F.col("q3") + factor * gap))
-    return rows.join(out, ["product_id", "price"]).select(
+    return out.select(
         event_id("PRICE_IQR", F.col("product_id"), F.col("timestamp"), F.col("price")).alias("event_id"),
         "product_id", "timestamp", "price", V.half_up(F.abs(F.col("price") - F.col("median")) / gap).alias("score"), V.half_up(F.col("q1")).alias("q1"), V.half_up(F.col("q3")).alias("q3"), "baseline_points",
     )
 
 
+#: Names and shares of the quartiles.
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def _rank(q: float) -> tuple[Column, Column]:
+    """The whole and the fractional part of the rank of q among the n - 1 others."""
+    h = (F.col("n") - 2) * F.lit(q)
+    return F.floor(h), h - F.floor(h)
+
+
+def _left_out(q: float, at_rank: Callable[[str, int], Column], position: Column, name: str) -> Column:
+    """Leaving out the price at sorted position p moves rank k to k (k < p) or k + 1, so three ranks a quartile are all there is.
+
+    Equal prices are alike: leaving out any of them is leaving out the one at hand.
+    """
+    k, f = _rank(q)
+    one = F.when(k < position, at_rank(name, 0)).otherwise(at_rank(name, 1))
+    two = F.when(k + 1 < position, at_rank(name, 1)).otherwise(at_rank(name, 2))
+    return F.when(f == 0, one).otherwise(one + f * (two - one))
+
+
+def _usual_quartiles(rows: DataFrame, min_points: int) -> DataFrame:
+    """rows with q1, median, q3 of the product's others and their number; each product is sorted by one task."""
+    whole = Window.partitionBy("product_id")
+    x = rows.withColumn("position", F.row_number().over(whole.orderBy("price")).cast("long") - 1).withColumn("n", F.count("*").over(whole)).where(F.col("n") >= min_points)
+    wanted = {f"_{name}_{i}": F.max(F.when(F.col("position") == _rank(q)[0] + i, F.col("price"))).over(whole) for name, q in _QUARTILES.items() for i in range(3)}
+    x = x.withColumns(wanted)
+    quartiles = [_left_out(q, lambda name, i: F.col(f"_{name}_{i}"), F.col("position"), name).alias(name) for name, q in _QUARTILES.items()]
+    return x.select("product_id", "price", "timestamp", *quartiles, (F.col("n") - 1).alias("baseline_points"))
+
+
+def _ranged_quartiles(rows: DataFrame, min_points: int, big: int, ranges: int) -> DataFrame:
+    """product_id, price with q1, median, q3 of the product's others and their number, by distinct price; no task sorts a product."""
+    counted = rows.groupBy("product_id", "price").agg(F.count("*").alias("c"))
+    placed = ranks_.placed(counted.withColumnRenamed("price", "value"), ["product_id"], big, ranges).withColumnRenamed("value", "price")
+    total = placed.groupBy("product_id").agg(F.sum("c").alias("n")).where(F.col("n") >= min_points)
+    asked = F.array(*[F.struct(F.lit(f"{name}_{i}").alias("name"), (_rank(q)[0] + i).alias("at")) for name, q in _QUARTILES.items() for i in range(3)])
+    wanted = total.select("product_id", "n", F.explode(asked).alias("r")).select("product_id", "n", "r.name", "r.at")
+    spans = placed.select("product_id", "price", (F.col("upto") - F.col("c")).alias("from"), "upto")
+    stats = wanted.join(spans, "product_id").where("at >= from AND at < upto").groupBy("product_id", "n").agg(F.map_from_entries(F.collect_list(F.struct("name", "price"))).alias("at_rank"))  # nine entries a product
+    quartiles = [_left_out(q, lambda name, i: F.element_at("at_rank", F.lit(f"{name}_{i}")), F.col("upto") - 1, name).alias(name) for name, q in _QUARTILES.items()]
+    return spans.join(stats, "product_id").select("product_id", "price", *quartiles, (F.col("n") - 1).alias("baseline_points"))
+
+
 def rating_drops(reviews: DataFrame, drop: float = DROP, window_days: int = DROP_WINDOW_DAYS, min_reviews: int = DROP_MIN_REVIEWS, min_days: int = DROP_MIN_DAYS) -> DataFrame:
     """Days on which a product's mean rating falls by drop below the review-weighted mean of the days before, within window_days."""
     daily = marts.review_observations(reviews).groupBy("product_id", "date").agg(F.sum("rating").alias("s"), F.count("*").alias("n"))
