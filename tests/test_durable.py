@@ -143,6 +143,29 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
         published.read(spark, at, 0)
 
 
+def test_a_merge_writes_its_own_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "SMALL", 0)
+    monkeypatch.setattr(keyed, "RUNS", 4)
+    at, bucket = str(tmp_path / "t"), F.concat(F.lit("b"), F.col("k") % 2)
+    df = lambda n: spark.range(10).select((F.col("id") + 5 * n).alias("k"), ((F.col("id") * 7 + n) % 4).alias("at"), F.lit(n).alias("v"))
+    want: dict = {}
+    for n in range(6):
+        for k, t, v in df(n).collect():
+            if k not in want or t >= want[k][0]:
+                want[k] = (t, v)
+        keyed.merge(df(n), at, ["k"], "at", bucket=bucket, batch_id=n)
+        assert rows(keyed.read(spark, at)) == sorted(((k, *x) for k, x in want.items()), key=repr)
+        commit = published.history(spark, at, 1)[0]
+        if n < 4:  # a run each, and nothing of the older ones again
+            assert len(published.folders(commit)) == 2 * (n + 1) and spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/data").count() == 10 * (n + 1)
+        elif n == 4:
+            assert len(published.folders(commit)) == 2
+    assert published.read(spark, at, 1).count() == 15
+    keyed.merge(df(0).where("k = 0").withColumns({"at": F.lit(-1).cast("long"), "v": F.lit(9)}), at, ["k"], bucket=bucket)  # by another rule: the incoming row always
+    assert rows(keyed.read(spark, at)) == sorted(((k, *x) for k, x in (want | {0: (-1, 9)}).items()), key=repr)
+    assert published.vacuum(spark, at, keep=1) > 0 and keyed.read(spark, at).count() == len(want)
+
+
 def test_two_writers(spark, tmp_path, monkeypatch):
     at = str(tmp_path / "t")
     keyed.merge(spark.range(3), at, ["id"])

@@ -1,10 +1,12 @@
 """Keyed tables: one row a key over any number of batches, rewritten only where a batch touches them.
 
 Rows lie in buckets, by default a hash of their key; a commit (as of published tables) lists
-each bucket's folder. A merge reads the buckets that its rows fall into, keeps each key's
-newest row, writes those buckets anew and commits the changed list, so its work grows with
-the batch and the buckets that it touches, not with the table. A batch number that has been
-committed changes nothing when it comes again.
+each bucket's folders: runs, oldest first, in each of which a key stands once. A merge adds a
+run of its own rows to the buckets that they fall into and commits the changed list; a small
+bucket, or one of too many runs, is written anew as one run that holds each key's newest row.
+So its work grows with the batch, not with the table, but for one merge in RUNS. Readers keep
+each key's newest row of a bucket's runs, so they see the same rows either way. A batch number
+that has been committed changes nothing when it comes again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.silver import latest
 from tidemark.sources import published
 
-BUCKETS = 64
+#: Buckets by default; bytes up to which a bucket is written anew by each merge that touches it; runs that a bucket has at most.
+BUCKETS, SMALL, RUNS = 64, 1 << 14, 8
 _BUCKET = "_bucket"
 
 
@@ -49,24 +52,40 @@ def merge(df: DataFrame, path: str, keys: list[str], *order: str, bucket: Column
     if commit["schema"] not in (None, simple):
         raise ValueError(f"schema differs from the published one: {simple}")
     by = bucket if bucket is not None else hashed(*keys)
+    rule = {"keys": keys, "order": list(order)}
     incoming, merged = (f"data/{uuid.uuid4().hex}" for _ in range(2))
     _written(latest(df, keys, *order).withColumn(_BUCKET, by), f"{path}/{incoming}")
     touched = _buckets(spark, f"{path}/{incoming}")
-    known = {b: commit["buckets"][b] for b in touched if b in commit["buckets"]}
+    now = {b: published.runs(r) for b, r in commit["buckets"].items()}
+    size = {b: n for b, n in commit.get("bytes", {}).items() if b in now}
+    anew = {b for b in touched if b in now and (size.get(b, 0) <= SMALL or len(now[b]) >= RUNS)}
+    if commit.get("rule") != rule:  # runs are read by one rule
+        anew |= {b for b in now if b in touched or len(now[b]) > 1}
+    if anew:  # the batch's new buckets go with them
+        anew |= touched.keys() - now.keys()
     version, spare = commit["version"], [incoming]
     try:
         if touched:
-            made = incoming
-            if known:
-                old = spark.read.schema(df.schema).parquet(*[f"{path}/{f}" for f in known.values()]).withColumn("_incoming", F.lit(0))
-                new = spark.read.schema(df.schema).parquet(*[f"{path}/{incoming}/{_BUCKET}={b}" for b in touched]).withColumn("_incoming", F.lit(1))
-                kept = latest(old.unionByName(new), keys, *order, "_incoming").drop("_incoming").select(*df.columns)
-                made = merged
-                spare.append(made)
-                _written(kept.withColumn(_BUCKET, by), f"{path}/{made}")
-            now = commit["buckets"] | {b: f"{made}/{_BUCKET}={b}" for b in touched}
-            version = published.write_commit(spark, path, {"version": version + 1, "operation": "merge", "operation_id": None, "batch_id": batch_id if batch_id is not None else done, "buckets": now, "touched": len(touched), "schema": simple})
-            spare.remove(made)
+            if anew:
+                old = lambda of: published.newest(spark, path, {b: now[b] for b in of if b in now}, commit.get("rule"), df.schema)
+                met, rest = sorted(anew & touched.keys()), sorted(anew - touched.keys())
+                kept = rest and old(rest)
+                if met:
+                    new = spark.read.schema(df.schema).parquet(*[f"{path}/{incoming}/{_BUCKET}={b}" for b in met]).withColumn("_incoming", F.lit(1))
+                    both = old(met).withColumn("_incoming", F.lit(0)).unionByName(new) if now.keys() & met else new
+                    both = latest(both, keys, *order, "_incoming").drop("_incoming").select(*df.columns)
+                    kept = kept.unionByName(both) if rest else both
+                spare.append(merged)
+                _written(kept.withColumn(_BUCKET, by), f"{path}/{merged}")
+                size |= _buckets(spark, f"{path}/{merged}")
+            for b in anew:
+                now[b] = [f"{merged}/{_BUCKET}={b}"]
+            for b in touched.keys() - anew:
+                now[b] = [*now.get(b, []), f"{incoming}/{_BUCKET}={b}"]
+                size[b] = size.get(b, 0) + touched[b]
+            listed = {b: r[0] if len(r) == 1 else r for b, r in now.items()}
+            version = published.write_commit(spark, path, {"version": version + 1, "operation": "merge", "operation_id": None, "batch_id": batch_id if batch_id is not None else done, "buckets": listed, "bytes": size, "rule": rule, "touched": len(touched), "schema": simple})
+            spare = [incoming] if anew >= touched.keys() else [f"{incoming}/{_BUCKET}={b}" for b in sorted(anew & touched.keys())]
     finally:
         for folder in spare:
             published.delete(spark, f"{path}/{folder}")
@@ -78,11 +97,11 @@ def _written(rows: DataFrame, at: str) -> None:
     rows.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(at)
 
 
-def _buckets(spark: SparkSession, at: str) -> list[str]:
-    """The buckets written there, by their folders' names."""
+def _buckets(spark: SparkSession, at: str) -> dict[str, int]:
+    """The buckets written there, by their folders' names, and their bytes."""
     fs, path = published._fs(spark, at)
-    names = (s.getPath().getName() for s in fs.listStatus(path))
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{_BUCKET}="))
+    found = ((s.getPath().getName(), s.getPath()) for s in fs.listStatus(path))
+    return {name.split("=", 1)[1]: fs.getContentSummary(p).getLength() for name, p in found if name.startswith(f"{_BUCKET}=")}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -15,8 +15,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.operators.silver import merged
+from tidemark.operators.silver import latest, merged
 from tidemark.operators.snapshots import fingerprint
 
 
@@ -72,10 +73,31 @@ def delete(spark: SparkSession, path: str) -> None:
 def folders(commit: dict) -> list[str]:
     """A commit's data folders, below the table's path."""
     if "buckets" in commit:
-        return sorted(commit["buckets"].values())
+        return sorted(f for r in commit["buckets"].values() for f in runs(r))
     return [commit["data"]] if isinstance(commit["data"], str) else commit["data"]
 
 
+def runs(listed: str | list[str]) -> list[str]:
+    """A bucket's folders, oldest first; a commit lists a single one by itself."""
+    return [listed] if isinstance(listed, str) else listed
+
+
+def newest(spark: SparkSession, path: str, buckets: dict[str, list[str]], rule: dict | None, schema: StructType | None = None) -> DataFrame:
+    """The rows of a keyed table's buckets: of a key in several runs the largest by the rule's order, of equal ones the later run's."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    some = lambda of: reader.parquet(*[f"{path}/{f}" for f in of])
+    single = [r[0] for r in buckets.values() if len(r) == 1]
+    several = [r for r in buckets.values() if len(r) > 1]
+    if not several:
+        return some(single)
+    both = None
+    for n in range(max(map(len, several))):  # as many as a bucket has runs at most
+        run = some([r[n] for r in several if len(r) > n]).withColumn("_run", F.lit(n))
+        both = run if both is None else both.unionByName(run)
+    out = latest(both, rule["keys"], *rule["order"], "_run").drop("_run")
+    return out.unionByName(some(single)) if single else out
+
+
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The newest version, or the one asked for."""
     commits = history(spark, path, 1 if version is None else None)
@@ -93,6 +115,8 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
         gone = [f for f in of if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"))]
         if gone:
             raise KeyError(f"version {version} of {path} was cleaned away")
+    if "buckets" in commit:
+        return newest(spark, path, {b: runs(r) for b, r in commit["buckets"].items()}, commit.get("rule"))
     if commit.get("partition_by"):  # each load is a partition of one tree, so that the others are found
         return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/{f}" for f in of]).select(*[F.col(n).cast(t) for n, t in commit["schema"]])
     return spark.read.parquet(*[f"{path}/{f}" for f in of])
