@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import snapshots
-from tidemark.sources import files, published
+from tidemark.sources import files, generations, published
 
 
 def greedy(rows):
@@ -59,6 +59,25 @@ def test_compared_and_fingerprints(spark):
     assert [(r.n_one, r.n_two) for r in snapshots.multiset_difference(a, twice).collect()] == [(1, 2)]
 
 
+def test_generations_are_told_apart_without_text(spark):
+    df = lambda *xs: spark.createDataFrame(xs, "a string, b string, c double, d array<int>, e timestamp")
+    digest = lambda x: snapshots.typed_fingerprint(x).first()[:]
+    one, two = ("a", None, 0.0, [1, None], None), ("b", "x", 1.5, [], None)
+    assert digest(df(one, two)) == digest(df(two, one).repartition(3)) and digest(df(one, two))[0] == 2
+    others = [
+        df(one, one), df(one), df(one, two, two), df((None, "a", *one[2:]), two), df(("a", "", *one[2:]), two), df((*one[:2], -0.0, *one[3:]), two),
+        df((*one[:3], [None, 1], None), two), df(("ab", "x", *one[2:]), ("a", "bx", *one[2:])), df(("ab", "bx", *one[2:]), ("a", "x", *one[2:])), df(one, two).where("a = 'none'"), df(one, two).withColumnRenamed("a", "z"),
+    ]
+    found = [digest(x) for x in [df(one, two), *others]]
+    assert len(set(found)) == len(found)
+    rows = spark.range(3).selectExpr("CAST(id AS STRING) AS a", "id / 3 AS b", "timestamp_seconds(id) AS c")
+    plan = snapshots.typed_fingerprint(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "concat_ws(|" not in plan
+    planned = generations.plan({"rows": rows}, {"x": 1})
+    assert generations.varied(planned, {"x": 2}) == generations.plan({"rows": rows}, {"x": 2}) != planned
+    assert planned["inputs"]["rows"] == dict(zip(("rows", "digest"), digest(rows), strict=True))
+
+
 def test_retained(spark):
     rows = spark.createDataFrame([(i, f"2026-01-{1 + i // 2:02d} {10 + i % 2}:00:00") for i in range(60)], "snapshot_id int, created_at string")
     kept = {r.snapshot_id for r in snapshots.retained(rows).where("keep").collect()}

@@ -62,6 +62,26 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.select(number.alias("n")).agg(F.count("*").alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("digest_sum"))
 
 
+def typed_fingerprint(df: DataFrame) -> DataFrame:
+    """As fingerprint, from two 64-bit hashes of a row's typed fields in name order: several times cheaper, as no number or time is made into text.
+
+    Meant to tell apart what differs by accident; it isn't a safeguard against rows that are
+    made to collide. Null, the empty text and 0.0 and -0.0 differ, as do values of different types.
+    """
+    cells = []
+    for c in sorted(df.columns):
+        kind, cell = df.schema[c].dataType, F.col(c)
+        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):  # the hash passes over nulls inside
+            cell = cell.cast("string")
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):  # the hash takes both zeros as one
+            cells.append(F.when(cell == 0, cell.cast("string")))
+        cells += [cell, cell.isNull()]
+    hashes = df.select(*[F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (0, 1)])
+    parts = [part for seed in (0, 1) for part in (F.shiftrightunsigned(f"h{seed}", 43), F.shiftright(f"h{seed}", 22).bitwiseAND(F.lit((1 << 21) - 1)), F.col(f"h{seed}").bitwiseAND(F.lit((1 << 22) - 1)))]
+    sums = [F.coalesce(F.sum(part), F.lit(0)).cast("string") for part in parts]  # of 22 bits at most, so exact for 10 ** 12 rows
+    return hashes.agg(F.count("*").alias("row_count"), F.concat_ws("-", *sums).alias("digest_sum"))
+
+
 def multiset_difference(one: DataFrame, two: DataFrame) -> DataFrame:
     """digest, n_one, n_two of the rows that don't stand equally often in both."""
     count = lambda df, name: df.select(row_digest(df).alias("digest")).groupBy("digest").agg(F.count("*").alias(name))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators.snapshots import compared, fingerprint
+from tidemark.operators.snapshots import compared, typed_fingerprint
 from tidemark.sources import published
 
 
@@ -21,13 +21,18 @@ class Refused(ValueError):
 
 
 def _print(df: DataFrame) -> dict:
-    r = fingerprint(df).first()
+    r = typed_fingerprint(df).first()
     return {"rows": r["row_count"], "digest": r["digest_sum"]}
 
 
 def plan(inputs: dict[str, DataFrame], settings: dict | None = None) -> dict:
     """The inputs' rows and digests, the settings, and the plan's own id."""
-    pinned = {"inputs": {name: _print(df) for name, df in sorted(inputs.items())}, "settings": settings or {}}
+    return varied({"inputs": {name: _print(df) for name, df in sorted(inputs.items())}}, settings)
+
+
+def varied(planned: dict, settings: dict | None = None) -> dict:
+    """A plan of the same pinned inputs and other settings; the inputs aren't read again."""
+    pinned = {"inputs": planned["inputs"], "settings": settings or {}}
     return pinned | {"id": hashlib.sha256(json.dumps(pinned, sort_keys=True).encode()).hexdigest()[:16]}
 
 
