@@ -103,3 +103,15 @@ def test_pieces(docs, rows):
 
 def test_empty(none):
     assert packing.pack(none, WORDS).isEmpty() and pieces.encode_decode(none, MODEL).isEmpty()
+
+
+def test_words_within_the_memories_are_encoded_once(monkeypatch):
+    own = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    learned, learn = [0], own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: (learned.__setitem__(0, learned[0] + len(words)), learn(words)))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"q{i}".translate(letters) for i in range(at, at + 1000)) for at in range(0, 200_000, 1000)]
+    for _ in range(2):
+        for text in texts:
+            own.encode_batch([text])
+    assert learned[0] == 200_000 and own.encode_batch(texts[:2]) == own._encode_library(texts[:2])

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_blocks, texts_of, thrifty
 
 #: Pieces that one pool of the heuristic sees, about, and words in each of a worker's two memories.
-POOL, CACHE_WORDS = 768, 80_000
+POOL, CACHE_WORDS = 768, 240_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
