@@ -115,3 +115,37 @@ def test_words_within_the_memories_are_encoded_once(monkeypatch):
         for text in texts:
             own.encode_batch([text])
     assert learned[0] == 200_000 and own.encode_batch(texts[:2]) == own._encode_library(texts[:2])
+
+
+def test_only_distinct_words_are_cut_into_pre_tokens(monkeypatch):
+    own = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+
+    class Cutter:
+        cut = 0
+
+        def findall(self, text, plain=own.words):
+            self.cut += len(text)
+            return plain.findall(text)
+
+    monkeypatch.setattr(own, "words", cutter := Cutter())
+    texts = ["Alpha, it's 3,000 \n\n(beta) gamma... " * 500, "", " \t", "gamma... alpha, Ünder"] * 3
+    assert [own.encode_batch(texts) for _ in range(2)] == [own._encode_library(texts)] * 2
+    assert 0 < cutter.cut < 200
+
+
+def test_every_character_of_the_fast_way_encodes_as_the_library_does():
+    own = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x250)) if own.plain.fullmatch(c)]
+    texts = [f"a{c}b {c} x{c} {c}'s {c}{c}1 -{c}" for c in letters]
+    assert own.fast and own.encode_batch(texts) == own._encode_library(texts)
+
+
+def test_full_memories_keep_frequent_words(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    own = packing.WordTokenizer(tokenizer_file("word_bpe_49k.json"))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for at in range(0, 400, 20):
+        texts = [" ".join(f"q{i}, the".translate(letters) for i in range(at, at + 20)), "the end."]
+        assert own.encode_batch(texts) == own._encode_library(texts)
+        assert "the" in own.known or "the" in own.older
+        assert max(len(own.known), len(own.older)) <= 50 + 2 * 43

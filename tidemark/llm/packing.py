@@ -18,14 +18,17 @@ Extra columns are ignored. A very long text gives as many pieces as it needs.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +37,26 @@ from tidemark.llm.common import text_blocks, texts_of, thrifty
 #: Pieces that one pool of the heuristic sees, about, and words in each of a worker's two memories.
 POOL, CACHE_WORDS = 768, 240_000
 
+#: Text bytes whose words are looked up together; characters that the library gets at once, and words.
+BLOCK, LIBRARY_CHARS, LEARN_WORDS = 4 << 20, 1 << 19, 20_000
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
 
 class WordTokenizer:
-    """A tokenizers file whose pre-tokens are remembered with their ids.
+    """A tokenizers file whose words, as white space separates them, are remembered with their ids.
 
-    When the memory is full it becomes the older one; words that come again move back from
-    there, so frequent words stay and rare ones go. The fast way holds for texts of Latin letters without combining marks; the library
-    encodes any other text itself.
+    A block's words are split, numbered and replaced by their ids in Arrow; Python sees each
+    distinct word of a block once, and cuts only new ones into pre-tokens. When the memory is
+    full it becomes the older one; words that come again move back from there, so frequent
+    words stay and rare ones go. The fast way holds for texts of Latin letters without
+    combining marks; the library encodes any other text itself.
     """
 
     #: Normalisation is the identity but for case and white space, and case is letter by letter.
     plain = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
-    #: The file's own pre-tokens within those characters.
-    words = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿā-ɏªµº]+|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿā-ɏªµº0-9²³¹¼½¾]+")
+    #: The file's own pre-tokens within those characters in lower case; some have theirs in the blocks behind.
+    words = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿā-ʯⱥⱦªµº]+|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿā-ʯⱥⱦªµº0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,15 +68,37 @@ class WordTokenizer:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        probe = "It's the WORLD'S 12 ÉÀ ß..--''  x\n\ty'll_a ¾ª×÷"
-        self.fast = bool(self.ends.any()) and self._encode_fast([probe]) == self._encode_library([probe])
+        self.fast = False
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model.get("type") == "BPE" and self.ends.any():
+            self.merger = self._merger(model)
+            probe = "It's the WORLD'S 12 ÉÀ ß..--''  x\n\ty'll_a ¾ª×÷"
+            self.fast = self._encode_fast([probe]) == self._encode_library([probe])
+
+    @staticmethod
+    def _merger(model: dict):
+        """The file's merges alone, for pre-tokens between spaces; without the library's memory, as words come once."""
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        options = {k: x for k, x in model.items() if k not in ("type", "vocab", "merges") and x is not None}
+        merges = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
+        out = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options))
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
 
     def _encode_library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        upto = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        while len(out) < len(texts):
+            at = len(out)
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LIBRARY_CHARS, side="right")))
+            out += [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes the words as one text of space-separated words, and cuts its ids where words end."""
-        ids = np.asarray(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        """Encodes the pre-tokens as one text of space-separated words, and cuts its ids where words end."""
+        ids = np.asarray(self.merger.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         upto = np.flatnonzero(self.ends[ids]) + 1
         if len(upto) != len(words):
             self.known.update(zip(words, self._encode_library(words), strict=True))
@@ -78,22 +108,41 @@ class WordTokenizer:
             self.known[word] = raw[at:to]
             at = to
 
+    def _lacking(self, words: list[str]) -> list[str]:
+        """Those that neither memory holds; the others are in the newer one then."""
+        found = list(map(self.older.get, words))
+        self.known.update((w, x) for w, x in zip(words, found, strict=True) if x is not None)
+        return [w for w, x in zip(words, found, strict=True) if x is None]
+
+    def _add(self, words: list[str]) -> None:
+        """Remembers distinct words that the newer memory lacks, and the pre-tokens that they are made of."""
+        lacking = self._lacking(words)
+        mixed = [w for w in lacking if not w.isalpha()]
+        parts = list(map(self.words.findall, mixed))
+        new = set(lacking).difference(w for w, own in zip(mixed, parts, strict=True) if len(own) != 1)
+        inner = set(chain.from_iterable(parts)).difference(new)
+        fresh = [*new, *self._lacking([w for w in inner if w not in self.known])]
+        for at in range(0, len(fresh), LEARN_WORDS):
+            self._learn(fresh[at : at + LEARN_WORDS])
+        get = self.known.__getitem__
+        self.known.update((w, b"".join(map(get, own))) for w, own in zip(mixed, parts, strict=True) if len(own) != 1)
+
     def _encode_fast(self, texts: list[str]) -> list[bytes]:
-        split = [self.words.findall(t.lower()) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
+        if gaps := [i for i, x in enumerate(ids) if x is None]:
+            self._add([words[i] for i in gaps])
+            for i in gaps:
+                ids[i] = self.known[words[i]]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        get = self.known.get
-        out = [list(map(get, words)) for words in split]
-        lacking = [i for i, ids in enumerate(out) if None in ids]
-        if lacking:
-            fresh = {w for i in lacking for w, x in zip(split[i], out[i], strict=True) if x is None}
-            again = fresh & self.older.keys()
-            self.known.update((w, self.older[w]) for w in again)
-            if fresh := fresh - again:
-                self._learn(list(fresh))
-            for i in lacking:
-                out[i] = list(map(get, split[i]))
-        return [b"".join(ids) for ids in out]
+        placed = pa.array(ids, pa.large_binary()).take(numbered.indices)
+        _, offsets, raw = placed.buffers()
+        upto = np.frombuffer(offsets, np.int64)[split.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        return [bytes(raw[at:to]) for at, to in pairwise(upto)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.fast:
@@ -141,21 +190,22 @@ class Packer:
         length = np.array([p[2] for p in pool], float)
         loss = length * np.array([p[3] for p in pool], float)
         demand = np.stack([length, np.ones(len(pool)), loss], axis=1)
+        length, loss, scaled = demand[:, 0], demand[:, 2], demand / self.limits
         free = np.ones(len(pool), bool)
         while free.any():
-            if not last and demand[free, 0].sum() < 4 * self.size and free.sum() < POOL:
+            if not last and length[free].sum() < 4 * self.size and free.sum() < POOL:
                 break  # the next pool fills these better
             left, chosen = self.limits.copy(), []
             while left[0] > 0 and left[1] > 0:
-                fits = free & (demand <= left).all(axis=1)
+                fits = free & (length <= left[0]) & (loss <= left[2])
                 if fits.any():
-                    score = np.where(fits, (demand / self.limits) @ (left / self.limits), -1.0)
+                    score = np.where(fits, scaled @ (left / self.limits), -1.0)
                     i = int(score.argmax())
                     free[i] = False
                     chosen.append(pool[i])
                     left -= demand[i]
                     continue
-                i = int(np.where(free, demand[:, 0], -1).argmax()) if free.any() else -1
+                i = int(np.where(free, length, -1).argmax()) if free.any() else -1
                 room = int(min(left[0], left[2])) if i >= 0 and pool[i][3] else int(left[0])
                 if i < 0 or room <= 0 or room >= demand[i, 0]:
                     break
@@ -164,6 +214,7 @@ class Packer:
                 left -= np.array([room, 1, room * bears])
                 pool[i] = (example, start + room, n - room, bears)
                 demand[i] = (n - room, 1, (n - room) * bears)
+                scaled[i] = demand[i] / self.limits
             used = self.size - int(left[0])
             if not self.powers or used == self.size or used & (used - 1) == 0:
                 yield chosen
@@ -229,7 +280,7 @@ def pack(
                 sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 9, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for block in text_blocks(batches, most=1 << 19):
+        for block in text_blocks(batches, most=BLOCK):
             bears = block.column(2).to_pylist() if loss_column else [True] * block.num_rows
             done: list = []
             for doc, ids, loss in zip(block.column(0).to_pylist(), own.encode_batch(texts_of(block)), bears, strict=True):
