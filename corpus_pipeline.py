@@ -13,10 +13,13 @@ empty table goes through all stages and gives no pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, language, linerules, packing, pii
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import saved, small_batches, table
 from tidemark.llm.queries import fold, tokenizer_file
 
 
@@ -40,12 +43,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage, with whole texts sent to Python workers in small batches, in its session from then on."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language identification", identify_language),
-    ("quality rules", quality_rules),
-    ("near duplicates", near_duplicates),
-    ("pseudonyms", pseudonyms),
-    ("packing", pack),
+    ("language identification", lean(identify_language)),
+    ("quality rules", lean(quality_rules)),
+    ("near duplicates", lean(near_duplicates)),
+    ("pseudonyms", lean(pseudonyms)),
+    ("packing", lean(pack)),
 ]
 
 #: A trained model, set similarity, keyed permutations and a tokenizer are not SQL; tests hold the stages against brute force.

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -149,3 +151,28 @@ def test_full_memories_keep_frequent_words(monkeypatch):
         assert own.encode_batch(texts) == own._encode_library(texts)
         assert "the" in own.known or "the" in own.older
         assert max(len(own.known), len(own.older)) <= 50 + 2 * 43
+
+
+HELD = """
+import re, sys
+import pyarrow as pa
+from tidemark.llm import common, packing
+
+words = [f"q{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(3000)]
+batch = pa.RecordBatch.from_pydict({"text": [" ".join(words[(7 * i + j) % 3000] for j in range(600)) for i in range(2500)]})
+own = packing.WordTokenizer(sys.argv[1])
+own.encode_batch([" ".join(words)])
+common.give_back()
+open("/proc/self/clear_refs", "w").write("5")  # the peak counts from here
+at = lambda k: int(re.search(k + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+before = at("VmRSS")
+for block in common.text_blocks([batch], most=packing.BLOCK):
+    own.encode_batch(common.texts_of(block))
+print(at("VmHWM") - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_encoding_a_batch_of_known_words_takes_little_memory():
+    out = subprocess.run([sys.executable, "-c", HELD, WORDS], capture_output=True, text=True, check=True, cwd=packing.__file__.rsplit("/", 3)[0])
+    assert float(out.stdout) < 40  # MB for 8 MB of text

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import language, linerules, pii
+import pyarrow as pa
+from tidemark.llm import common, language, linerules, pii
 from tidemark.llm.queries import fold
 from tests_llm_brute import components  # noqa: I001
 
@@ -43,3 +44,13 @@ def test_stages_on_an_empty_table(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, "unused")
         assert out.isEmpty()
+
+
+def test_stages_send_whole_texts_in_small_batches(spark, none):
+    assert all(stage.__wrapped__ for _, stage in corpus_pipeline.STAGES)
+    for own, want in (("10000", common.TEXT_ROWS), ("0", common.TEXT_ROWS), ("700", 700)):
+        spark.conf.set(common.ARROW_ROWS, own)
+        corpus_pipeline.STAGES[-1][1](spark, none, "unused")
+        sizes = spark.range(0, 4100, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) == want
+    spark.conf.unset(common.ARROW_ROWS)

@@ -38,7 +38,7 @@ from tidemark.llm.common import text_blocks, texts_of, thrifty
 POOL, CACHE_WORDS = 768, 240_000
 
 #: Text bytes whose words are looked up together; characters that the library gets at once, and words.
-BLOCK, LIBRARY_CHARS, LEARN_WORDS = 4 << 20, 1 << 19, 20_000
+BLOCK, LIBRARY_CHARS, LEARN_WORDS = 1 << 20, 1 << 19, 20_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
